@@ -1,0 +1,39 @@
+"""Every query with an SQL statement returns the rows of that statement."""
+
+import pytest
+
+from __spark_entry__ import entry, oracle_sql, queries
+from compare import assert_same, connect
+
+FOLDER = "/root/testdata/sf0.01"
+# Queries without an SQL statement: they depend on fitted trees.
+ROWS_ONLY = {
+    "train_metrics",
+    "run_log",
+    "score_customer",
+    "score_batch",
+    "score_summary",
+    "score_violations",
+    "scoring_events",
+    "score_stream",
+}
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(FOLDER)
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_matches_sql(spark, con, name):
+    assert assert_same(queries()[name](spark, FOLDER), con, oracle_sql()[name]) > 0
+
+
+def test_every_query_is_checked():
+    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
+
+
+def test_entry(spark):
+    result = entry(spark)
+    assert result.count() == 117
+    assert result.where("churn_label = 1").count() == 86
