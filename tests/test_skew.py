@@ -1,0 +1,80 @@
+"""Joins with hot keys give the rows of the plain join."""
+
+import datetime
+
+import pytest
+
+from patronage.operators import orders as O
+from patronage.operators import skew
+from patronage.operators.lookup import answer_requests
+from tables import make_tables
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    rows = [(7 if i % 3 == 0 else i % 50, i) for i in range(900)] + [(None, 900), (999, 901)]
+    many = spark.createDataFrame(rows, "k bigint, v bigint")
+    one = spark.createDataFrame([(i, f"n{i}") for i in range(45)], "k bigint, name string")
+    return many, one
+
+
+def test_hot_keys_are_found(sides):
+    assert skew.hot_keys(sides[0], "k", hot_rows=100) == [7]
+    assert skew.hot_keys(sides[0], "k") == []
+
+
+def test_number_of_hot_keys_is_bounded(sides):
+    assert len(skew.hot_keys(sides[0], "k", hot_rows=1, max_keys=3)) == 3
+
+
+def test_hot_keys_of_no_rows(spark):
+    assert skew.hot_keys(spark.createDataFrame([], "k string"), "k", hot_rows=0) == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot", [[], [7], [7, 999, 3]])
+def test_split_join_equals_plain_join(sides, how, hot):
+    many, one = sides
+    expected = sorted(map(str, many.join(one, "k", how).collect()))
+    actual = skew.join_on_unique(many, one, "k", how, hot)
+    assert sorted(map(str, actual.collect())) == expected
+
+
+def test_hot_rows_are_joined_without_a_shuffle(spark, sides):
+    many, one = sides
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = skew.join_on_unique(many, one, "k", hot=[7])._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
+def test_other_joins_are_refused(sides):
+    with pytest.raises(ValueError):
+        skew.join_on_unique(*sides, "k", "full")
+
+
+def test_window_rows_with_a_hot_order(spark, monkeypatch):
+    values = [f"{i}.00" for i in range(1, 41)]
+    orders = [
+        ("hot", "u1", "delivered", "2018-01-01", 30, values),
+        *((f"o{i}", "u1", "delivered", "2018-01-02", 1, ["1.00"]) for i in range(30)),
+        ("late", "u2", "delivered", "2018-12-01", 1, ["1.00"]),
+    ]
+    tables = make_tables(spark, orders)
+    plain = O.delivered_before_cutoff(tables, datetime.date(2018, 6, 1)).collect()
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (10, 8))
+    split = O.delivered_before_cutoff(tables, datetime.date(2018, 6, 1))
+    assert "BroadcastHashJoin" in split._jdf.queryExecution().toString()
+    assert sorted(map(str, split.collect())) == sorted(map(str, plain))
+    assert len(plain) == 70
+
+
+def test_requests_for_one_customer(spark):
+    store = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "customer_unique_id string, score double")
+    requests = spark.createDataFrame(
+        [(i, "a" if i % 3 else "x") for i in range(90)], "pos int, customer_id string"
+    )
+    expected = sorted(map(str, answer_requests(requests, store, hot=[]).collect()))
+    assert sorted(map(str, answer_requests(requests, store, hot=["a", "x"]).collect())) == expected
