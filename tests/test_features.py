@@ -1,0 +1,115 @@
+"""Engineered columns and the feature build."""
+
+import math
+
+import pytest
+
+from patronage.functions import features as X
+from patronage.operators.quality import QualityError
+from patronage.plans.pipeline import build_features, build_rfm_dataset
+from patronage.schemas import FEATURE_COLUMNS, FEATURE_SCHEMA
+from patronage.sources.parquet_tables import open_store, write_table
+from rows import RFM_ROWS, rfm_rows
+from tables import make_tables
+from test_rfm import CASES
+
+
+def column(df, name):
+    return [r[name] for r in df.orderBy("customer_unique_id").collect()]
+
+
+def test_monetary_log(spark):
+    assert column(X.add_monetary_log(rfm_rows(spark)), "monetary_log") == pytest.approx(
+        [math.log1p(150), 0.0, math.log1p(400)]
+    )
+
+
+def test_avg_order_value(spark):
+    assert column(X.add_avg_order_value(rfm_rows(spark)), "avg_order_value") == [50.0, 0.0, 80.0]
+
+
+def test_no_orders_have_no_average(spark):
+    df = rfm_rows(spark, [("c1", 1, 0, 5.0, 0, 0.0, 0)])
+    assert column(X.add_avg_order_value(df), "avg_order_value") == [None]
+    assert column(X.add_days_per_order(df), "days_per_order") == [0.0]
+
+
+def test_days_per_order(spark):
+    assert column(X.add_days_per_order(rfm_rows(spark)), "days_per_order") == [30.0, 0.0, 60.0]
+
+
+def test_one_time_buyer_flag(spark):
+    flags = column(X.add_one_time_buyer_flag(rfm_rows(spark)), "is_one_time_buyer")
+    assert flags == [0, 1, 0]
+
+
+def test_gap_is_filled(spark):
+    filled = X.handle_missing_values(rfm_rows(spark))
+    assert column(filled, "avg_days_between_orders") == [45.0, 0.0, 60.0]
+
+
+def test_nan_gap_is_filled(spark):
+    rows = [("c1", 10, 3, 150.0, 90, math.nan, 0)]
+    assert column(X.fill_missing_gaps(rfm_rows(spark, rows)), "avg_days_between_orders") == [0.0]
+
+
+@pytest.mark.parametrize("bad", [None, math.nan])
+def test_missing_critical_value_is_named(spark, bad):
+    rows = [("c1", 10, 3, bad, 90, 45.0, 0), *RFM_ROWS[1:]]
+    with pytest.raises(ValueError, match="1 rows without 'monetary'"):
+        X.handle_missing_values(rfm_rows(spark, rows))
+
+
+def test_input_is_left_alone(spark):
+    df = rfm_rows(spark)
+    before = (df.columns, df.collect())
+    for step in (
+        X.add_monetary_log,
+        X.add_avg_order_value,
+        X.add_days_per_order,
+        X.add_one_time_buyer_flag,
+        X.handle_missing_values,
+    ):
+        step(df)
+    assert (df.columns, df.collect()) == before
+
+
+def test_steps_fuse_into_one_projection(spark, tmp_path):
+    stored = write_table(rfm_rows(spark), str(tmp_path / "rfm"))
+    plan = X.engineer(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Project") == 1
+    assert "Exchange" not in plan
+
+
+def test_build_features(spark, tmp_path):
+    source, target = str(tmp_path / "rfm"), str(tmp_path / "deep" / "features")
+    write_table(rfm_rows(spark), source)
+    result = build_features(spark, source, target)
+    assert result.columns == FEATURE_COLUMNS
+    assert [f.dataType for f in result.schema.fields] == [f.dataType for f in FEATURE_SCHEMA.fields]
+    assert result.count() == 3
+    assert open_store(spark, target).count() == 3
+
+
+def test_build_features_with_a_sample(spark, tmp_path):
+    source = str(tmp_path / "rfm")
+    write_table(rfm_rows(spark), source)
+    assert build_features(spark, source, str(tmp_path / "features"), sample_size=2).count() == 3
+
+
+def test_build_features_refuses_negative_values(spark, tmp_path):
+    source, target = tmp_path / "rfm", tmp_path / "features"
+    write_table(rfm_rows(spark, [("c1", -1, 3, 150.0, 90, 45.0, 0)]), str(source))
+    with pytest.raises(QualityError, match="recency_days >= 0: 1 rows"):
+        build_features(spark, str(source), str(target))
+    assert not target.exists()
+
+
+def test_from_raw_tables_to_features(spark, tmp_path):
+    rfm_path, path = str(tmp_path / "rfm"), str(tmp_path / "features")
+    build_rfm_dataset(make_tables(spark, CASES), rfm_path)
+    rows = {r["customer_unique_id"]: r for r in build_features(spark, rfm_path, path).collect()}
+    assert set(rows) == {"u1", "u2", "u3", "u5"}
+    assert rows["u2"]["avg_order_value"] == 7.5
+    assert rows["u2"]["days_per_order"] == 15.5
+    assert rows["u5"]["monetary_log"] == pytest.approx(math.log(8))
