@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.operators.skew import join_on_unique
+from patronage.operators.skew import hot_keys, join_on_unique, split_hot
 
 CHURN_DAYS = 180
 DELIVERED = "delivered"
@@ -76,19 +76,24 @@ def stocked_orders(order_items: DataFrame) -> DataFrame:
     return order_items.select("order_id").distinct()
 
 
-def payment_values(order_payments: DataFrame) -> DataFrame:
-    """Each value an order was paid with, once: equal payments collapse."""
-    return order_payments.select("order_id", "payment_value").distinct()
-
-
-def order_spend(order_payments: DataFrame) -> DataFrame:
+def order_spend(order_payments: DataFrame, hot: list | None = None) -> DataFrame:
     """Per order: the sum of its distinct payment values and their number.
 
-    The distinct step hashes on order *and* value, so an order with very many
-    payments is spread over tasks; the sum then moves partial sums only.
+    The payments move once, by order. Those of a hot order (``hot``, or found
+    by a sketch if None) move by order *and* value, which spreads them over
+    tasks, and then as partial sums.
     """
+    paid = order_payments.select("order_id", "payment_value")
+    if hot is None:
+        hot = hot_keys(paid, "order_id")
+    usual, spread = split_hot(paid, "order_id", hot)
+    totals = _spend(usual.repartition("order_id"))
+    return totals if spread is None else totals.unionByName(_spend(spread))
+
+
+def _spend(paid: DataFrame) -> DataFrame:
     return (
-        payment_values(order_payments)
+        paid.distinct()
         .groupBy("order_id")
         .agg(F.sum("payment_value").alias("spend"), F.count(F.lit(1)).alias("n_values"))
     )
@@ -102,12 +107,15 @@ def delivered_before_cutoff(
     An order needs an item and a payment to appear. Orders and customers are
     unique by key, so de-duplicating the payments de-duplicates the result.
     """
-    orders = before_cutoff(tables["orders"], cutoff, status).join(
-        stocked_orders(tables["order_items"]), "order_id", "left_semi"
-    )
+    window = before_cutoff(tables["orders"], cutoff, status)
+    stocked = window.join(stocked_orders(tables["order_items"]), "order_id", "left_semi")
     customers = tables["customers"].select("customer_id", "customer_unique_id")
-    known = join_on_unique(orders, customers, "customer_id")
-    rows = join_on_unique(payment_values(tables["order_payments"]), known, "order_id")
+    # Hot keys are looked for in the stored tables, not in joins over them.
+    known = join_on_unique(
+        stocked, customers, "customer_id", hot=hot_keys(window, "customer_id")
+    )
+    paid = tables["order_payments"].select("order_id", "payment_value")
+    rows = join_on_unique(paid, known, "order_id", distinct=True)
     return rows.select("order_id", "customer_unique_id", "order_date", "payment_value")
 
 

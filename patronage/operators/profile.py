@@ -14,6 +14,11 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 # Rank error of the sketch that brackets each quartile: 1 / ACCURACY of the rows.
 ACCURACY = 10_000
 
+SUMMARY_COLUMNS = (
+    "column_name string, n bigint, mean double, std double, min double, "
+    "p25 double, p50 double, p75 double, max double"
+)
+
 
 def churn_rate(df: DataFrame, label: str = TARGET) -> DataFrame:
     return df.agg(
@@ -48,21 +53,20 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         for i, (name, q) in enumerate(QUARTILES.items())
         if totals[f"{c}:n"]
     ]
-    spark = df.sparkSession
-    moments = spark.createDataFrame(
-        [
-            (c, totals[f"{c}:n"], *(totals[f"{c}:{m}"] for m in ("mean", "std", "min", "max")))
-            for c in columns
-        ],
-        "column_name string, n bigint, mean double, std double, min double, max double",
-    )
-    quartiles = _quartiles(df, brackets) if brackets else spark.createDataFrame([], _NO_QUARTILES)
-    return moments.join(quartiles, "column_name", "left").select(
-        "column_name", "n", "mean", "std", "min", *QUARTILES, "max"
-    )
-
-
-_NO_QUARTILES = "column_name string, " + ", ".join(f"{q} double" for q in QUARTILES)
+    quartiles = {}
+    if brackets:
+        quartiles = {(r["column_name"], r["quartile"]): r["v"] for r in _quartiles(df, brackets).collect()}
+    lines = [
+        (
+            c,
+            totals[f"{c}:n"],
+            *(totals[f"{c}:{m}"] for m in ("mean", "std", "min")),
+            *(quartiles.get((c, name)) for name in QUARTILES),
+            totals[f"{c}:max"],
+        )
+        for c in columns
+    ]
+    return df.sparkSession.createDataFrame(lines, SUMMARY_COLUMNS)
 
 
 def _value(df: DataFrame, column: str) -> Column:
@@ -94,14 +98,19 @@ def _bracket(totals: dict, column: str, i: int) -> tuple[float, float]:
 
 
 def _quartiles(df: DataFrame, brackets: list[tuple]) -> DataFrame:
-    """The two order statistics around each quartile, interpolated."""
+    """(column_name, quartile, v), one row per bracket: the two order statistics
+    around the quartile, interpolated."""
     entries = []
     for column, name, q, n, low, high in brackets:
         v = _value(df, column)
         # Rows below the bracket are counted under one NULL value.
         kept = F.when(v >= low, v)
-        inside = F.when(v <= high, F.struct(F.lit(column).alias("column_name"), F.lit(name).alias("quartile"), kept.alias("value")))
-        entries.append(inside)
+        entry = F.struct(
+            F.lit(column).alias("column_name"),
+            F.lit(name).alias("quartile"),
+            kept.alias("value"),
+        )
+        entries.append(F.when(v <= high, entry))
     ranks = df.sparkSession.createDataFrame(
         [(c, name, q * (n - 1)) for c, name, q, n, _, _ in brackets],
         "column_name string, quartile string, rank double",
@@ -130,7 +139,4 @@ def _quartiles(df: DataFrame, brackets: list[tuple]) -> DataFrame:
     return (
         placed.groupBy("column_name", "quartile")
         .agg((low + (high - low) * fraction).alias("v"))
-        .groupBy("column_name")
-        .pivot("quartile", list(QUARTILES))
-        .agg(F.max("v"))
     )

@@ -96,26 +96,23 @@ def order_gaps(rows: DataFrame) -> DataFrame:
     Rows of one day follow each other with gap 0, and only the first of them
     looks back to an earlier day. The window therefore runs over one row per
     customer and *day*: its groups cannot outgrow the calendar, whatever share
-    of the rows a customer has. The join back is row to row.
+    of the rows a customer has. That first row is then found by its order,
+    on which the rows are hashed already.
     """
     days = rows.groupBy(KEY, "order_date").agg(
         F.min(F.struct("order_id", "payment_value")).alias("opener")
     )
     earlier = F.lag("order_date").over(Window.partitionBy(KEY).orderBy("order_date"))
+    # An order has one customer and one day, so it opens at most one day.
     openers = days.select(
-        F.col("opener.order_id").alias("opener_order"),
+        F.col("opener.order_id").alias("order_id"),
         F.col("opener.payment_value").alias("opener_value"),
-        F.col(KEY).alias("opener_customer"),
         F.datediff("order_date", earlier).alias("gap"),
         F.lit(True).alias("opens"),
     )
-    same_row = (
-        F.col("order_id").eqNullSafe(F.col("opener_order"))
-        & F.col("payment_value").eqNullSafe(F.col("opener_value"))
-        & F.col(KEY).eqNullSafe(F.col("opener_customer"))
-    )
-    gap = F.when(F.col("opens"), F.col("gap")).otherwise(0).cast("bigint")
-    return rows.join(openers, same_row, "left").select(
+    opens = F.col("opens") & F.col("payment_value").eqNullSafe(F.col("opener_value"))
+    gap = F.when(opens, F.col("gap")).otherwise(0).cast("bigint")
+    return rows.join(openers, "order_id", "left").select(
         KEY, "order_id", "order_date", "payment_value", gap.alias("days_since_previous_order")
     )
 

@@ -23,6 +23,11 @@ def test_hot_keys_are_found(sides):
     assert skew.hot_keys(sides[0], "k") == []
 
 
+def test_many_rows_without_a_key_are_hot(spark):
+    df = spark.createDataFrame([(None,)] * 20 + [("a",)] * 20 + [("b",)] * 3, "k string")
+    assert skew.hot_keys(df, "k", hot_rows=5) == ["a", None]
+
+
 def test_number_of_hot_keys_is_bounded(sides):
     assert len(skew.hot_keys(sides[0], "k", hot_rows=1, max_keys=3)) == 3
 
@@ -32,7 +37,7 @@ def test_hot_keys_of_no_rows(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("hot", [[], [7], [7, 999, 3]])
+@pytest.mark.parametrize("hot", [[], [7], [7, 999, 3], [None], [None, 7]])
 def test_split_join_equals_plain_join(sides, how, hot):
     many, one = sides
     expected = sorted(map(str, many.join(one, "k", how).collect()))
