@@ -111,9 +111,8 @@ def delivered_before_cutoff(
     stocked = window.join(stocked_orders(tables["order_items"]), "order_id", "left_semi")
     customers = tables["customers"].select("customer_id", "customer_unique_id")
     # Hot keys are looked for in the stored tables, not in joins over them.
-    known = join_on_unique(
-        stocked, customers, "customer_id", hot=hot_keys(window, "customer_id")
-    )
+    busy = hot_keys(tables["orders"], "customer_id")
+    known = join_on_unique(stocked, customers, "customer_id", hot=busy)
     paid = tables["order_payments"].select("order_id", "payment_value")
     rows = join_on_unique(paid, known, "order_id", distinct=True)
     return rows.select("order_id", "customer_unique_id", "order_date", "payment_value")

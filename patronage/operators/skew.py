@@ -25,8 +25,12 @@ def hot_keys(
     and None if that many rows have no key.
 
     One scan of the key column into a bounded sketch, without a shuffle. The
-    counts are estimates, and only choose which way a key is joined.
+    counts are estimates, and only choose which way a key is joined. ``df``
+    should be a stored table: counting its rows, which may already rule hot
+    keys out, then reads no column.
     """
+    if df.count() <= hot_rows:
+        return []
     sketch = F.expr(f"approx_top_k(`{key}`, {max_keys}, {TRACKED_ITEMS})")
     present = F.col(key).isNotNull()
     found = df.agg(F.count_if(~present).alias("n_null"), sketch.alias("top")).first()

@@ -8,7 +8,7 @@ from patronage.functions.features import engineer, handle_missing_values
 from patronage.operators import rfm as R
 from patronage.operators.orders import CHURN_DAYS, DELIVERED, Tables
 from patronage.operators.quality import validate_rfm, validate_schema
-from patronage.sources.parquet_tables import read_table, write_table
+from patronage.sources.parquet_tables import read_table, write_store, write_table
 
 
 def build_rfm_dataset(
@@ -39,7 +39,7 @@ def build_features(
     rfm_rows = read_table(spark, input_path)
     features = engineer(handle_missing_values(rfm_rows))
     validate_schema(_keyed_by_text(features), sample_size)
-    return write_table(features, output_path)
+    return write_store(features, output_path)
 
 
 def _keyed_by_text(df: DataFrame) -> DataFrame:

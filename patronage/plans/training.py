@@ -15,7 +15,7 @@ from patronage.operators.metrics import auc, precision_recall
 from patronage.operators.split import SEED, TEST, TRAIN, add_weight, class_ratio, split_data
 from patronage.plans.registry import log_run, register_model
 from patronage.schemas import CUSTOMER_KEY, MODEL_COLUMNS, TARGET
-from patronage.session import materialize
+from patronage.session import checkpoint_training, materialize
 from patronage.sources.parquet_tables import read_table
 
 # The hyperparameters the results refer to.
@@ -71,6 +71,7 @@ def fit(
     n_estimators: int = N_ESTIMATORS,
     seed: int = SEED,
 ) -> PipelineModel:
+    checkpoint_training(train_rows.sparkSession)
     n_partitions = max(1, -(-n_rows // ROWS_PER_PARTITION))
     rows = fixed_layout(add_weight(train_rows, ratio), n_partitions)
     return build_model(n_estimators, seed).fit(rows)

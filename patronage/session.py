@@ -39,6 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def checkpoint_training(spark: SparkSession) -> None:
+    """Let iterative training cut its lineage in the shared folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/patronage/{name}-{uuid.uuid4().hex}"
