@@ -16,7 +16,8 @@ def spark():
         **{
             "spark.master": f"local[{os.cpu_count()}]",
             "spark.ui.enabled": "false",
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
+            "spark.default.parallelism": "4",
             "spark.driver.memory": "6g",
         },
     )
