@@ -100,43 +100,38 @@ def _bracket(totals: dict, column: str, i: int) -> tuple[float, float]:
 def _quartiles(df: DataFrame, brackets: list[tuple]) -> DataFrame:
     """(column_name, quartile, v), one row per bracket: the two order statistics
     around the quartile, interpolated."""
-    entries = []
-    for column, name, q, n, low, high in brackets:
-        v = _value(df, column)
-        # Rows below the bracket are counted under one NULL value.
-        kept = F.when(v >= low, v)
-        entry = F.struct(
-            F.lit(column).alias("column_name"),
-            F.lit(name).alias("quartile"),
-            kept.alias("value"),
-        )
-        entries.append(F.when(v <= high, entry))
-    ranks = df.sparkSession.createDataFrame(
-        [(c, name, q * (n - 1)) for c, name, q, n, _, _ in brackets],
-        "column_name string, quartile string, rank double",
+    columns = list(dict.fromkeys(c for c, *_ in brackets))
+    bounds = df.sparkSession.createDataFrame(
+        [(c, name, q * (n - 1), low, high) for c, name, q, n, low, high in brackets],
+        "column_name string, quartile string, rank double, low double, high double",
+    )
+    long = df.select(*(_value(df, c).alias(c) for c in columns)).unpivot(
+        [], columns, "column_name", "value"
     )
+    # ``bounds`` has one row per column and quartile. Rows below a bracket are
+    # counted under one NULL value.
+    kept = F.when(F.col("value") >= F.col("low"), F.col("value"))
     values = (
-        df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .groupBy("e.column_name", "e.quartile", "e.value")
+        long.join(F.broadcast(bounds), "column_name")
+        .where(F.col("value") <= F.col("high"))
+        .groupBy("column_name", "quartile", "rank", kept.alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     upto = F.sum("n").over(
-        Window.partitionBy("column_name", "quartile")
+        Window.partitionBy("column_name", "quartile", "rank")
         .orderBy(F.asc_nulls_first("value"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # A value holds the ranks [upto - n, upto). ``ranks`` has one row per
-    # column and quartile.
-    placed = values.withColumn("upto", upto).join(F.broadcast(ranks), ["column_name", "quartile"])
 
     def value_at(rank: Column) -> Column:
+        # A value holds the ranks from upto - n to upto - 1.
         held = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
         return F.max(F.when(held, F.col("value")))
 
     below, above = F.floor("rank"), F.ceil("rank")
-    fraction = F.max(F.col("rank") - below)
     low, high = value_at(below), value_at(above)
     return (
-        placed.groupBy("column_name", "quartile")
-        .agg((low + (high - low) * fraction).alias("v"))
+        values.withColumn("upto", upto)
+        .groupBy("column_name", "quartile", "rank")
+        .agg((low + (high - low) * (F.col("rank") - below)).alias("v"))
     )
