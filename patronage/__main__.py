@@ -69,6 +69,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(
         prog="patronage", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter
     )
+    top.add_argument("--input-gb", type=float, help="size of the input, to size the shuffles")
     steps = top.add_subparsers(required=True)
 
     def step(run, *required: str) -> argparse.ArgumentParser:
@@ -95,7 +96,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
-    args.run(build_session(), args)
+    args.run(build_session(input_gb=args.input_gb), args)
 
 
 if __name__ == "__main__":

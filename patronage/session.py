@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -17,33 +18,61 @@ SETTINGS = {
 }
 
 
-def build_session(app_name: str = "patronage", **overrides: str) -> SparkSession:
+# Fewer, larger tasks on large inputs: the number of shuffle blocks is the product
+# of the tasks on both sides.
+MAX_MAP_TASKS = 100_000
+SPLIT_MB = 128
+SHUFFLE_MB = 512
+# Shuffled rows carry a few narrow columns; about this share of the input.
+SHUFFLED_SHARE = 0.2
+DEFAULT_PARTITIONS = 200
+
+
+def sizing(input_gb: float) -> dict[str, str]:
+    """Settings for jobs that read about ``input_gb`` gigabytes.
+
+    Adaptive execution merges shuffle partitions that turn out small, but does
+    not add any, so their number has to be an upper estimate.
+    """
+    split_mb = max(SPLIT_MB, math.ceil(input_gb * 1024 / MAX_MAP_TASKS))
+    partitions = math.ceil(input_gb * 1024 * SHUFFLED_SHARE / SHUFFLE_MB)
+    return {
+        "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
+        "spark.sql.shuffle.partitions": str(max(DEFAULT_PARTITIONS, partitions)),
+    }
+
+
+def build_session(
+    app_name: str = "patronage", input_gb: float | None = None, **overrides: str
+) -> SparkSession:
+    sized = sizing(input_gb) if input_gb is not None else {}
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**SETTINGS, **overrides}.items():
+    for key, value in {**SETTINGS, **sized, **overrides}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or else the
+    checkpoint folder that the application has set on its context.
 
     Only a local master may fall back to a temporary folder of this machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="patronage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="patronage-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def checkpoint_training(spark: SparkSession) -> None:
     """Let iterative training cut its lineage in the shared folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

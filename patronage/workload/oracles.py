@@ -199,6 +199,12 @@ WINDOW_ROWS = (
 )
 REQUESTS = "asked AS (SELECT o_orderkey AS pos, o_custkey AS customer_id FROM orders)"
 
+SUMMARY = (
+    f"{STORE}, {REQUESTS}, summary AS (SELECT count(*) AS n_requested, "
+    "count(customer_unique_id) AS n_found, count(*) - count(customer_unique_id) AS n_not_found, "
+    "'1' AS model_version FROM asked LEFT JOIN engineered ON customer_unique_id = customer_id)"
+)
+
 ORACLES: dict[str, str] = {
     "rfm_churn": f"{BASE} SELECT {RFM_COLUMNS} FROM repeaters",
     "rfm_sql_param": f"{BASE} SELECT {RFM_COLUMNS} FROM repeaters",
@@ -333,10 +339,18 @@ FROM counted""",
         "recency_days IS NOT NULL AS found FROM asked "
         "LEFT JOIN engineered ON customer_unique_id = customer_id"
     ),
-    "batch_summary": (
-        f"{STORE}, {REQUESTS} SELECT count(*) AS n_requested, "
-        "count(customer_unique_id) AS n_found, count(*) - count(customer_unique_id) AS n_not_found "
-        "FROM asked LEFT JOIN engineered ON customer_unique_id = customer_id"
+    "batch_summary": f"{SUMMARY} SELECT n_requested, n_found, n_not_found FROM summary",
+    "score_summary": f"{SUMMARY} SELECT * FROM summary",
+    "batch_event": (
+        f"{SUMMARY} SELECT CAST(to_json({{'event': 'batch_predict', 'n_requested': n_requested, "
+        "'n_found': n_found, 'n_not_found': n_not_found, 'model_version': model_version}) "
+        "AS VARCHAR) AS event_json FROM summary"
+    ),
+    "run_log": (
+        f"{SPLIT} SELECT 'scale_pos_weight' AS param, "
+        f"CAST(round({RATIO}, 3) AS VARCHAR) AS value FROM sided WHERE side = 'train' "
+        "UNION ALL VALUES ('model_type', 'gbt'), ('n_estimators', '100'), ('max_depth', '4'), "
+        "('learning_rate', '0.1')"
     ),
     "store_status": (
         f"{STORE} SELECT 'ok' AS status, '1' AS model_version, "

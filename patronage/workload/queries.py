@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -48,34 +47,42 @@ def _metrics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 # --- stored products of earlier steps ----------------------------------------------
 
+_products: dict[tuple, object] = {}
 
-@cache
-def _feature_path(app: str, folder: str) -> str:
-    """Runs the steps up to the stored feature table, once per application."""
-    spark = SparkSession.getActiveSession()
-    rfm_path, path = new_path(spark, "rfm"), new_path(spark, "features")
-    build_rfm_dataset(star_tables(spark, folder), rfm_path, status=FULFILLED)
-    build_features(spark, rfm_path, path)
-    return path
+
+def _once(spark: SparkSession, product: str, folder: str, build: Callable[[], object]):
+    """What ``build`` stores for a data folder, built once per application."""
+    key = (spark.sparkContext.applicationId, product, folder)
+    if key not in _products:
+        _products[key] = build()
+    return _products[key]
 
 
 def feature_path(spark: SparkSession, folder: str) -> str:
-    return _feature_path(spark.sparkContext.applicationId, folder)
+    """The stored feature table, from the steps that lead to it."""
+
+    def build() -> str:
+        rfm_path, path = new_path(spark, "rfm"), new_path(spark, "features")
+        build_rfm_dataset(star_tables(spark, folder), rfm_path, status=FULFILLED)
+        build_features(spark, rfm_path, path)
+        return path
+
+    return _once(spark, "features", folder, build)
 
 
 def _store(spark: SparkSession, folder: str) -> DataFrame:
     return open_store(spark, feature_path(spark, folder))
 
 
-@cache
-def _trained(app: str, folder: str) -> tuple[str, training.TrainResult]:
-    spark = SparkSession.getActiveSession()
-    where = new_path(spark, "registry")
-    return where, training.train(spark, feature_path(spark, folder), where, ROUNDS)
+def _registry(spark: SparkSession, folder: str) -> str:
+    """A registry with the run and the model version of one training."""
 
+    def build() -> str:
+        where = new_path(spark, "registry")
+        training.train(spark, feature_path(spark, folder), where, ROUNDS)
+        return where
 
-def _registry(spark: SparkSession, folder: str) -> str:
-    return _trained(spark.sparkContext.applicationId, folder)[0]
+    return _once(spark, "registry", folder, build)
 
 
 def _model(spark: SparkSession, folder: str) -> tuple[PipelineModel, int]:
@@ -332,7 +339,8 @@ def train_metrics(spark, folder):
 
 def run_log(spark, folder):
     run = registry.best_run(spark, _registry(spark, folder))
-    return run.select(F.explode(F.map_filter("params", lambda k, _: k != "features_path")).alias("param", "value"))
+    params = run.select(F.explode("params").alias("param", "value"))
+    return params.where(F.col("param") != "features_path")
 
 
 # --- scoring -----------------------------------------------------------------------------
@@ -374,6 +382,12 @@ def score_summary(spark, folder):
     return scoring.score_summary(scored, version)
 
 
+def batch_event(spark, folder):
+    """The event of a batch whose requests are looked up, not scored."""
+    summary = batch_summary(spark, folder).withColumn("model_version", F.lit("1"))
+    return scoring.batch_events(summary)
+
+
 def score_violations(spark, folder):
     df = score_batch(spark, folder)
     return quality.check(df, quality.score_rules(df))
@@ -457,6 +471,7 @@ QUERIES: dict[str, Query] = {
     "score_customer": score_customer,
     "score_batch": score_batch,
     "score_summary": score_summary,
+    "batch_event": batch_event,
     "score_violations": score_violations,
     "scoring_events": scoring_events,
     "score_stream": score_stream_available,

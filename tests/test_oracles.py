@@ -9,10 +9,8 @@ FOLDER = "/root/testdata/sf0.01"
 # Queries without an SQL statement: they depend on fitted trees.
 ROWS_ONLY = {
     "train_metrics",
-    "run_log",
     "score_customer",
     "score_batch",
-    "score_summary",
     "score_violations",
     "scoring_events",
     "score_stream",

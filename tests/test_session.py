@@ -1,0 +1,64 @@
+"""Session settings, the shared folder and stored intermediate tables."""
+
+import pytest
+
+from patronage import session as S
+
+
+def test_sizing_grows_with_the_input():
+    small, large = S.sizing(1), S.sizing(100 * 1024)
+    assert small == {
+        "spark.sql.files.maxPartitionBytes": "128m",
+        "spark.sql.shuffle.partitions": "200",
+    }
+    assert large == {
+        "spark.sql.files.maxPartitionBytes": "1049m",
+        "spark.sql.shuffle.partitions": "40960",
+    }
+
+
+def test_materialized_tables_lie_in_the_shared_folder(spark):
+    folder = S.shared_folder(spark)
+    assert spark.conf.get("spark.checkpoint.dir", folder).rstrip("/") == folder
+    stored = S.materialize(spark.range(5), "numbers")
+    assert stored.count() == 5
+    assert all(folder in f for f in stored.inputFiles())
+
+
+class Session:
+    """The parts of a session that the shared folder depends on."""
+
+    def __init__(self, master, named=None):
+        self.master, self.named, self.checkpoints = master, named, None
+        self.sparkContext = self.conf = self
+
+    def get(self, key, default):
+        assert key == "spark.checkpoint.dir"
+        return self.named or default
+
+    def getCheckpointDir(self):
+        return self.checkpoints
+
+    def setCheckpointDir(self, folder):
+        self.checkpoints = folder
+
+
+def test_the_named_folder_is_used():
+    assert S.shared_folder(Session("yarn", "hdfs://shared/")) == "hdfs://shared"
+
+
+def test_a_local_master_may_use_its_own_folder():
+    session = Session("local[2]")
+    folder = S.shared_folder(session)
+    assert folder == session.checkpoints == S.shared_folder(session)
+
+
+def test_a_cluster_may_not():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        S.shared_folder(Session("yarn"))
+
+
+def test_training_checkpoints_in_the_shared_folder():
+    session = Session("yarn", "hdfs://shared")
+    S.checkpoint_training(session)
+    assert session.checkpoints == "hdfs://shared"
