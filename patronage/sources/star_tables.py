@@ -21,6 +21,10 @@ STAR_SCHEMAS = {
 }
 
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+
+
 def star_tables(
     spark: SparkSession,
     folder: str,
@@ -34,19 +38,15 @@ def star_tables(
     many customer ids to one person. ``items`` keeps only some lines as items,
     so that orders exist which have payments but no item.
     """
-
-    def table(name: str) -> DataFrame:
-        return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
-
-    lines = table("lineitem")
+    lines = _table(spark, folder, "lineitem")
     person = F.col("c_custkey")
     if logins_per_person > 1:
         person = F.floor(person / logins_per_person).cast("bigint")
     return {
-        "customers": table("customer").select(
+        "customers": _table(spark, folder, "customer").select(
             F.col("c_custkey").alias("customer_id"), person.alias("customer_unique_id")
         ),
-        "orders": table("orders").select(
+        "orders": _table(spark, folder, "orders").select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderstatus").alias("order_status"),
@@ -64,6 +64,15 @@ def star_tables(
             F.col("l_linenumber").alias("payment_sequential"),
             F.col(payment).cast("decimal(12,2)").alias("payment_value"),
         ),
-        "products": table("part").select(F.col("p_partkey").alias("product_id")),
-        "sellers": table("supplier").select(F.col("s_suppkey").alias("seller_id")),
+    }
+
+
+def keyed_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of ``star_tables`` and the two others that declare a key."""
+    return {
+        **star_tables(spark, folder),
+        "products": _table(spark, folder, "part").select(F.col("p_partkey").alias("product_id")),
+        "sellers": _table(spark, folder, "supplier").select(
+            F.col("s_suppkey").alias("seller_id")
+        ),
     }

@@ -15,7 +15,7 @@ from patronage.plans.pipeline import build_features, build_rfm_dataset
 from patronage.schemas import CUSTOMER_KEY
 from patronage.session import new_path
 from patronage.sources.parquet_tables import open_store, row_counts
-from patronage.sources.star_tables import FULFILLED, star_tables
+from patronage.sources.star_tables import FULFILLED, keyed_tables, star_tables
 from patronage.streaming.scoring_stream import request_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,11 +118,11 @@ def rfm_returned_items(spark, folder):
 
 
 def table_row_counts(spark, folder):
-    return row_counts(star_tables(spark, folder))
+    return row_counts(keyed_tables(spark, folder))
 
 
 def pk_violations(spark, folder):
-    return quality.pk_violations(star_tables(spark, folder))
+    return quality.pk_violations(keyed_tables(spark, folder))
 
 
 def duplicate_item_keys(spark, folder):
