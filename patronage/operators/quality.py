@@ -70,17 +70,16 @@ def raw_rules(df: DataFrame) -> list[Rule]:
 def engineered_rules(df: DataFrame) -> list[Rule]:
     """One engineered row: every column present, five of them non-negative."""
     return [
-        *(r for c in FEATURE_SCHEMA.fieldNames() for r in [_no_null(df, c)]),
+        *(
+            Rule(f"{c} is present", count_where(F.col(c).isNull()))
+            for c in FEATURE_SCHEMA.fieldNames()
+        ),
         *at_least(
             0, "recency_days", "frequency", "monetary", "avg_order_value", "days_per_order"
         ),
     ]
 
 
-def _no_null(df: DataFrame, column: str) -> Rule:
-    return Rule(f"{column} is present", count_where(F.col(column).isNull()))
-
-
 def score_rules(df: DataFrame) -> list[Rule]:
     """Scores of found customers are within bounds; of others they are NULL."""
     found = F.col("found")

@@ -22,7 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Trees of the model that the scoring queries use.
 ROUNDS = training.N_ESTIMATORS
-LOOKED_UP = 7
+# A repeat customer at every scale factor.
+LOOKED_UP = 4
 SWEEP_DAYS = (30, 60, 90, 120, 180, 270, 365)
 
 

@@ -78,4 +78,4 @@ def test_no_python_and_no_cross_join(plan, name):
 
 
 def test_lookup_filters_at_the_scan(plan):
-    assert "EqualTo(customer_unique_id,7)" in plan("lookup_customer")
+    assert "EqualTo(customer_unique_id,4)" in plan("lookup_customer")
