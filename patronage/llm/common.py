@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     if not batch.num_rows:
         return
     values = batch.column(column)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(lengths.astype(np.int64)) // limit
     starts = np.flatnonzero(np.diff(run, prepend=run[0] - 1))
     for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):

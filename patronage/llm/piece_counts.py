@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -125,7 +126,7 @@ def count_tokens(
             for part in slices(batch, "text"):
                 rows = texts(part.column("text"))
                 counts = np.array(counter.count(rows), np.int64)
-                sizes = pa.compute.fill_null(pa.compute.binary_length(part.column("text")), 0).cast(pa.int64())
+                sizes = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), sizes, pa.array(counts), pa.array(counts > limit)],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
