@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import byte_bpe, piece_counts
+from patronage.llm import byte_bpe, piece_counts, toxicity
 from patronage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,17 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, folder, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
