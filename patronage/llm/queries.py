@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import byte_bpe, piece_counts, toxicity
+from patronage.llm import byte_bpe, ngram_join, piece_counts, toxicity
 from patronage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, folder, "documents"))
 
@@ -26,6 +30,7 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_ngram_join": op4_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
