@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import byte_bpe, ngram_join, piece_counts, toxicity
+from patronage.llm import byte_bpe, decontaminate, ngram_join, pii, piece_counts, toxicity
 from patronage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.digest(docs, pii.fit(docs))
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks_by_document(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, folder, "documents"))
 
@@ -30,7 +39,9 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op4_ngram_join": op4_ngram_join,
+    "op5_decontaminate": op5_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,

@@ -172,14 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> ToxicityMo
     marked = labels.select("doc_id", F.col(target).cast("int").alias("label"))
     marked = marked.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
+    marked = marked.withColumn("at", F.xxhash64("doc_id"))
+    parts = [marked.filter(F.col("label") == label).orderBy("at", "doc_id").limit(most) for label, most in FIT_ROWS.items()]
+    chosen = F.broadcast(parts[0].unionAll(parts[1]))  # at most sum(FIT_ROWS) rows of three numbers
     texts = docs.select("doc_id", "text").filter(F.length("text").between(1, FIT_CHARS))
-    found = texts.join(marked, "doc_id")
-    rows: list[tuple[int, int, str]] = []
-    for label, most in FIT_ROWS.items():
-        order = F.xxhash64("doc_id", F.lit(label))
-        part = found.filter(F.col("label") == label).select(order.alias("at"), "label", "text")
-        rows += [tuple(row) for row in part.orderBy("at", "text").limit(most).collect()]
-    return fit_rows([(label, text) for _, label, text in sorted(rows)])
+    found = texts.join(chosen, "doc_id").groupBy("doc_id", "at", "label").agg(F.min("text").alias("text"))
+    rows = found.select("at", "label", "text").collect()
+    return fit_rows([(label, text) for _, label, text in sorted(map(tuple, rows))])
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:
