@@ -232,7 +232,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def keep_one(df: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest doc_id; rows without a key stay."""
     found = near_duplicates(df).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = df.join(found, "doc_id").select(*df.columns)
+    kept = df.join(found, "doc_id").select(*(df[f"`{c}`"] for c in df.columns))
     # The join has sorted by key, so this drops repeated rows of a key as they pass by.
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     kept = kept.withColumn("__turn", turn).filter("__turn = 1").drop("__turn")
