@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import byte_bpe, decontaminate, ngram_join, pii, piece_counts, toxicity
+from patronage.llm import byte_bpe, decontaminate, hashing_index, ngram_join, pii, piece_counts, toxicity
 from patronage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(docs, pii.fit(docs))
 
 
+def op2_hashing_index(spark: SparkSession, folder: str) -> DataFrame:
+    return hashing_index.search_table(spark, folder)
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
@@ -40,6 +44,7 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_hashing_index": op2_hashing_index,
     "op4_ngram_join": op4_ngram_join,
     "op5_decontaminate": op5_decontaminate,
     "op7_token_counts": op7_token_counts,
