@@ -37,6 +37,7 @@ SKETCH_CHUNKS = 64
 #: Longest extension of a prefix, and cost of comparing one shingle relative to one match.
 LEVELS = 4
 VERIFY_COST = 0.05
+FILTER_BITS = 23
 
 
 def needed(n):
@@ -131,23 +132,55 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "token long, at byte, class long, n int, level byte, centre int")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _filter_bits(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of 2**FILTER_BITS bits, whatever the number of ids."""
+    size = 1 << FILTER_BITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in batch_sets(batches, "text"):
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            for at in _filter_places(batch.column("hash").to_numpy()):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    parts = wanted.select(F.xxhash64("rep").alias("hash")).repartition(8).mapInArrow(run, "bits binary")
+    out = np.zeros(size // 8, np.uint8)
+    for row in parts.collect():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _filter_places(hashes: np.ndarray) -> list[np.ndarray]:
+    h = hashes.view(np.uint64)
+    return [(h >> np.uint64(shift)).astype(np.int64) & ((1 << FILTER_BITS) - 1) for shift in (0, 20, 40)]
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Shingle sets of the wanted representatives (and of the few that the filter lets pass)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def passing() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places = _filter_places(batch.column("hash").to_numpy())
+                yield batch.filter(pa.array(bits[places[0]] & bits[places[1]] & bits[places[2]]))
+
+        for part, sets in batch_sets(passing(), "text"):
             yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "tokens"])
 
-    kind = docs.schema["rep"].dataType.simpleString()
-    return docs.mapInArrow(run, f"rep {kind}, tokens binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.dropna(subset=["doc_id"]).select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("hash"), "text")
+    return texts.mapInArrow(run, f"rep {kind}, tokens binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of representatives whose sets are similar."""
+    """Those of the pairs (a, b) of representatives whose sets are similar.
+
+    A key that several rows share may stand for several sets; any two are compared."""
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").dropna(subset=["rep"])
-    # A key that several rows share has one representative text per class; any pair of
-    # sets is compared as it is.
-    found = texts.join(wanted.hint("shuffle_hash"), "rep", "left_semi")
-    sets = materialize(_sets(found), "sets")
+    sets = materialize(_sets(docs, wanted), "sets")
     joined = (
         pairs.join(sets.withColumnsRenamed({"rep": "a", "tokens": "x"}), "a")
         .join(sets.withColumnsRenamed({"rep": "b", "tokens": "y"}), "b")
@@ -179,12 +212,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = own.filter("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
 
-    # Both uses read the same shuffled rows.
-    rows = _prefixes(docs, _sketch(described)).repartition("token")
-    shared = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    shared = shared.filter("low <> high").select("token")
+    # Both sides of the join need the same columns and rows, so the shuffle is done once.
+    rows = _prefixes(docs, _sketch(described)).filter("token IS NOT NULL").repartition("token")
+    rest = ("n", "at", "level", "centre")
+    shared = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), *(F.min(c).alias(c) for c in rest))
+    shared = shared.filter("low <> high AND least(n, at, level, centre) >= 0").select("token")
     matched = rows.join(shared, "token").distinct().join(classes.dropna(subset=["rep"]), ["class", "n"])
-    matched = materialize(matched.select("token", "rep", "n", "at", "level", "centre"), "matched")
+    matched = materialize(matched.drop("class"), "matched")
 
     leaders = matched.groupBy("token").agg(F.max(F.struct("centre", "rep", "n")).alias("lead"))
     stars = (
