@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import byte_bpe, decontaminate, hashing_index, ngram_join, pii, piece_counts, toxicity
+from patronage.llm import byte_bpe, decontaminate, hashing_index, html_text, ngram_join, pii, piece_counts, quality, toxicity
 from patronage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks_by_document(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.page_texts(table(spark, folder, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, folder, "documents"))
 
@@ -42,12 +46,19 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"))
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_hashing_index": op2_hashing_index,
     "op4_ngram_join": op4_ngram_join,
     "op5_decontaminate": op5_decontaminate,
+    "op6_html_text": op6_html_text,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality": op10_quality,
 }
