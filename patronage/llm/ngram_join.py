@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from patronage.llm.common import keyed_texts
 from patronage.llm.components import components
+from patronage.llm.id_filter import id_filter, passing
 from patronage.llm.shingles import batch_sets, set_digest
 from patronage.session import materialize
 
@@ -37,7 +38,6 @@ SKETCH_CHUNKS = 64
 #: Longest extension of a prefix, and cost of comparing one shingle relative to one match.
 LEVELS = 4
 VERIFY_COST = 0.05
-FILTER_BITS = 23
 
 
 def needed(n):
@@ -132,42 +132,18 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "token long, at byte, class long, n int, level byte, centre int")
 
 
-def _filter_bits(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of 2**FILTER_BITS bits, whatever the number of ids."""
-    size = 1 << FILTER_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            for at in _filter_places(batch.column("hash").to_numpy()):
-                bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    parts = wanted.select(F.xxhash64("rep").alias("hash")).repartition(8).mapInArrow(run, "bits binary")
-    out = np.zeros(size // 8, np.uint8)
-    for row in parts.collect():
-        out |= np.frombuffer(row.bits, np.uint8)
-    return np.unpackbits(out).astype(bool)
-
-
-def _filter_places(hashes: np.ndarray) -> list[np.ndarray]:
-    h = hashes.view(np.uint64)
-    return [(h >> np.uint64(shift)).astype(np.int64) & ((1 << FILTER_BITS) - 1) for shift in (0, 20, 40)]
-
-
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Shingle sets of the wanted representatives (and of the few that the filter lets pass)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
 
-        def passing() -> Iterator[pa.RecordBatch]:
+        def chosen() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                places = _filter_places(batch.column("hash").to_numpy())
-                yield batch.filter(pa.array(bits[places[0]] & bits[places[1]] & bits[places[2]]))
+                yield batch.filter(pa.array(passing(bits, batch.column("hash").to_numpy())))
 
-        for part, sets in batch_sets(passing(), "text"):
+        for part, sets in batch_sets(chosen(), "text"):
             yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import byte_bpe, decontaminate, hashing_index, html_text, ngram_join, pii, piece_counts, quality, toxicity
+from patronage.llm import byte_bpe, decontaminate, hashing_index, html_text, ngram_join, pii, piece_counts, quality, suffix_dedup, toxicity
 from patronage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_hashing_index(spark: SparkSession, folder: str) -> DataFrame:
     return hashing_index.search_table(spark, folder)
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
@@ -54,6 +58,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_hashing_index": op2_hashing_index,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op5_decontaminate": op5_decontaminate,
     "op6_html_text": op6_html_text,
