@@ -7,8 +7,8 @@ class chooses its l where the estimated cost of candidates and their verificatio
 least; a pair has to share the smaller l of the two. Rarity comes from counts of all
 texts' shingles in 2**SKETCH_BITS cells (a fixed size; it only orders and estimates).
 
-Large groups are not paired out. First every class is verified against the most
-central class that any of its prefix shingles leads to; only shingles that then still
+Large groups are not paired out. First every class is verified against one of the
+most central classes that its prefix shingles lead to; only shingles that then still
 connect different components are joined pairwise. So nothing is lost, and a group of
 n similar texts costs about n verifications.
 
@@ -38,6 +38,8 @@ SKETCH_CHUNKS = 64
 #: Longest extension of a prefix, and cost of comparing one shingle relative to one match.
 LEVELS = 4
 VERIFY_COST = 0.05
+#: Pairs of two numbers that are sent to all executors at most, 24 MB.
+BROADCAST_PAIRS = 1_000_000
 
 
 def needed(n):
@@ -152,16 +154,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of representatives whose sets are similar.
-
-    A key that several rows share may stand for several sets; any two are compared."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = materialize(_sets(docs, wanted), "sets")
-    joined = (
-        pairs.join(sets.withColumnsRenamed({"rep": "a", "tokens": "x"}), "a")
-        .join(sets.withColumnsRenamed({"rep": "b", "tokens": "y"}), "b")
-        .select("a", "b", "x", "y")
-    )
+    """Those of the stored pairs (a, b) of representatives whose sets are similar.
+
+    The set of a travels to that of b, so b should be what many pairs have in common.
+    Few pairs are sent to where the sets of their a are made; more than
+    BROADCAST_PAIRS meet them by a shuffle. A key that several rows share may stand
+    for several sets; any two are compared."""
+    few = pairs.count() <= BROADCAST_PAIRS
+    sides = [
+        _sets(docs, pairs.select(F.col(c).alias("rep")).distinct()).withColumnsRenamed({"rep": c, "tokens": name})
+        for c, name in (("a", "x"), ("b", "y"))
+    ]
+    joined = sides[0].join(F.broadcast(pairs) if few else pairs, "a").join(sides[1], "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +193,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = materialize(classes, "classes")
 
     # Both sides of the join need the same columns and rows, so the shuffle is done once.
-    rows = _prefixes(docs, _sketch(described)).filter("token IS NOT NULL").repartition("token")
+    rows = _prefixes(docs, _sketch(described)).filter("token IS NOT NULL AND class IS NOT NULL AND n IS NOT NULL")
+    rows = rows.repartition("token")
     rest = ("n", "at", "level", "centre")
     shared = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), *(F.min(c).alias(c) for c in rest))
     shared = shared.filter("low <> high AND least(n, at, level, centre) >= 0").select("token")
@@ -201,8 +206,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         matched.join(leaders, "token")
         .filter("rep <> lead.rep")
         .filter(_sizes_fit("n", "lead.n"))
-        .select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
-        .distinct()
+        .groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .groupBy("a")
+        .agg(F.max(F.struct("shared", "b")).alias("best"))
+        .select("a", "best.b")
     )
     stars = materialize(stars, "stars")
     links = materialize(_verified(stars, docs), "links")
@@ -225,6 +233,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .filter("shared >= least")
         .select("a", "b")
         .join(stars, ["a", "b"], "left_anti")
+        .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
     more = materialize(_verified(materialize(pairs, "pairs"), docs), "links")
     if more.head(1):
