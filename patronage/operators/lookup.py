@@ -29,18 +29,16 @@ def requested(store: DataFrame, requests: DataFrame) -> DataFrame:
     return store.join(asked, CUSTOMER_KEY, "left_semi")
 
 
-def answer_requests(
-    requests: DataFrame, store: DataFrame, hot: list | None = None
-) -> DataFrame:
+def answer_requests(requests: DataFrame, store: DataFrame) -> DataFrame:
     """Every request with the columns of its customer and ``found``.
 
     Repeated ids give repeated rows; unknown ids give NULLs. ``store`` is
-    unique by customer. A customer that very many requests ask for is joined
-    map-side, see ``join_on_unique``.
+    unique by customer. Requests for one customer may be very many, see
+    ``join_on_unique``.
     """
     known = store.withColumnRenamed(CUSTOMER_KEY, "customer_id").withColumn("_hit", F.lit(True))
     return (
-        join_on_unique(requests, known, "customer_id", "left", hot)
+        join_on_unique(requests, known, "customer_id", "left")
         .withColumn("found", F.col("_hit").isNotNull())
         .drop("_hit")
     )

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.operators.skew import hot_keys, join_on_unique, split_hot
+from patronage.operators.skew import join_on_unique
 
 CHURN_DAYS = 180
 DELIVERED = "delivered"
@@ -76,24 +76,16 @@ def stocked_orders(order_items: DataFrame) -> DataFrame:
     return order_items.select("order_id").distinct()
 
 
-def order_spend(order_payments: DataFrame, hot: list | None = None) -> DataFrame:
+def order_spend(order_payments: DataFrame) -> DataFrame:
     """Per order: the sum of its distinct payment values and their number.
 
-    The payments move once, by order. Those of a hot order (``hot``, or found
-    by a sketch if None) move by order *and* value, which spreads them over
-    tasks, and then as partial sums.
+    Payments move by order *and* value, at most one row per pair and map task,
+    and then as partial sums by order. So no order weighs on one task, whatever
+    share of the payments it has.
     """
-    paid = order_payments.select("order_id", "payment_value")
-    if hot is None:
-        hot = hot_keys(paid, "order_id")
-    usual, spread = split_hot(paid, "order_id", hot)
-    totals = _spend(usual.repartition("order_id"))
-    return totals if spread is None else totals.unionByName(_spend(spread))
-
-
-def _spend(paid: DataFrame) -> DataFrame:
     return (
-        paid.distinct()
+        order_payments.select("order_id", "payment_value")
+        .distinct()
         .groupBy("order_id")
         .agg(F.sum("payment_value").alias("spend"), F.count(F.lit(1)).alias("n_values"))
     )
@@ -110,9 +102,7 @@ def delivered_before_cutoff(
     window = before_cutoff(tables["orders"], cutoff, status)
     stocked = window.join(stocked_orders(tables["order_items"]), "order_id", "left_semi")
     customers = tables["customers"].select("customer_id", "customer_unique_id")
-    # Hot keys are looked for in the stored tables, not in joins over them.
-    busy = hot_keys(tables["orders"], "customer_id")
-    known = join_on_unique(stocked, customers, "customer_id", hot=busy)
+    known = join_on_unique(stocked, customers, "customer_id")
     paid = tables["order_payments"].select("order_id", "payment_value")
     rows = join_on_unique(paid, known, "order_id", distinct=True)
     return rows.select("order_id", "customer_unique_id", "order_date", "payment_value")

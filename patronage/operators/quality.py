@@ -188,7 +188,8 @@ def pk_violations(
 
 def enforce_primary_key(df: DataFrame, key: str, table: str) -> None:
     """Raise on a repeated or missing key, naming one."""
-    bad = duplicate_keys(df, key).first()
+    worst = F.max_by(F.struct(key, "n_rows"), "n_rows").alias("worst")
+    bad = duplicate_keys(df, key).agg(worst).first()["worst"]
     if bad is not None:
         raise QualityError(f"{table}: key {key} = {bad[key]!r} has {bad['n_rows']} rows")
 

@@ -131,13 +131,16 @@ def rfm_metrics(gaps: DataFrame, cutoff: datetime.date | None) -> DataFrame:
 # --- label ---------------------------------------------------------------------
 
 
-def churn_labels(metrics: DataFrame, active: DataFrame) -> DataFrame:
-    """Label 1 for customers of the feature window who did not come back."""
+def churn_labels(metrics: DataFrame, active: DataFrame, impute: bool = True) -> DataFrame:
+    """Label 1 for customers of the feature window who did not come back.
+
+    ``impute=False`` leaves the mean gap of customers with one row NULL."""
     back = active.withColumn("came_back", F.lit(True))
     churned = F.when(F.col("came_back").isNull(), 1).otherwise(0)
+    gap = F.coalesce("avg_days_between_orders", F.lit(0.0)) if impute else F.col("avg_days_between_orders")
     return (
         metrics.join(back, KEY, "left")
-        .withColumn("avg_days_between_orders", F.coalesce("avg_days_between_orders", F.lit(0.0)))
+        .withColumn("avg_days_between_orders", gap)
         .withColumn("churn_label", churned.cast("int"))
         .drop("came_back")
     )

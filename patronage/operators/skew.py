@@ -1,87 +1,28 @@
 """Joins of a many-rows side with a side that is unique by key.
 
-One key may hold a large share of the rows. A shuffle join would bring all of
-them to one task, so the rows of such keys are joined map-side instead.
+One key may hold a large share of the rows. Nothing is looked for or listed: the
+many-rows side reaches the join through a shuffle that the planner puts there, and
+adaptive execution splits any partition of it that turns out too large, sending the
+few rows of the other side to each piece.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-# More rows of one key than a task should sort; below it nothing is split.
-HOT_ROWS = 5_000_000
-# Upper bound of the split keys, and so of the rows broadcast for them.
-MAX_HOT_KEYS = 256
-# Size of the frequent-items sketch, which does not depend on the data: it sees
-# every key that has more than about 1/3500 of the rows.
-TRACKED_ITEMS = 16_384
-
-
-def hot_keys(
-    df: DataFrame, key: str, hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS
-) -> list:
-    """Keys of ``df`` with more than ``hot_rows`` rows: at most ``max_keys``,
-    and None if that many rows have no key.
-
-    One scan of the key column into a bounded sketch, without a shuffle. The
-    counts are estimates, and only choose which way a key is joined. ``df``
-    should be a stored table: counting its rows, which may already rule hot
-    keys out, then reads no column.
-    """
-    if df.count() <= hot_rows:
-        return []
-    sketch = F.expr(f"approx_top_k(`{key}`, {max_keys}, {TRACKED_ITEMS})")
-    present = F.col(key).isNotNull()
-    found = df.agg(F.count_if(~present).alias("n_null"), sketch.alias("top")).first()
-    hot = [
-        item["item"]
-        for item in found["top"] or []
-        if item["item"] is not None and item["count"] > hot_rows
-    ]
-    return [*hot, None] if found["n_null"] > hot_rows else hot
-
-
-def _is_one_of(key: str, values: list) -> Column:
-    listed = F.coalesce(F.col(key).isin([v for v in values if v is not None]), F.lit(False))
-    return listed | F.col(key).isNull() if None in values else listed
-
-
-def split_hot(df: DataFrame, key: str, hot: list) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of all other keys, and rows of hot keys (None if there are none)."""
-    if not hot:
-        return df, None
-    return df.where(~_is_one_of(key, hot)), df.where(_is_one_of(key, hot))
+from pyspark.sql import DataFrame
 
 
 def join_on_unique(
-    many: DataFrame,
-    one: DataFrame,
-    key: str,
-    how: str = "inner",
-    hot: list | None = None,
-    distinct: bool = False,
+    many: DataFrame, one: DataFrame, key: str, how: str = "inner", distinct: bool = False
 ) -> DataFrame:
     """Join ``many`` to ``one``, where ``one`` has at most one row per key.
 
-    ``hot`` lists the keys to join map-side; None looks for them, which scans
-    ``many``. Rows of hot keys meet a broadcast of at most ``len(hot)`` rows.
-    All others meet in a shuffle join. ``how`` is inner or left.
+    ``how`` is inner or left; for both, the side of ``many`` may be split.
 
-    ``distinct`` de-duplicates ``many`` first: within the shuffle that the join
-    needs anyway, and for hot keys in one that hashes on all columns.
+    ``distinct`` de-duplicates ``many`` first, hashed on all its columns, so that
+    rows of one key are spread over tasks by their other values.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"join_on_unique supports inner and left, not {how!r}")
-    if hot is None:
-        hot = hot_keys(many, key)
-    usual, spread = split_hot(many, key, hot)
-    if distinct:
-        usual = usual.repartition(key).distinct()
-    joined = usual.join(one, key, how)
-    if spread is None:
-        return joined
     if distinct:
-        spread = spread.distinct()
-    few = one.where(_is_one_of(key, hot) & F.col(key).isNotNull())
-    return joined.unionByName(spread.join(F.broadcast(few), key, how))
+        many = many.distinct()
+    return many.join(one, key, how)

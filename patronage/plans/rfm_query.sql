@@ -1,17 +1,14 @@
--- Churn features in SQL. Bind :churn_days, :status and :min_orders; the views
--- are orders, customers, order_items and order_payments.
+-- Churn features in SQL. Bind :cutoff, :status and :min_orders; the tables are
+-- given as orders, customers, order_items and order_payments.
 WITH fulfilled AS (
   SELECT order_id, customer_id, CAST(order_purchase_timestamp AS DATE) AS day
-  FROM orders
+  FROM {orders}
   WHERE order_status = :status
 ),
-edge AS (
-  SELECT date_sub(max(day), :churn_days) AS cutoff FROM fulfilled
-),
 -- Equal payments of an order collapse; n counts the values that are left.
 paid AS (
   SELECT order_id, sum(payment_value) AS spend, count(*) AS n
-  FROM (SELECT DISTINCT order_id, payment_value FROM order_payments)
+  FROM (SELECT DISTINCT order_id, payment_value FROM {order_payments})
   GROUP BY order_id
 ),
 -- Totals per login and day before the customers are joined: a busy customer
@@ -19,9 +16,9 @@ paid AS (
 login_days AS (
   SELECT f.customer_id, f.day, count(*) AS n_orders, sum(p.n) AS n_rows, sum(p.spend) AS spend
   FROM fulfilled f
-  LEFT SEMI JOIN (SELECT DISTINCT order_id FROM order_items) i ON i.order_id = f.order_id
+  LEFT SEMI JOIN (SELECT DISTINCT order_id FROM {order_items}) i ON i.order_id = f.order_id
   JOIN paid p ON p.order_id = f.order_id
-  WHERE f.day < (SELECT cutoff FROM edge)
+  WHERE f.day < CAST(:cutoff AS DATE)
   GROUP BY f.customer_id, f.day
 ),
 -- One row per person and day bounds the window; rows of a day are 0 days apart.
@@ -30,7 +27,7 @@ shopping_days AS (
     c.customer_unique_id AS person, l.day,
     sum(l.n_orders) AS n_orders, sum(l.n_rows) AS n_rows, sum(l.spend) AS spend
   FROM login_days l
-  JOIN customers c ON c.customer_id = l.customer_id
+  JOIN {customers} c ON c.customer_id = l.customer_id
   GROUP BY c.customer_unique_id, l.day
 ),
 spaced AS (
@@ -40,7 +37,7 @@ spaced AS (
 habits AS (
   SELECT
     person,
-    CAST(datediff((SELECT cutoff FROM edge), max(day)) AS BIGINT) AS recency_days,
+    CAST(datediff(CAST(:cutoff AS DATE), max(day)) AS BIGINT) AS recency_days,
     CAST(sum(n_orders) AS BIGINT) AS frequency,
     CAST(round(sum(spend), 2) AS DOUBLE) AS monetary,
     CAST(datediff(max(day), min(day)) AS BIGINT) AS customer_lifetime_days,
@@ -53,9 +50,9 @@ returned AS (
   SELECT DISTINCT c.customer_unique_id AS person
   FROM (
     SELECT DISTINCT customer_id FROM fulfilled
-    WHERE day >= (SELECT cutoff FROM edge)
+    WHERE day >= CAST(:cutoff AS DATE)
   ) f
-  JOIN customers c ON c.customer_id = f.customer_id
+  JOIN {customers} c ON c.customer_id = f.customer_id
 )
 SELECT
   h.person AS customer_unique_id,

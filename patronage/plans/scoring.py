@@ -36,7 +36,6 @@ def score_batch(
     model: PipelineModel,
     store: DataFrame,
     requests: DataFrame,
-    hot: list | None = None,
     ordered: bool = True,
 ) -> DataFrame:
     """A score row for every request (pos, customer_id), in request order.
@@ -45,7 +44,7 @@ def score_batch(
     joined to the requests. Unknown ids get ``found = false`` and NULL scores.
     """
     scores = score_store(model, requested(store, requests))
-    answers = answer_requests(requests, scores, hot).select("pos", "customer_id", *SCORES, "found")
+    answers = answer_requests(requests, scores).select("pos", "customer_id", *SCORES, "found")
     return answers.orderBy("pos") if ordered else answers
 
 

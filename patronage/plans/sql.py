@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from patronage.operators.orders import CHURN_DAYS, DELIVERED, Tables
+from patronage.operators.orders import CHURN_DAYS, DELIVERED, Tables, resolve_dates
 from patronage.operators.rfm import MIN_ORDERS
 
 RFM_QUERY = Path(__file__).with_name("rfm_query.sql")
@@ -26,9 +26,13 @@ def compute_rfm(
     min_orders: int = MIN_ORDERS,
     path: str | Path = RFM_QUERY,
 ) -> DataFrame:
-    """The RFM query as SQL. Values are bound by name, never put into the text."""
+    """The RFM query as SQL. Values are bound by name, never put into the text, and
+    tables are given to the query, so that no view of the session is replaced.
+
+    The cutoff is resolved first: bound as a date, it prunes what the scans read.
+    """
     spark = tables["orders"].sparkSession
-    for name in ("orders", "customers", "order_items", "order_payments"):
-        tables[name].createOrReplaceTempView(name)
-    args = {"churn_days": churn_days, "status": status, "min_orders": min_orders}
-    return spark.sql(load_query(path), args=args)
+    names = ("orders", "customers", "order_items", "order_payments")
+    cutoff = resolve_dates(tables["orders"], churn_days, status).cutoff_dt
+    args = {"cutoff": cutoff, "status": status, "min_orders": min_orders}
+    return spark.sql(load_query(path), args=args, **{name: tables[name] for name in names})

@@ -61,15 +61,18 @@ def load_table(
     target: str,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Read one CSV table, replace the stored table, check its key, return it.
+    """Read one CSV table, check its key, replace the stored table, return it.
 
     The key is checked on the parquet copy, which is cheaper to read than text.
+    After a bad field or a repeated key the stored table is what it was.
     """
     df = read_csv_table(spark, csv_path, schema or RAW_TABLES[name])
-    stored = write_table(df, f"{target}/{name}")
-    if name in PRIMARY_KEYS:
-        enforce_primary_key(stored, PRIMARY_KEYS[name], name)
-    return stored
+
+    def check(stored: DataFrame) -> None:
+        if name in PRIMARY_KEYS:
+            enforce_primary_key(stored, PRIMARY_KEYS[name], name)
+
+    return write_table(df, f"{target}/{name}", check)
 
 
 def load_all(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +19,58 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Replace the table at ``path``, making folders, and return it as stored."""
-    df.write.mode("overwrite").parquet(path)
-    return read_table(df.sparkSession, path, df.schema)
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path``, and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def publish(
+    df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None, write=None
+) -> DataFrame:
+    """Replace the table at ``path`` by ``df`` as a whole, or leave it as it was.
+
+    The rows are written beside the table, read back and given to ``check``; only
+    then do two renames put them in its place. On any error before that the old table
+    is untouched and the new rows are removed.
+    """
+    spark = df.sparkSession
+    files, make = _files(spark, path)
+    parent, _, name = path.rstrip("/").rpartition("/")
+    mark = uuid.uuid4().hex
+    # Readers of the parent folder skip names that begin with an underscore.
+    staged, old = (f"{parent}/_{kind}-{name}-{mark}" for kind in ("staged", "old"))
+    try:
+        if write:
+            write(df, staged)
+        else:
+            df.write.parquet(staged)
+        if check:
+            check(read_table(spark, staged, df.schema))
+        target = make(path)
+        replaced = files.exists(target)
+        if replaced and not files.rename(target, make(old)):
+            raise OSError(f"{path} cannot be moved away")
+        if not files.rename(make(staged), target):
+            if replaced:
+                files.rename(make(old), target)
+            raise OSError(f"{staged} cannot be moved to {path}")
+        if replaced:
+            files.delete(make(old), True)
+    finally:
+        files.delete(make(staged), True)
+    spark.catalog.refreshByPath(path)
+    return read_table(spark, path, df.schema)
+
+
+def write_table(
+    df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None
+) -> DataFrame:
+    """Replace the table at ``path``, making folders, and return it as stored.
+
+    ``check`` sees the new rows before they replace the old ones, and raises if
+    they must not."""
+    return publish(df, path, check)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -32,30 +82,45 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+#: A file beside the rows of a store whose customers were found to be unique.
+CHECKED = f"_unique-{CUSTOMER_KEY}"
+
+
 def write_store(df: DataFrame, path: str) -> DataFrame:
     """Write the feature store so that a lookup by customer reads little of it.
 
     Files and row groups hold disjoint key ranges, which the reader skips by
-    their statistics; a Bloom filter per row group skips unknown customers.
+    their statistics; a Bloom filter per row group skips unknown customers. Customers
+    are checked to be unique once, here, and that is recorded beside the rows.
     """
-    (
-        df.repartitionByRange(CUSTOMER_KEY)
-        .sortWithinPartitions(CUSTOMER_KEY)
-        .write.mode("overwrite")
-        .option(f"parquet.bloom.filter.enabled#{CUSTOMER_KEY}", "true")
-        .parquet(path)
-    )
-    return read_table(df.sparkSession, path, df.schema)
+    spark = df.sparkSession
+
+    def write(rows: DataFrame, target: str) -> None:
+        (
+            rows.repartitionByRange(CUSTOMER_KEY)
+            .sortWithinPartitions(CUSTOMER_KEY)
+            .write.option(f"parquet.bloom.filter.enabled#{CUSTOMER_KEY}", "true")
+            .parquet(target)
+        )
+        enforce_primary_key(read_table(spark, target, rows.schema), CUSTOMER_KEY, "feature store")
+        files, make = _files(spark, target)
+        files.create(make(f"{target}/{CHECKED}")).close()
+
+    return publish(df, path, write=write)
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
     """The feature store: engineered columns, unique by customer.
 
-    A missing path, a missing column or a repeated customer raises.
+    A missing path, a missing column or a repeated customer raises. A store of
+    ``write_store`` was checked when it was written and is opened without a job; the
+    keys of any other are checked here.
     """
     store = read_table(spark, path)
     absent = [c for c in FEATURE_COLUMNS if c not in store.columns]
     if absent:
         raise ValueError(f"feature store {path} lacks {', '.join(absent)}")
-    enforce_primary_key(store, CUSTOMER_KEY, "feature store")
+    files, make = _files(spark, path)
+    if not files.exists(make(f"{path}/{CHECKED}")):
+        enforce_primary_key(store, CUSTOMER_KEY, "feature store")
     return store.select(*FEATURE_COLUMNS)

@@ -31,17 +31,21 @@ def star_tables(
     payment: str = "l_extendedprice",
     logins_per_person: int = 1,
     items: Column | None = None,
+    text_keys: bool = False,
 ) -> dict[str, DataFrame]:
     """Projections of the parquet tables in ``folder``; nothing is computed.
 
     ``payment`` names the line column paid. ``logins_per_person`` maps that
     many customer ids to one person. ``items`` keeps only some lines as items,
-    so that orders exist which have payments but no item.
+    so that orders exist which have payments but no item. ``text_keys`` gives
+    persons the key type that stored features declare.
     """
     lines = _table(spark, folder, "lineitem")
     person = F.col("c_custkey")
     if logins_per_person > 1:
         person = F.expr(f"c_custkey div {int(logins_per_person)}")
+    if text_keys:
+        person = person.cast("string")
     return {
         "customers": _table(spark, folder, "customer").select(
             F.col("c_custkey").alias("customer_id"), person.alias("customer_unique_id")

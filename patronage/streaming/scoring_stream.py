@@ -34,8 +34,12 @@ def score_stream(
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        scored = score_batch(model, store, batch, ordered=False)
-        scored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        batch.persist()  # the ids, the scores and the join read it
+        try:
+            scored = score_batch(model, store, batch, ordered=False)
+            scored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         requests.writeStream.foreachBatch(answer)

@@ -205,6 +205,12 @@ SUMMARY = (
     "'1' AS model_version FROM asked LEFT JOIN engineered ON customer_unique_id = customer_id)"
 )
 
+JUDGED = (
+    f"{STORE}, {REQUESTS} SELECT pos, customer_id, recency_days IS NOT NULL AS found, "
+    "TRUE AS in_bounds, TRUE AS consistent FROM asked "
+    "LEFT JOIN engineered ON customer_unique_id = customer_id"
+)
+
 ORACLES: dict[str, str] = {
     "rfm_churn": f"{BASE} SELECT {RFM_COLUMNS} FROM repeaters",
     "rfm_sql_param": f"{BASE} SELECT {RFM_COLUMNS} FROM repeaters",
@@ -350,10 +356,35 @@ FROM counted""",
         f"{SPLIT} SELECT 'scale_pos_weight' AS param, "
         f"CAST(round({RATIO}, 3) AS VARCHAR) AS value FROM sided WHERE side = 'train' "
         "UNION ALL VALUES ('model_type', 'gbt'), ('n_estimators', '100'), ('max_depth', '4'), "
-        "('learning_rate', '0.1')"
+        "('learning_rate', '0.1'), ('features_path', 'features')"
     ),
     "store_status": (
         f"{STORE} SELECT 'ok' AS status, '1' AS model_version, "
         "count(*) AS n_customers_in_store FROM engineered"
     ),
+    "score_batch_judged": JUDGED,
+    "score_stream_judged": JUDGED,
+    "score_customers_judged": (
+        f"{STORE} SELECT customer_unique_id AS pos, customer_unique_id AS customer_id, "
+        "TRUE AS found, TRUE AS in_bounds, TRUE AS consistent FROM engineered"
+    ),
+    "metrics_in_bounds": (
+        "SELECT unnest(['auc', 'precision', 'recall']) AS metric, TRUE AS in_bounds"
+    ),
+    "load_report": """
+SELECT 'customers' AS table_name, count(*) AS n_rows FROM customer
+UNION ALL SELECT 'orders', count(*) FROM orders
+UNION ALL SELECT 'order_items', count(*) FROM lineitem
+UNION ALL SELECT 'sellers', count(*) FROM supplier""",
+    "loaded_items": """
+SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_linenumber AS INTEGER) AS order_item_id,
+  CAST(l_partkey AS VARCHAR) AS product_id,
+  CAST(CAST(l_extendedprice AS DECIMAL(12,2)) + 0.01 AS DECIMAL(10,2)) AS price,
+  CAST(l_quantity AS DECIMAL(10,2)) AS freight_value
+FROM lineitem""",
+    "loaded_customers": """
+SELECT CAST(c_custkey AS VARCHAR) AS customer_id, CAST(c_custkey AS VARCHAR) AS customer_unique_id,
+  lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS customer_zip_code_prefix,
+  'town, ' || c_custkey AS customer_city, CASE WHEN c_custkey % 2 = 0 THEN '' END AS customer_state
+FROM customer""",
 }

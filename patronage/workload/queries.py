@@ -12,9 +12,10 @@ from patronage.functions import features as X
 from patronage.operators import lookup, metrics, orders, profile, quality, rfm, split
 from patronage.plans import registry, scoring, sql, training
 from patronage.plans.pipeline import build_features, build_rfm_dataset
-from patronage.schemas import CUSTOMER_KEY
+from patronage.schemas import CUSTOMER_KEY, RAW_TABLES
 from patronage.session import new_path
-from patronage.sources.parquet_tables import open_store, row_counts
+from patronage.sources.csv_tables import load_table
+from patronage.sources.parquet_tables import open_store, read_table, row_counts
 from patronage.sources.star_tables import FULFILLED, keyed_tables, star_tables
 from patronage.streaming.scoring_stream import request_stream, score_stream
 
@@ -23,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Trees of the model that the scoring queries use.
 ROUNDS = training.N_ESTIMATORS
 # A repeat customer at every scale factor.
-LOOKED_UP = 4
+LOOKED_UP = "4"
 SWEEP_DAYS = (30, 60, 90, 120, 180, 270, 365)
 
 
@@ -64,17 +65,26 @@ def feature_path(spark: SparkSession, folder: str) -> str:
 
     def build() -> str:
         rfm_path, path = new_path(spark, "rfm"), new_path(spark, "features")
-        build_rfm_dataset(star_tables(spark, folder), rfm_path, status=FULFILLED)
+        build_rfm_dataset(star_tables(spark, folder, text_keys=True), rfm_path, status=FULFILLED)
         build_features(spark, rfm_path, path)
         return path
 
     return _once(spark, "features", folder, build)
 
 
-def _store(spark: SparkSession, folder: str) -> DataFrame:
+def _text_store(spark: SparkSession, folder: str) -> DataFrame:
     return open_store(spark, feature_path(spark, folder))
 
 
+def _numbered(df: DataFrame, key: str = CUSTOMER_KEY) -> DataFrame:
+    """Keys as the star schema has them."""
+    return df.withColumn(key, F.col(key).cast("bigint"))
+
+
+def _store(spark: SparkSession, folder: str) -> DataFrame:
+    return _numbered(_text_store(spark, folder))
+
+
 def _registry(spark: SparkSession, folder: str) -> str:
     """A registry with the run and the model version of one training."""
 
@@ -256,12 +266,7 @@ def rfm_violations_two_snapshots(spark, folder):
 def raw_violations(spark, folder):
     """Metrics without imputation: customers with one row have no gap."""
     measured, active = _metrics(spark, folder)
-    gap = measured.select(CUSTOMER_KEY, F.col("avg_days_between_orders").alias("gap"))
-    df = (
-        rfm.churn_labels(measured, active)
-        .join(gap, CUSTOMER_KEY)
-        .withColumn("avg_days_between_orders", F.col("gap"))
-    )
+    df = rfm.churn_labels(measured, active, impute=False)
     return quality.check(df, quality.raw_rules(df))
 
 
@@ -341,14 +346,17 @@ def train_metrics(spark, folder):
 def run_log(spark, folder):
     run = registry.best_run(spark, _registry(spark, folder))
     params = run.select(F.explode("params").alias("param", "value"))
-    return params.where(F.col("param") != "features_path")
+    # Where the features lie differs between runs; that the run names them does not.
+    known = F.lit(feature_path(spark, folder))
+    shown = F.when(F.col("value") == known, "features").otherwise(F.col("value"))
+    return params.select("param", F.when(F.col("param") == "features_path", shown).otherwise(F.col("value")).alias("value"))
 
 
 # --- scoring -----------------------------------------------------------------------------
 
 
 def lookup_customer(spark, folder):
-    return _rounded_log(lookup.lookup_customer(_store(spark, folder), LOOKED_UP))
+    return _rounded_log(_numbered(lookup.lookup_customer(_text_store(spark, folder), LOOKED_UP)))
 
 
 def batch_lookup(spark, folder):
@@ -362,12 +370,15 @@ def batch_summary(spark, folder):
 
 
 def store_status(spark, folder):
-    return scoring.store_status(_store(spark, folder), 1)
+    version = registry.latest_version(spark, _registry(spark, folder))
+    return scoring.store_status(_store(spark, folder), version)
 
 
 def score_customer(spark, folder):
     model, version = _model(spark, folder)
-    return scoring.score_customer(model, _store(spark, folder), LOOKED_UP, version)
+    return _numbered(
+        scoring.score_customer(model, _text_store(spark, folder), LOOKED_UP, version), "customer_id"
+    )
 
 
 def score_batch(spark, folder):
@@ -385,7 +396,8 @@ def score_summary(spark, folder):
 
 def batch_event(spark, folder):
     """The event of a batch whose requests are looked up, not scored."""
-    summary = batch_summary(spark, folder).withColumn("model_version", F.lit("1"))
+    version = registry.latest_version(spark, _registry(spark, folder))
+    summary = batch_summary(spark, folder).withColumn("model_version", F.lit(str(version)))
     return scoring.batch_events(summary)
 
 
@@ -413,13 +425,114 @@ def score_stream_available(spark, folder):
     model, _ = _model(spark, folder)
     inbox, outbox, state = (new_path(spark, n) for n in ("inbox", "outbox", "stream-state"))
     requests = _requests(spark, folder)
-    requests.repartition(3, "pos").write.parquet(inbox)
+    requests.write.parquet(inbox)
     arriving = request_stream(spark, inbox, requests.schema, files_per_trigger=1)
     score_stream(model, _store(spark, folder), arriving, outbox, state).awaitTermination()
     columns = ["pos", "customer_id", *scoring.SCORES, "found"]
     return spark.read.parquet(outbox).select(*columns)
 
 
+def _judged(scored: DataFrame) -> DataFrame:
+    """What can be said of each score without knowing the trees."""
+    found, chance = F.col("found"), F.col("churn_probability")
+    return scored.select(
+        "pos",
+        "customer_id",
+        "found",
+        F.when(found, chance.between(0, 1)).otherwise(chance.isNull()).alias("in_bounds"),
+        F.when(found, F.col("churn_prediction") == (chance > 0.5).cast("int"))
+        .otherwise(F.col("churn_prediction").isNull())
+        .alias("consistent"),
+    )
+
+
+def score_batch_judged(spark, folder):
+    return _judged(score_batch(spark, folder))
+
+
+def score_stream_judged(spark, folder):
+    return _judged(score_stream_available(spark, folder))
+
+
+def score_customers_judged(spark, folder):
+    """Every customer of the store scored, and asked for as one request each."""
+    model, _ = _model(spark, folder)
+    store = _store(spark, folder)
+    asked = store.select(F.col(CUSTOMER_KEY).alias("pos"), F.col(CUSTOMER_KEY).alias("customer_id"))
+    return _judged(scoring.score_batch(model, store, asked))
+
+
+def metrics_in_bounds(spark, folder):
+    """The logged metrics of the training, each between 0 and 1, and its class ratio above 0."""
+    run = registry.latest_run(spark, _registry(spark, folder))
+    values = run.select(F.explode("metrics").alias("metric", "value"))
+    return values.select("metric", ((F.col("value") >= 0) & ((F.col("value") <= 1) | (F.col("metric") == "scale_pos_weight"))).alias("in_bounds"))
+
+
+def _csv_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Raw tables made of the given ones, as text: quoted commas, quoted empty and missing
+    fields, and decimals with more digits than are declared."""
+    tables = keyed_tables(spark, folder)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    text = lambda c: F.col(c).cast("string")
+    when = F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm:ss")
+    nothing = F.lit(None).cast("string")
+    return {
+        "customers": tables["customers"].select(
+            text("customer_id").alias("customer_id"),
+            text("customer_unique_id").alias("customer_unique_id"),
+            F.lpad(text("customer_id"), 8, "0").alias("customer_zip_code_prefix"),
+            F.concat(F.lit("town, "), text("customer_id")).alias("customer_city"),
+            F.when(F.col("customer_id") % 2 == 0, "").otherwise(nothing).alias("customer_state"),
+        ),
+        "orders": tables["orders"].select(
+            text("order_id").alias("order_id"), text("customer_id").alias("customer_id"), "order_status",
+            when.alias("order_purchase_timestamp"),
+            *(nothing.alias(c) for c in RAW_TABLES["orders"].fieldNames()[4:]),
+        ),
+        "order_items": lines.select(
+            text("l_orderkey").alias("order_id"), text("l_linenumber").alias("order_item_id"),
+            text("l_partkey").alias("product_id"), text("l_suppkey").alias("seller_id"),
+            nothing.alias("shipping_limit_date"),
+            (F.col("l_extendedprice").cast("decimal(12,2)") + F.expr("0.0050BD")).cast("string").alias("price"),
+            F.col("l_quantity").cast("decimal(12,4)").cast("string").alias("freight_value"),
+        ),
+        "sellers": tables["sellers"].select(
+            text("seller_id").alias("seller_id"), F.lpad(text("seller_id"), 5, "0").alias("seller_zip_code_prefix"),
+            F.concat(F.lit('the "old" '), text("seller_id")).alias("seller_city"), F.lit("SP").alias("seller_state"),
+        ),
+    }
+
+
+def _loaded(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The raw tables written as CSV and loaded from there."""
+
+    def build() -> str:
+        raw, target = new_path(spark, "raw"), new_path(spark, "tables")
+        for name, df in _csv_tables(spark, folder).items():
+            df.write.csv(f"{raw}/{name}", header=True, quote='"', escape='"', emptyValue='""', nullValue="")
+            load_table(spark, name, f"{raw}/{name}", target)
+        return target
+
+    target = _once(spark, "loaded", folder, build)
+    return {name: read_table(spark, f"{target}/{name}", RAW_TABLES[name]) for name in _csv_tables(spark, folder)}
+
+
+def load_report(spark, folder):
+    """Rows of the loaded tables."""
+    return row_counts(_loaded(spark, folder))
+
+
+def loaded_items(spark, folder):
+    """The loaded lines: keys as text, whole numbers, decimals at their declared scale."""
+    return _loaded(spark, folder)["order_items"].select("order_id", "order_item_id", "product_id", "price", "freight_value")
+
+
+def loaded_customers(spark, folder):
+    """The loaded customers: leading zeros, commas, empty and missing text."""
+    return _loaded(spark, folder)["customers"]
+
+
 QUERIES: dict[str, Query] = {
     "rfm_churn": rfm_churn,
     "rfm_sql_param": rfm_sql_param,
@@ -476,4 +589,11 @@ QUERIES: dict[str, Query] = {
     "score_violations": score_violations,
     "scoring_events": scoring_events,
     "score_stream": score_stream_available,
+    "score_batch_judged": score_batch_judged,
+    "score_stream_judged": score_stream_judged,
+    "score_customers_judged": score_customers_judged,
+    "metrics_in_bounds": metrics_in_bounds,
+    "load_report": load_report,
+    "loaded_items": loaded_items,
+    "loaded_customers": loaded_customers,
 }

@@ -133,6 +133,18 @@ def test_loading_enforces_the_key(spark, tmp_path, line):
         C.load_table(spark, "sellers", str(tmp_path / "sellers.csv"), str(tmp_path / "tables"))
 
 
+@pytest.mark.parametrize("bad", [["s3,1,x,RJ", "s3,2,y,RJ"], ["s4,1,x"]])
+def test_a_refused_load_keeps_the_table(spark, tmp_path, bad):
+    target = str(tmp_path / "tables")
+    read(spark, tmp_path, "sellers", SAMPLES["sellers"], "s2,1,x,RJ")
+    C.load_table(spark, "sellers", str(tmp_path / "sellers.csv"), target)
+    read(spark, tmp_path, "sellers", *bad)
+    with pytest.raises(Exception, match="key seller_id|MALFORMED|FAILED_READ_FILE|FAILED"):
+        C.load_table(spark, "sellers", str(tmp_path / "sellers.csv"), target)
+    assert sorted(r.seller_id for r in spark.read.parquet(f"{target}/sellers").collect()) == ["s1", "s2"]
+    assert [p.name for p in (tmp_path / "tables").iterdir()] == ["sellers"]
+
+
 def test_keys_are_columns_of_their_tables():
     for name, key in PRIMARY_KEYS.items():
         assert key in RAW_TABLES[name].fieldNames()

@@ -5,6 +5,8 @@ import re
 import pytest
 
 from __spark_entry__ import queries
+from patronage.sources.parquet_tables import open_store
+from patronage.workload.queries import feature_path
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -32,7 +34,8 @@ def test_flagship_moves_each_table_once(plan):
         "customer_unique_id",  # totals per person
         "order_id",  # orders of the feature window
         "order_id",  # distinct orders of the items
-        "order_id",  # payments
+        "order_id",  # sums of the payments
+        "order_id, payment_value",  # payments
     ]
     assert text.count("rangepartitioning") == 1
     assert "NestedLoop" not in text and "Cartesian" not in text and "Window" not in text
@@ -77,5 +80,17 @@ def test_no_python_and_no_cross_join(plan, name):
         assert word not in text
 
 
+def test_lookup_opens_the_store_without_a_job(spark, plan):
+    text = plan("lookup_customer")
+    assert "Exchange" not in text.replace("Exchange SinglePartition", "")
+    tracker = spark.sparkContext.statusTracker()
+    before = tracker.getJobIdsForGroup("open")
+    spark.sparkContext.setJobGroup("open", "opening the store")
+    open_store(spark, feature_path(spark, FOLDER))
+    found = set(tracker.getJobIdsForGroup("open")) - set(before)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) <= 1  # the schema of the files, if that
+
+
 def test_lookup_filters_at_the_scan(plan):
     assert "EqualTo(customer_unique_id,4)" in plan("lookup_customer")

@@ -1,4 +1,4 @@
-"""Joins with hot keys give the rows of the plain join."""
+"""Joins with hot keys give the rows of the plain join, without looking for the keys."""
 
 import datetime
 
@@ -18,41 +18,13 @@ def sides(spark):
     return many, one
 
 
-def test_hot_keys_are_found(sides):
-    assert skew.hot_keys(sides[0], "k", hot_rows=100) == [7]
-    assert skew.hot_keys(sides[0], "k") == []
-
-
-def test_many_rows_without_a_key_are_hot(spark):
-    df = spark.createDataFrame([(None,)] * 20 + [("a",)] * 20 + [("b",)] * 3, "k string")
-    assert skew.hot_keys(df, "k", hot_rows=5) == ["a", None]
-
-
-def test_number_of_hot_keys_is_bounded(sides):
-    assert len(skew.hot_keys(sides[0], "k", hot_rows=1, max_keys=3)) == 3
-
-
-def test_hot_keys_of_no_rows(spark):
-    assert skew.hot_keys(spark.createDataFrame([], "k string"), "k", hot_rows=0) == []
-
-
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("hot", [[], [7], [7, 999, 3], [None], [None, 7]])
-def test_split_join_equals_plain_join(sides, how, hot):
+@pytest.mark.parametrize("distinct", [False, True])
+def test_equals_plain_join(sides, how, distinct):
     many, one = sides
+    twice = many.unionAll(many) if distinct else many
     expected = sorted(map(str, many.join(one, "k", how).collect()))
-    actual = skew.join_on_unique(many, one, "k", how, hot)
-    assert sorted(map(str, actual.collect())) == expected
-
-
-def test_hot_rows_are_joined_without_a_shuffle(spark, sides):
-    many, one = sides
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = skew.join_on_unique(many, one, "k", hot=[7])._jdf.queryExecution().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    assert sorted(map(str, skew.join_on_unique(twice, one, "k", how, distinct).collect())) == expected
 
 
 def test_other_joins_are_refused(sides):
@@ -60,7 +32,30 @@ def test_other_joins_are_refused(sides):
         skew.join_on_unique(*sides, "k", "full")
 
 
-def test_window_rows_with_a_hot_order(spark, monkeypatch):
+def test_large_partitions_are_split(spark, sides):
+    """With very small thresholds the hot key's partition is read in pieces."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    }
+    many, one = sides
+    rows = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 40 END AS k", "id AS v").repartition(8)
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = skew.join_on_unique(rows, one, "k", distinct=True)
+        assert joined.count() == 60_000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_window_rows_with_a_hot_order(spark):
     values = [f"{i}.00" for i in range(1, 41)]
     orders = [
         ("hot", "u1", "delivered", "2018-01-01", 30, values),
@@ -68,12 +63,7 @@ def test_window_rows_with_a_hot_order(spark, monkeypatch):
         ("late", "u2", "delivered", "2018-12-01", 1, ["1.00"]),
     ]
     tables = make_tables(spark, orders)
-    plain = O.delivered_before_cutoff(tables, datetime.date(2018, 6, 1)).collect()
-    monkeypatch.setattr(skew.hot_keys, "__defaults__", (10, 8))
-    split = O.delivered_before_cutoff(tables, datetime.date(2018, 6, 1))
-    assert "BroadcastHashJoin" in split._jdf.queryExecution().toString()
-    assert sorted(map(str, split.collect())) == sorted(map(str, plain))
-    assert len(plain) == 70
+    assert O.delivered_before_cutoff(tables, datetime.date(2018, 6, 1)).count() == 70
 
 
 def test_requests_for_one_customer(spark):
@@ -81,5 +71,5 @@ def test_requests_for_one_customer(spark):
     requests = spark.createDataFrame(
         [(i, "a" if i % 3 else "x") for i in range(90)], "pos int, customer_id string"
     )
-    expected = sorted(map(str, answer_requests(requests, store, hot=[]).collect()))
-    assert sorted(map(str, answer_requests(requests, store, hot=["a", "x"]).collect())) == expected
+    rows = answer_requests(requests, store).collect()
+    assert len(rows) == 90 and sum(r.found for r in rows) == 60

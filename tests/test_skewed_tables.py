@@ -1,14 +1,14 @@
 """A third of the orders on one customer, a third of the lines on one order.
 
 The tables are the given ones with those keys overwritten; results must still
-equal the SQL, with the hot keys taken apart.
+equal the SQL.
 """
 
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from compare import assert_same, connect
-from patronage.operators import orders, skew
+from patronage.operators import orders
 from patronage.sources.star_tables import star_tables
 
 SOURCE = "/root/testdata/sf0.001"
@@ -50,36 +50,42 @@ def folder(tmp_path_factory):
     return str(target)
 
 
+@pytest.fixture(scope="module")
+def many_hot(tmp_path_factory):
+    """The lines on 400 orders only, all of them hot."""
+    target = tmp_path_factory.mktemp("many-hot")
+    con = connect(SOURCE)
+    keys = "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 400)"
+    con.execute(f"CREATE TABLE hot AS SELECT row_number() OVER () - 1 AS i, o_orderkey AS k FROM {keys}")
+    selects = {name: f"SELECT * FROM {name}" for name in ("customer", "part", "supplier", "orders")}
+    selects["lineitem"] = "SELECT lineitem.* REPLACE (hot.k AS l_orderkey) FROM lineitem JOIN hot ON hot.i = l_partkey % 400"
+    for name, select in selects.items():
+        con.execute(f"COPY ({select}) TO '{target}/{name}.parquet' (FORMAT parquet)")
+    return str(target)
+
+
 @pytest.fixture
-def small_tasks(spark, monkeypatch):
-    """Treat 200 rows as too many for a task, and join by shuffle."""
-    monkeypatch.setattr(skew.hot_keys, "__defaults__", (200, skew.MAX_HOT_KEYS))
+def small_tasks(spark):
+    """Join by shuffle."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_keys_are_hot(spark, folder, small_tasks):
-    tables = star_tables(spark, folder)
-    assert skew.hot_keys(tables["orders"], "customer_id") == [HOT_CUSTOMER]
-    assert len(skew.hot_keys(tables["order_payments"], "order_id")) == 1
-
-
 @pytest.mark.parametrize("name", AFFECTED)
 def test_matches_sql(spark, folder, small_tasks, name):
     assert assert_same(queries()[name](spark, folder), connect(folder), oracle_sql()[name]) > 0
 
 
-def test_hot_order_is_not_one_task(spark, folder, small_tasks):
-    """Its payments are hashed on order and value, all others on the order."""
+@pytest.mark.parametrize("name", ["rfm_churn", "delivered_before_cutoff", "order_gaps"])
+def test_many_hot_orders(spark, many_hot, small_tasks, name):
+    assert assert_same(queries()[name](spark, many_hot), connect(many_hot), oracle_sql()[name]) > 0
+
+
+def test_no_order_is_one_task(spark, folder, small_tasks):
+    """Payments are hashed on order and value before they are summed by order."""
     paid = star_tables(spark, folder)["order_payments"]
     plan = orders.order_spend(paid)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hash" in line]
     assert sum("payment_value" in e for e in exchanges) == 1
-    assert sum("payment_value" not in e for e in exchanges) == 2
-
-
-def test_plan_without_hot_keys_has_no_union(spark):
-    tables = star_tables(spark, SOURCE)
-    plan = orders.order_spend(tables["order_payments"])._jdf.queryExecution().toString()
-    assert "Union" not in plan
+    assert len(exchanges) == 2
