@@ -75,7 +75,8 @@ def shingle_sets(words: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle are one as a whole."""
     sums = np.zeros(len(words), np.uint64)
     for k in range(SHINGLE_WORDS):
-        sums[: len(words) - k] = sums[: len(words) - k] + words[k:] * _power(SHINGLE_WORDS)[0][k]
+        left = max(0, len(words) - k)
+        sums[:left] = sums[:left] + words[k:] * _power(SHINGLE_WORDS)[0][k]
     whole = mix64(sums + np.uint64(SHINGLE_WORDS))
     start = 0
     for end in ends.tolist():

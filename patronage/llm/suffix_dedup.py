@@ -37,8 +37,8 @@ LENGTH = 200
 BLOCK = 100
 RUN_BLOCKS = LENGTH - BLOCK + 1
 #: Contexts of a shard, and of one block in a shard.
-SHARD_CONTEXTS = 6000
-BLOCK_CONTEXTS = 3000
+SHARD_CONTEXTS = 2000
+BLOCK_CONTEXTS = 1500
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -167,35 +167,38 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     for k in range(7):  # seven bytes of nine bits; a string's end sorts first
         inside = at + k < ends
         key = (key << np.uint64(9)) | np.where(inside, padded[k : n + k], np.uint64(0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    sorted_ = key[order]
     fresh = np.ones(n, bool)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
-    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    fresh[1:] = sorted_[1:] != sorted_[:-1]
     rank = np.empty(n, np.int64)
-    rank[order] = first
-    length = 7
-    while length < int((ends - at).max(initial=0)):
+    rank[order] = np.maximum.accumulate(np.where(fresh, at, 0))
+    tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    left, length, longest = ends - at, 7, int((ends - at).max(initial=0))
+    while length < longest and len(tied):
         # Only groups of suffixes that are still equal are refined.
-        size = np.diff(np.flatnonzero(np.concatenate([fresh, [True]])))
-        tied = np.flatnonzero(np.repeat(size, size) > 1)
-        if not len(tied):
-            break
         suffix = order[tied]
         after = suffix + length
-        following = np.where(after < ends[suffix], rank[np.minimum(after, n - 1)] + 1, 0)
-        sort = np.lexsort((following, rank[suffix]))
-        suffix, following, old = suffix[sort], following[sort], rank[suffix[sort]]
+        following = np.where(left[suffix] > length, rank[np.minimum(after, n - 1)] + 1, 0)
+        both = (rank[suffix] << 31) | following
+        sort = np.argsort(both)
+        suffix, both = suffix[sort], both[sort]
         order[tied] = suffix
         new = np.ones(len(tied), bool)
-        new[1:] = (old[1:] != old[:-1]) | (following[1:] != following[:-1])
-        fresh[tied] = new
-        rank[suffix] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
+        new[1:] = both[1:] != both[:-1]
+        rank[suffix] = tied[np.maximum.accumulate(np.where(new, at[: len(tied)], 0))]
+        tied = tied[~(new & np.append(new[1:], True))]
         length *= 2
+    suffix = order[tied]
+    order[tied] = suffix[np.argsort((rank[suffix] << 31) | suffix)]
     return order, rank
 
 
-def common_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in order, up to LENGTH.
+def common_prefixes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, least: int = LENGTH
+) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in order, up to LENGTH; 0 for
+    suffixes of fewer than ``least`` bytes, which are not asked for.
 
     Kasai's method: the suffix one byte on shares one byte less at least. All strings
     take the step at the same time. ``starts`` and ``ends`` are those of the strings."""
@@ -210,7 +213,9 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, orde
     for k in range(8):
         words |= padded[k : n + k].astype(np.uint64) << np.uint64(8 * k)
     for step in range(int((ends - starts).max(initial=0))):
-        live = np.flatnonzero(starts + step < ends)
+        live = np.flatnonzero(starts + step + max(least, 1) <= ends)
+        if not len(live):
+            break
         i = starts[live] + step
         spot = place_of[i]
         j = order[np.maximum(spot - 1, 0)]
