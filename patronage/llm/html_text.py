@@ -263,7 +263,7 @@ def render(root: Node) -> str:
         elif tag == "caption":
             flow.end()
         elif tag in BLOCKS:
-            flow.end(int(tag in SPACED and not (flow.marks and tag in ("ul", "ol", "p"))))
+            flow.end(int(tag in SPACED and not (flow.marks and tag in ("ul", "ol", "p"))), keep=kept > 0 and bool(flow.parts))
             if tag == "li":
                 flow.marks.pop()
             elif tag in ("ul", "ol", "menu", "dir"):
