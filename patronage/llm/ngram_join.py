@@ -10,7 +10,8 @@ texts' shingles in 2**SKETCH_BITS cells (a fixed size; it only orders and estima
 Large groups are not paired out. First every class is verified against one of the
 most central classes that its prefix shingles lead to; only shingles that then still
 connect different components are joined pairwise. So nothing is lost, and a group of
-n similar texts costs about n verifications.
+n similar texts costs about n verifications. Before sets travel to be compared, parity
+bits, a 32nd of their size, rule out most pairs that differ too much.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 repeated rows and equal sets link; a null key gives a null component. Shingles and
@@ -40,6 +41,8 @@ LEVELS = 4
 VERIFY_COST = 0.05
 #: Pairs of two numbers that are sent to all executors at most, 24 MB.
 BROADCAST_PAIRS = 1_000_000
+#: Least logarithm of the parity bits of a set.
+LEAST_CELLS = 9
 
 
 def needed(n):
@@ -153,6 +156,55 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"rep {kind}, tokens binary")
 
 
+def _parities(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Size and parity bits of the wanted representatives' sets: a bit for each cell that
+    an odd number of shingles falls into, with two cells or more per shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = [], []
+            for blob in batch.column("tokens"):
+                tokens = np.frombuffer(blob.as_buffer(), np.uint64)
+                cells = 1 << max(LEAST_CELLS, (2 * len(tokens) - 1).bit_length())
+                odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+                sizes.append(len(tokens))
+                bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["rep", "size", "bits"])
+
+    sets = _sets(docs, wanted)
+    return sets.mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, size long, bits binary")
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A number of shingles in which two sets differ at least, from their parity bits.
+
+    A cell whose parity differs holds a shingle of one set only. Longer bits are folded."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _possible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
+    """The pairs that their parity bits don't rule out."""
+    sides = [parities.toDF(c, f"size_{c}", f"bits_{c}") for c in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("size_a", "size_b", "bits_a", "bits_b"))
+            for n, m, x, y in zip(*columns, strict=True):
+                # Similar sets share 4 / 9 of their sizes' sum or more.
+                keep.append(least_difference(x, y) <= n + m - 2 * -(-4 * (n + m) // 9))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the stored pairs (a, b) of representatives whose sets are similar.
 
@@ -213,7 +265,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .select("a", "best.b")
     )
     stars = materialize(stars, "stars")
-    links = materialize(_verified(stars, docs), "links")
+    parities = materialize(_parities(docs, matched.select("rep").distinct()), "parities")
+    links = materialize(_verified(materialize(_possible(stars, parities), "possible"), docs), "links")
     first = components(links)
 
     labelled = matched.join(first.withColumnRenamed("id", "rep"), "rep", "left")
@@ -235,7 +288,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .join(stars, ["a", "b"], "left_anti")
         .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
-    more = materialize(_verified(materialize(pairs, "pairs"), docs), "links")
+    more = materialize(_verified(materialize(_possible(pairs, parities), "pairs"), docs), "links")
     if more.head(1):
         first = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 

@@ -92,3 +92,18 @@ def test_levels_follow_the_cost():
     assert rare[1] == 1 and len(rare[0]) == 100 - ngram_join.needed(100) + 1
     common = ngram_join._prefix(tokens, np.full(100, 1e6), 1.0)
     assert common[1] > 1 and len(common[0]) == 100 - ngram_join.needed(100) + common[1]
+
+
+def test_parity_bits_never_claim_too_much():
+    import numpy as np
+
+    chosen = np.random.default_rng(0)
+    for n, m in ((3, 3), (100, 90), (600, 500), (300, 250), (40, 200)):
+        pool = chosen.integers(0, 2**63, n + m, dtype=np.uint64)
+        x, y = pool[:n], np.concatenate([pool[: min(n, m) * 3 // 4], pool[n : n + m - min(n, m) * 3 // 4]])
+        bits = []
+        for tokens in (x, y):
+            cells = 1 << max(ngram_join.LEAST_CELLS, (2 * len(tokens) - 1).bit_length())
+            odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+            bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+        assert 0 < ngram_join.least_difference(*bits) <= len(set(x.tolist()) ^ set(y.tolist()))
