@@ -34,7 +34,7 @@ FIT_CHARS = 16_000
 WINDOW_WORDS = 12
 #: Words longer than this are cut into windows of their own.
 LONG_WORD = 512
-DICTIONARY_BYTES = 640
+DICTIONARY_BYTES = 3000
 TOXIC_BYTES = 1200
 #: End of the ordinary dictionary that goes before each window, so that no window is
 #: too short for the compressor to bother with.
@@ -71,7 +71,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     # An optimal parse over small tables: sizes then hardly depend on anything but
     # the matches that a dictionary offers.
     settings = zstandard.ZstdCompressionParameters(
-        window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=64,
+        window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=6, target_length=64,
         strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False,
         write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
