@@ -5,6 +5,8 @@
     features  RFM rows -> feature store
     train     feature store -> model version and run
     score     feature store + request table -> scores
+    score-one one customer of the feature store -> its event
+    score-stream  request files that have arrived -> scores
     status    feature store and model version
 """
 
@@ -23,6 +25,7 @@ from patronage.schemas import CUSTOMER_KEY, RAW_TABLES
 from patronage.session import build_session
 from patronage.sources import csv_tables
 from patronage.sources.parquet_tables import open_store, read_table, write_table
+from patronage.streaming import scoring_stream
 
 
 def load(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -52,6 +55,22 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
     print(scoring.batch_events(summary).first()["event_json"])
 
 
+def score_one(spark: SparkSession, args: argparse.Namespace) -> None:
+    model, version = registry.load_latest(spark, args.registry)
+    scored = scoring.score_customer(model, open_store(spark, args.features), args.customer, version)
+    scored.show(truncate=False)
+    write_table(scoring.score_events(scored), args.out).show(truncate=False)
+
+
+def score_stream(spark: SparkSession, args: argparse.Namespace) -> None:
+    model, version = registry.load_latest(spark, args.registry)
+    arriving = scoring_stream.request_stream(spark, args.requests, read_table(spark, args.requests).schema)
+    store = open_store(spark, args.features)
+    scoring_stream.score_stream(model, store, arriving, args.out, args.state).awaitTermination()
+    summary = scoring.score_summary(read_table(spark, args.out), version)
+    write_table(scoring.batch_events(summary), args.events).show(truncate=False)
+
+
 def status(spark: SparkSession, args: argparse.Namespace) -> None:
     version = registry.latest_version(spark, args.registry)
     scoring.store_status(open_store(spark, args.features), version).show()
@@ -73,7 +92,7 @@ def parser() -> argparse.ArgumentParser:
     steps = top.add_subparsers(required=True)
 
     def step(run, *required: str) -> argparse.ArgumentParser:
-        sub = steps.add_parser(run.__name__)
+        sub = steps.add_parser(run.__name__.replace("_", "-"))
         for name in required:
             sub.add_argument(f"--{name}", required=True)
         sub.set_defaults(run=run)
@@ -90,6 +109,8 @@ def parser() -> argparse.ArgumentParser:
         "--rounds", type=int, default=training.N_ESTIMATORS
     )
     step(score, "features", "registry", "requests", "out")
+    step(score_one, "features", "registry", "customer", "out")
+    step(score_stream, "features", "registry", "requests", "out", "state", "events")
     step(status, "features", "registry")
     return top
 

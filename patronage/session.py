@@ -23,9 +23,9 @@ SETTINGS = {
 MAX_MAP_TASKS = 100_000
 SPLIT_MB = 128
 SHUFFLE_MB = 512
-# Shuffled rows carry a few narrow columns; about this share of the input.
-SHUFFLED_SHARE = 0.2
-DEFAULT_PARTITIONS = 200
+# Partitions that a shuffle starts with when nothing is known of the input. Adaptive
+# execution merges small ones, so a high number costs little.
+INITIAL_PARTITIONS = 2000
 
 
 def sizing(input_gb: float) -> dict[str, str]:
@@ -35,10 +35,10 @@ def sizing(input_gb: float) -> dict[str, str]:
     not add any, so their number has to be an upper estimate.
     """
     split_mb = max(SPLIT_MB, math.ceil(input_gb * 1024 / MAX_MAP_TASKS))
-    partitions = math.ceil(input_gb * 1024 * SHUFFLED_SHARE / SHUFFLE_MB)
+    partitions = math.ceil(input_gb * 1024 / SHUFFLE_MB)  # as if all of it were shuffled
     return {
         "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
-        "spark.sql.shuffle.partitions": str(max(DEFAULT_PARTITIONS, partitions)),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(INITIAL_PARTITIONS, partitions)),
     }
 
 
@@ -46,6 +46,8 @@ def build_session(
     app_name: str = "patronage", input_gb: float | None = None, **overrides: str
 ) -> SparkSession:
     sized = sizing(input_gb) if input_gb is not None else {}
+    if input_gb is None and "spark.sql.shuffle.partitions" not in overrides and not SparkSession.getActiveSession():
+        sized = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(INITIAL_PARTITIONS)}
     builder = SparkSession.builder.appName(app_name)
     for key, value in {**SETTINGS, **sized, **overrides}.items():
         builder = builder.config(key, value)

@@ -51,6 +51,14 @@ def test_all_jobs(spark, tmp_path, capsys):
     assert event == {"event": "batch_predict", "n_requested": 3, "n_found": 2,
                      "n_not_found": 1, "model_version": "1"}
     assert spark.read.parquet(at["out"]).where("found").count() == 2
+    main(["score-one", "--features", many, "--registry", at["registry"], "--customer",
+          spark.read.parquet(many).first()["customer_unique_id"], "--out", str(tmp_path / "event")])
+    assert json.loads(spark.read.parquet(str(tmp_path / "event")).first()["event_json"])["event"] == "predict"
+    main(["score-stream", "--features", at["features"], "--registry", at["registry"], "--requests", at["requests"],
+          "--out", str(tmp_path / "streamed"), "--state", str(tmp_path / "state"), "--events", str(tmp_path / "events")])
+    streamed = spark.read.parquet(str(tmp_path / "streamed")).select("pos", "found", "churn_probability")
+    assert sorted(streamed.collect()) == sorted(spark.read.parquet(at["out"]).select("pos", "found", "churn_probability").collect())
+    assert spark.read.parquet(str(tmp_path / "events")).count() == 1
     main(["status", "--features", at["features"], "--registry", at["registry"]])
     assert "ok" in capsys.readouterr().out
 

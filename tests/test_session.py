@@ -9,11 +9,11 @@ def test_sizing_grows_with_the_input():
     small, large = S.sizing(1), S.sizing(100 * 1024)
     assert small == {
         "spark.sql.files.maxPartitionBytes": "128m",
-        "spark.sql.shuffle.partitions": "200",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
     }
     assert large == {
         "spark.sql.files.maxPartitionBytes": "1049m",
-        "spark.sql.shuffle.partitions": "40960",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "204800",
     }
 
 

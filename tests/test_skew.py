@@ -40,6 +40,7 @@ def test_large_partitions_are_split(spark, sides):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
     }
     many, one = sides
     rows = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 40 END AS k", "id AS v").repartition(8)
