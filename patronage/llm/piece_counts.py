@@ -132,4 +132,6 @@ def count_tokens(
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return keyed_texts(df, key, text).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    docs = keyed_texts(df, key, text)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
