@@ -22,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
 from patronage.llm.common import keyed_texts, slices, texts, vocabulary
 from patronage.llm.pair_table import NONE, PairTable
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a task remembers; when there are more, it starts anew. Results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Cells of a matrix.
 CELLS = 1 << 20
 #: Longest piece laid out as a row; longer ones follow the same rule with a heap.
@@ -167,9 +167,13 @@ def _shared(df: DataFrame, vocab: str):
     return df.sparkSession.sparkContext.broadcast(vocabulary(vocab))  # under 1 MB, whatever the input
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocab: str = VOCABULARY) -> DataFrame:
-    """All columns of ``df`` and the token ids of ``text``; a column named as ``ids`` is replaced."""
-    rest = df.drop(ids)
+def encode(
+    df: DataFrame, text: str = "text", ids: str = "ids", vocab: str = VOCABULARY, same: str | None = None
+) -> DataFrame:
+    """All columns of ``df`` and the token ids of ``text``; a column named as ``ids`` is replaced.
+
+    ``same`` names a further column that says whether the ids decode to the text."""
+    rest = df.drop(ids, *([same] if same else []))
     shared = _shared(df, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +183,14 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocab: str = VOC
                 found = bpe.encode(texts(part.column(text)))
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 column = pa.ListArray.from_arrays(ends, np.concatenate([*found, np.array([], np.int32)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
-
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
+                added = [column]
+                if same:
+                    rows = zip(texts(part.column(text)), found, strict=True)
+                    added.append(pa.array([bpe.decode(x.tolist()) == row.encode() for row, x in rows], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, ids, *([same] if same else [])])
+
+    fields = [StructField(ids, ArrayType(IntegerType())), *([StructField(same, BooleanType())] if same else [])]
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, *fields]))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocab: str = VOCABULARY) -> DataFrame:
