@@ -31,8 +31,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         return
     values = batch.column(column)
     lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
-    run = np.cumsum(lengths.astype(np.int64)) // limit
-    starts = np.flatnonzero(np.diff(run, prepend=run[0] - 1))
+    long = lengths > limit
+    run = np.cumsum(np.where(long, 0, lengths).astype(np.int64)) // limit
+    new = np.diff(run, prepend=run[0] - 1) != 0
+    new |= long
+    new[1:] |= long[:-1]
+    starts = np.flatnonzero(new)
     for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
         yield batch.slice(start, end - start)
 

@@ -45,7 +45,7 @@ def _word_hashes(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, end of each text's words) for a string array without large texts."""
+    """(hash of each word, end of each text's words) for a string array."""
     values = values.cast(pa.large_string())
     offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
     data = values.buffers()[2]
@@ -56,6 +56,9 @@ def word_hashes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             return np.array([], np.uint64), np.zeros(len(values), np.int64)
         hashes, starts = _word_hashes(data, offsets[:-1][offsets[:-1] < len(data)])
         return hashes, np.searchsorted(starts, offsets[1:])
+    if np.count_nonzero(np.diff(offsets)) > 1:
+        each = [word_hashes(values.slice(k, 1))[0] for k in range(len(values))]
+        return np.concatenate(each), np.cumsum([len(hashes) for hashes in each])
     # One long text: cut it at blanks, so that the arrays stay small.
     parts, at = [], 0
     blanks = np.flatnonzero(data == 32)

@@ -78,6 +78,16 @@ def test_short_and_equal_items(spark, odd, empty):
     assert not any(r.contaminated for r in D.leaks_by_document(odd, items.limit(0)).collect())
 
 
+def test_short_document_after_a_large_one(spark):
+    from test_near_duplicates import large_between_short
+
+    item = " ".join(f"passage{k}" for k in range(40))
+    docs = spark.createDataFrame(large_between_short(item), "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in D.leaks_by_document(docs, items).collect() if r.contaminated} == {4, 6}
+    assert {r.doc_id for r in D.remove_contaminated(docs, items).collect()} == {1, 2, 3, 5, 7, 8}
+
+
 def test_blocks_of_items(spark, small, items, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     once = sorted(D.leaks_by_document(docs, items).collect())

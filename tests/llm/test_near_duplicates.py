@@ -78,6 +78,32 @@ def test_odd_tables(odd, empty):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(16) if i != 4]
 
 
+def large_between_short(item="one two three four five six seven eight nine ten eleven twelve"):
+    """A text of 5 MiB with short ones around it, which repeat each other."""
+    large = " ".join(f"w{i % 977}x{i}" for i in range(500_000))
+    assert len(large) > 5 << 20
+    return [(1, "a b c d e f g"), (2, large), (3, "a b c d e f g"), (4, f"{item} after"), (5, None), (6, f"{item} after"), (7, "short"), (8, large)]
+
+
+def test_large_text_between_short_ones(spark):
+    rows = large_between_short()
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {tuple(r) for r in found.collect()} == brute(rows)
+
+
+def test_runs_of_rows():
+    from patronage.llm.common import slices
+    from patronage.llm.shingles import word_hashes
+
+    import pyarrow as pa
+
+    batch = pa.record_batch({"text": ["a" * n for n in (5 << 20, 10_000, 10_000, 3 << 20, 3 << 20, 10)]})
+    assert [part.num_rows for part in slices(batch, "text")] == [1, 2, 1, 1, 1]
+    hashes, ends = word_hashes(pa.array(["a b " * (1 << 20), None, "b a", "a b " * (1 << 20)]))
+    assert ends.tolist() == [2 << 20, 2 << 20, (2 << 20) + 2, (4 << 20) + 2]
+    assert (hashes[2 << 20 : (2 << 20) + 2] == hashes[1::-1]).all()
+
+
 def test_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     found = {r.id: r.component for r in components(links).collect()}

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from patronage.llm import decontaminate, pii, toxicity
-from test_near_duplicates import brute
+from test_near_duplicates import brute, large_between_short
 
 
 def test_stages_on_given_documents(spark, small):
@@ -34,6 +34,17 @@ def test_stages_on_given_documents(spark, small):
     assert {r.doc_id for r in tokens} == {r.doc_id for r in clean.collect()}
 
 
+def test_large_text_between_short_ones(spark, small):
+    item = " ".join(f"passage{k}" for k in range(40))
+    stages = dict(corpus_pipeline.STAGES)
+    rows = large_between_short(item)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    single = stages["ngram_join"](spark, docs, small)
+    assert {r.doc_id for r in single.collect()} == {c for _, _, c in brute(rows)}
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.remove_contaminated(single, items).collect()} == {1, 2, 5, 7}
+
+
 def test_odd_tables(spark, odd, empty, small):
     columns = "doc_id", "text", "lang", "source", "n_chars"
     for docs in (odd.select(*columns), odd, empty):
