@@ -27,9 +27,10 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 UNSEEN = frozenset("head script style template noscript noembed noframes iframe datalist object audio video canvas title meta link".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul xmp".split()
 )
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote article section figure form hr menu".split())
+KEPT = frozenset("pre xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote article section figure form hr menu xmp".split())
 #: What a start tag ends: open elements of these names, unless one of the walls stands between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -46,12 +47,12 @@ WALLS = frozenset("td th caption table button".split())
 TOKEN = re.compile(
     r"""<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)>""", re.S
 )
-HIDING = re.compile(
-    r"""(?:^|[\s"'/])hidden(?=[\s=/>]|$)|style\s*=\s*(?:"[^"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""",
-    re.I,
-)
-HIDDEN_INPUT = re.compile(r"""type\s*=\s*["']?hidden""", re.I)
-SPAN = re.compile(r"""colspan\s*=\s*["']?(\d{1,4})""", re.I)
+#: Name and value of an attribute; the value is in double, single or no quotes.
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*+)))?""")
+#: What an attribute text has to hold to be worth splitting.
+TELLING = re.compile("hidden|style|open", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SPAN = re.compile(r"\s*(\d{1,4})")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -132,6 +133,8 @@ def parse(page: str) -> Node:
             inside = page[at : end.start() if end else len(page)]
             if tag in ("textarea", "title"):
                 node.children.append(html.unescape(inside))
+            elif tag == "xmp":
+                node.children.append(inside)
             open_[-1].children.append(node)
             at = end.end() if end else len(page)
         else:
@@ -140,16 +143,37 @@ def parse(page: str) -> Node:
     return root
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a name counts, and one without a value is empty."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def hiding(style: str) -> bool:
+    """Do the declarations of a style attribute hide the element?"""
+    last: dict[str, tuple[bool, str]] = {}
+    for declaration in COMMENT.sub(" ", style).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, mark, _ = value.partition("!")
+        name = name.strip()
+        if bool(mark) >= last.get(name, (False, ""))[0]:
+            last[name] = bool(mark), value.strip()
+    return last.get("display", (0, ""))[1] == "none" or last.get("visibility", (0, ""))[1] in ("hidden", "collapse")
+
+
 def shown(node: Node) -> bool:
     if node.tag in UNSEEN:
         return False
-    if not node.attributes:
+    if not node.attributes or not TELLING.search(node.attributes):
         return node.tag != "dialog"
-    if node.tag == "dialog" and not re.search(r"\bopen\b", node.attributes):
+    found = attributes(node.attributes)
+    if node.tag == "dialog" and "open" not in found:
         return False
-    if node.tag == "input" and HIDDEN_INPUT.search(node.attributes):
+    if node.tag == "input" and found.get("type", "").strip().lower() == "hidden":
         return False
-    return not HIDING.search(node.attributes)
+    return "hidden" not in found and not hiding(found.get("style", ""))
 
 
 class Lines:
@@ -230,7 +254,7 @@ def render(root: Node) -> str:
                 numbered[1] += 1
             elif tag in ("ul", "ol", "menu", "dir"):
                 lists.append([tag == "ol", 1])
-            elif tag == "pre":
+            elif tag in KEPT:
                 kept += 1
             elif tag == "table":
                 flow.end(1)
@@ -242,7 +266,7 @@ def render(root: Node) -> str:
             elif tag == "caption":
                 flow.end()
             work.append((node, True))
-            closed = tag == "details" and not re.search(r"\bopen\b", node.attributes)
+            closed = tag == "details" and "open" not in attributes(node.attributes)
             for child in reversed(node.children):
                 if not closed or (isinstance(child, Node) and child.tag == "summary"):
                     work.append((child, False))
@@ -252,7 +276,7 @@ def render(root: Node) -> str:
             flows.pop()
             if not tables[-1]:
                 tables[-1].append([])
-            span = SPAN.search(node.attributes)
+            span = SPAN.match(attributes(node.attributes).get("colspan", "")) if node.attributes else None
             tables[-1][-1].append(flow.lines)
             tables[-1][-1].extend([[]] * (min(max(int(span[1]), 1), 1000) - 1 if span else 0))
         elif tag == "table":
@@ -268,7 +292,7 @@ def render(root: Node) -> str:
                 flow.marks.pop()
             elif tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
-            elif tag == "pre":
+            elif tag in KEPT:
                 kept -= 1
     flows[0].end()
     return "\n".join(flows[0].lines).replace("\xa0", " ").strip("\n")

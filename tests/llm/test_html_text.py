@@ -31,6 +31,28 @@ def test_layout(page):
     assert visible_text(page) == CASES[page]
 
 
+HIDDEN = {
+    '<nav class="nav hidden md:flex">menu</nav>': "menu",
+    '<p class="hidden md:block" title="a hidden gem" aria-label=\'x hidden y\'>t</p>': "t",
+    "<p title=\"style='display:none'\">t</p>": "t",
+    '<p style="display:block" data-style="display:none">t</p>': "t",
+    '<p style="x-display:none; display:none; display:block">t</p>': "t",
+    "a<p style=display:none>no</p>": "a",
+    "a<p style='color:red; Display : NONE !important; display:block'>no</p>": "a",
+    'a<p STYLE="visibility:hidden">no</p>': "a",
+    'a<p hidden="">no</p><p class=x/hidden>b</p><p class="x"hidden>no</p><br hidden/>': "a\n\nb",
+    '<details class="open"><summary>s</summary>no</details>': "s",
+    '<dialog class="open">no</dialog><dialog open>yes</dialog>': "yes",
+    '<table><tr><td title="colspan=3">a<td>b</table>': "a | b",
+    "<p>a<xmp><b>k</b>\n  &amp;</xmp>c": "a\n\n<b>k</b>\n  &amp;\n\nc",
+}
+
+
+@pytest.mark.parametrize("page", HIDDEN)
+def test_hiding_attributes(page):
+    assert visible_text(page) == HIDDEN[page]
+
+
 def test_deep_and_broken_pages():
     assert visible_text("<div>" * 20_000 + "x") == "x"
     assert visible_text("<p>" * 20_000 + "x") == "x"
