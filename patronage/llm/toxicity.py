@@ -1,10 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary windows, one
-on what toxic texts say and ordinary ones don't, in front of the same ordinary part.
+Two zstandard dictionaries are made from labelled text: one is trained on ordinary
+windows, the other has a list of the words that only toxic texts use in front of the same
+ordinary part. The ordinary part also holds ordinary words that begin or end like the
+listed ones, so a part of a listed word saves nothing.
 A window of a text is compressed with both; the bytes that the toxic dictionary saves
 are its distance. A document's largest and summed savings, its length and the share of windows with a saving go through a logistic
-calibration on labelled rows that the dictionaries have not seen.
+calibration on labelled rows that the dictionaries have not seen: each fold of the rows is
+measured with dictionaries of the others. The length of match and the size of the trained
+dictionary are those of least calibration loss; the final dictionaries are made from all rows.
 
 Defined results: null and empty texts have no window and get the calibrated score of
 savings of zero. Without a labelled row of each class every score is 0. Rows with
@@ -34,8 +38,14 @@ FIT_CHARS = 16_000
 WINDOW_WORDS = 12
 #: Words longer than this are cut into windows of their own.
 LONG_WORD = 512
-DICTIONARY_BYTES = 3000
+#: Sizes of the trained dictionary and shortest matches that calibration chooses from.
+DICTIONARY_BYTES = (640, 3000)
+MATCHES = (5, 6)
+FOLDS = 3
+#: Most bytes of the list of toxic words; the words in the most surroundings come first.
 TOXIC_BYTES = 1200
+#: Ordinary words are put beside a toxic one from this many equal letters at either end.
+ALIKE = 3
 #: End of the ordinary dictionary that goes before each window, so that no window is
 #: too short for the compressor to bother with.
 LEAD_BYTES = 64
@@ -43,6 +53,8 @@ LEAD_BYTES = 64
 TOXIC_SHARE = 0.95
 THRESHOLD = 0.7
 SAVED_MOST = 8.0
+LEVELS = (2, 3, 4, 5, 6)
+FEATURES = 4 + len(LEVELS)
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -57,21 +69,22 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
+    min_match: int = 6
 
     def scores(self, rows: list[bytes]) -> np.ndarray:
         if not self.weights:
             return np.zeros(len(rows))
         bias, *slopes = self.weights
-        z = bias + savings(self.ordinary, self.toxic, rows) @ np.array(slopes)
+        z = bias + savings(self.ordinary, self.toxic, rows, self.min_match) @ np.array(slopes)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @lru_cache(maxsize=4)
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def _compressor(content: bytes, min_match: int) -> zstandard.ZstdCompressor:
     # An optimal parse over small tables: sizes then hardly depend on anything but
     # the matches that a dictionary offers.
     settings = zstandard.ZstdCompressionParameters(
-        window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=6, target_length=64,
+        window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=min_match, target_length=64,
         strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False,
         write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
@@ -80,22 +93,26 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
 
-def savings(ordinary: bytes, toxic: bytes, rows: list[bytes]) -> np.ndarray:
+def savings(ordinary: bytes, toxic: bytes, rows: list[bytes], min_match: int) -> np.ndarray:
     """Per text: largest saving of a window, the logarithm of all savings above 1 byte,
-    that of the number of windows, and the share of windows with a saving."""
-    one, other = _compressor(ordinary).compress, _compressor(toxic).compress
+    that of the number of windows, the share of windows with a saving, and the logarithms
+    of the numbers of windows that save at least each of LEVELS bytes."""
+    one, other = _compressor(ordinary, min_match).compress, _compressor(toxic, min_match).compress
     lead = ordinary[-LEAD_BYTES:]
-    out = np.zeros((len(rows), 4))
+    out = np.zeros((len(rows), FEATURES))
     for i, row in enumerate(rows):
         saved = [len(one(lead + window)) - len(other(lead + window)) for window in windows(row)]
         if saved:
             large = [x for x in saved if x > 1]
-            out[i] = min(max(0, *saved, 0), SAVED_MOST), np.log1p(sum(large)), np.log1p(len(saved)), len(large) / len(saved)
+            out[i, :4] = min(max(0, *saved, 0), SAVED_MOST), np.log1p(sum(large)), np.log1p(len(saved)), len(large) / len(saved)
+            out[i, 4:] = [np.log1p(sum(x >= level for x in large)) for level in LEVELS]
     return out
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
     """Content of a trained dictionary, or the samples themselves if they are too few to train on."""
+    if not samples:
+        return b" " * 8
     try:
         content = zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -108,6 +125,8 @@ def _toxic_words(toxic: list[bytes], ordinary: list[bytes]) -> Counter[bytes]:
 
     There have to be so many that chance would hardly put any word of the sample
     into toxic texts alone."""
+    if not toxic or not ordinary:
+        return Counter()
     around = defaultdict(set)
     share = Counter()
     for text in toxic:
@@ -143,22 +162,57 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, ..
     return tuple(w.tolist())
 
 
+def _alike(words: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The commonest ordinary word for each beginning and end that ``words`` share with ordinary ones."""
+    seen = Counter(word for text in ordinary for word in set(text.lower().split()))
+    for word in words:
+        seen.pop(word, None)
+    ends = {part for word in words for n in range(ALIKE, len(word)) for part in ((0, word[:n]), (1, word[-n:]))}
+    best: dict[tuple[int, bytes], tuple[int, bytes]] = {}
+    for word, times in seen.items():
+        for n in range(ALIKE, min(len(word), LONG_WORD) + 1):
+            for part in ((0, word[:n]), (1, word[-n:])):
+                if part in ends and best.get(part, (0, b"")) < (times, word):
+                    best[part] = (times, word)
+    return sorted({word[:LONG_WORD] for _, word in best.values()})
+
+
+def _dictionaries(rows: list[tuple[int, bytes]]) -> dict[int, tuple[bytes, bytes]]:
+    """The ordinary and the toxic dictionary for each of DICTIONARY_BYTES."""
+    toxic, ordinary = ([text for label, text in rows if label == k] for k in (1, 0))
+    counted = _toxic_words(toxic, ordinary)
+    listed, size = [], 0
+    for word in sorted(counted, key=lambda word: (-counted[word], word)):
+        size += len(word) + 2
+        if size <= TOXIC_BYTES:
+            listed.append(word)
+    # What is nearest to the text costs least, so the words in the most surroundings come last.
+    special = b"".join(b" " + word + b" " for word in reversed(listed))
+    beside = b"".join(b" " + word + b" " for word in _alike(listed, ordinary))
+    samples = [window for text in ordinary for window in windows(text)][:60_000]
+    common = {most: beside + _trained(samples, most) for most in DICTIONARY_BYTES}
+    return {most: (content, special + content) for most, content in common.items()}
+
+
 def fit_rows(rows: list[tuple[int, str]]) -> ToxicityModel:
-    """Fit to (label, text) rows; every third one calibrates instead of training dictionaries."""
+    """Fit to (label, text) rows."""
     texts = [(label, text.encode()) for label, text in rows]
-    train, held = [r for i, r in enumerate(texts) if i % 3], texts[::3]
-    toxic, ordinary = ([text for label, text in train if label == k] for k in (1, 0))
-    if not toxic or not ordinary or len({label for label, _ in held}) < 2:
+    labels = np.array([label for label, _ in texts], float)
+    if len(set(labels.tolist())) < 2:
         return ToxicityModel(b"", b"", ())
-    common = _trained([window for text in ordinary for window in windows(text)][:60_000], DICTIONARY_BYTES)
-    counted = _toxic_words(toxic, ordinary)
-    said = [b" " + word + b" " for word in sorted(counted) for _ in range(counted[word].bit_length())]
-    said = [said[i] for i in np.random.default_rng(0).permutation(len(said))]
-    samples = [b"".join(said[i : i + 8]) for i in range(0, len(said), 8)]
-    special = _trained(samples, TOXIC_BYTES) if samples else b""
-    model = ToxicityModel(common, special + common, ())
-    x = savings(model.ordinary, model.toxic, [text for _, text in held])
-    return ToxicityModel(model.ordinary, model.toxic, _logistic(x, np.array([label for label, _ in held], float)))
+    x = {(most, match): np.zeros((len(texts), FEATURES)) for most in DICTIONARY_BYTES for match in MATCHES}
+    for fold in range(FOLDS):
+        made = _dictionaries([row for i, row in enumerate(texts) if i % FOLDS != fold])
+        held = [text for _, text in texts[fold::FOLDS]]
+        for most, match in x:
+            x[most, match][fold::FOLDS] = savings(*made[most], held, match)
+    fits = {}
+    for choice, features in x.items():
+        weights = _logistic(features, labels)
+        z = np.clip(weights[0] + features @ np.array(weights[1:]), -30, 30)
+        fits[choice] = float(np.log1p(np.exp(np.where(labels == 1, -z, z))).mean()), weights
+    most, match = min(fits, key=lambda choice: fits[choice][0])
+    return ToxicityModel(*_dictionaries(texts)[most], fits[most, match][1], match)
 
 
 def held_out(key: str = "doc_id"):
