@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import byte_bpe, decontaminate, hashing_index, html_text, ngram_join, pii, piece_counts, quality, suffix_dedup, toxicity
+from patronage.llm import (
+    byte_bpe,
+    decontaminate,
+    hashing_index,
+    html_text,
+    ngram_join,
+    periodic_runs,
+    pii,
+    piece_counts,
+    quality,
+    slice_codes,
+    suffix_dedup,
+    tensor_minhash,
+    toxicity,
+)
 from patronage.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +69,18 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+def op11_slice_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return slice_codes.coded_vectors(table(spark, folder, "embeddings"))
+
+
+def op12_tensor_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return tensor_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_hashing_index": op2_hashing_index,
@@ -66,4 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
+    "op11_slice_codes": op11_slice_codes,
+    "op12_tensor_minhash": op12_tensor_minhash,
+    "op13_periodic_runs": op13_periodic_runs,
 }
