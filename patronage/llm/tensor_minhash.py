@@ -11,11 +11,17 @@ Texts with equal shingle sets are one node. Buckets (table, key) are not paired
 1. Every node is compared with one leader, that of its buckets' leaders (least digest) which
    it shares most buckets with. Links that hold are joined to components.
 2. Only buckets that then still hold several components matter. There the nodes outside the
-   bucket's largest component meet the others, in cells of about ``CELL`` nodes a side.
-   A group of n similar texts costs about n comparisons; nothing is capped or left out.
+   bucket's largest component meet the others, in cells of about ``CELL`` nodes a side, and
+   each proposes its likeliest partner; links that hold join components. This is done
+   ``PROPOSALS`` times, and then once for all partners instead of the likeliest.
+
+So a group of n similar texts costs about n comparisons of whole sets; nothing is capped or
+left out. Nodes that share a bucket without linking are compared in their cells by
+minhashes; rows are made in proportion to their number times a CELLth of the bucket.
 
 Candidates whose minhashes agree in fewer than ``LEAST_EQUAL`` places (at similarity 0.8
-with probability 3e-6) go no further; all others are confirmed on their whole sets.
+with probability 1e-6), or whose parity bits prove too many different shingles, go no
+further; all others are confirmed on their whole sets.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; repeated
 rows and equal sets link; a null key gives a null component and a null ``kept``; a
@@ -35,6 +41,7 @@ from pyspark.sql import functions as F
 from patronage.llm.common import keyed_texts, mix64, slices
 from patronage.llm.components import components
 from patronage.llm.id_filter import id_filter, passing
+from patronage.llm.ngram_join import LEAST_CELLS, least_difference
 from patronage.llm.shingles import set_digest, word_hashes
 from patronage.session import materialize
 
@@ -45,6 +52,9 @@ HASHES = 2 * SIDE * BLOCK
 LEAST_EQUAL = 19
 #: Nodes of a bucket that meet in one group, on each side.
 CELL = 256
+PROPOSALS = 2
+#: The low bits of a key tell its table.
+_TABLE = 127
 
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEEDS[:HASHES], _SEEDS[HASHES:] | np.uint64(1)
@@ -89,12 +99,24 @@ def table_keys(hashes: np.ndarray) -> np.ndarray:
     for k in range(BLOCK):
         one = mix64(one * _SECOND + blocks[..., k] + np.uint64(1))
     one += np.arange(2 * SIDE, dtype=np.uint64).reshape(2, SIDE) * _FIRST
-    keys = mix64(mix64(one[:, 0, :, None]) * _SECOND + mix64(one[:, 1, None, :]))
-    return keys.reshape(len(hashes), SIDE * SIDE).view(np.int64)
+    keys = mix64(mix64(one[:, 0, :, None]) * _SECOND + mix64(one[:, 1, None, :])).reshape(len(hashes), SIDE * SIDE)
+    return ((keys & ~np.uint64(_TABLE)) | np.arange(SIDE * SIDE, dtype=np.uint64)).view(np.int64)
+
+
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A bit for each cell that an odd number of shingles falls into, two cells or more per shingle."""
+    cells = 1 << max(LEAST_CELLS, (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """Whether parity bits allow a similarity of 0.8, for which sets share 4 / 9 of their sizes' sum or more."""
+    return least_difference(x, y) <= n + m - 2 * -(-4 * (n + m) // 9)
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node (the set's digest) and sketch (minhashes; null for an empty set)."""
+    """doc_id, n, node (the set's digest), sketch (minhashes) and parity bits; these are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in batch_sets(batches):
@@ -103,11 +125,12 @@ def described(docs: DataFrame) -> DataFrame:
             for k, row in zip(full, minhashes([sets[k] for k in full]), strict=True):
                 sketches[k] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_digest(x) for x in sets], pa.int64()), pa.array(sketches, pa.binary())],
-                ["doc_id", "n", "node", "sketch"],
+                [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_digest(x) for x in sets], pa.int64()),
+                 pa.array(sketches, pa.binary()), pa.array([parity_bits(x) if len(x) else None for x in sets], pa.binary())],
+                ["doc_id", "n", "node", "sketch", "bits"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sketch binary, bits binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -131,15 +154,18 @@ def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and minhashes don't rule them out."""
+    """The pairs (a, b) whose sizes, minhashes and parity bits don't rule them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            equal = (_matrix(batch.column("sketch_a")) == _matrix(batch.column("sketch_b"))).sum(axis=1)
-            keep = (equal >= LEAST_EQUAL) & _sizes_fit(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            sizes = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
+            keep = _sizes_fit(*sizes)
+            keep &= (_matrix(batch.column("sketch_a")) == _matrix(batch.column("sketch_b"))).sum(axis=1) >= LEAST_EQUAL
+            for k in np.flatnonzero(keep).tolist():
+                keep[k] = may_link(int(sizes[0][k]), int(sizes[1][k]), batch.column("bits_a")[k].as_py(), batch.column("bits_b")[k].as_py())
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
+    sides = [nodes.select("node", "n", "sketch", "bits").toDF(c, f"n_{c}", f"sketch_{c}", f"bits_{c}") for c in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long")
 
 
@@ -184,47 +210,60 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _cell(cells: Column) -> Column:
-    return F.pmod(F.xxhash64("node"), cells)
+def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, node) of buckets that hold several components, with their component.
 
-
-def open_groups(labelled: DataFrame) -> DataFrame:
-    """Groups (key, x, y) in which nodes of different components of a bucket meet.
-
-    ``labelled`` has key, node and component. With u of a bucket's s nodes outside its largest
-    component, these lie in u / CELL cells x, and all in s / CELL cells y; a group takes the first of x
-    (``outside``) and all of y."""
+    ``largest`` is the bucket's largest component. With u of its s nodes outside of that,
+    ``n_x`` = u / CELL and ``n_y`` = s / CELL, rounded up."""
+    labelled = rows.join(labels.withColumnRenamed("id", "node"), "node", "left")
+    labelled = labelled.select("key", "node", F.coalesce("component", "node").alias("component"))
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     buckets = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size")).filter("size > most.n")
     cells = [F.ceil(n / CELL).cast("long").alias(name) for n, name in ((F.col("size") - F.col("most.n"), "n_x"), (F.col("size"), "n_y"))]
-    rows = labelled.join(buckets.select("key", F.col("most.component").alias("largest"), *cells), "key")
-    each = [
-        F.when(F.col("component") != F.col("largest"), F.transform(F.sequence(F.lit(0), F.col("n_y") - 1), lambda y: F.struct(_cell(F.col("n_x")).alias("x"), y.alias("y"), F.lit(True).alias("outside")))),
-        F.transform(F.sequence(F.lit(0), F.col("n_x") - 1), lambda x: F.struct(x.alias("x"), _cell(F.col("n_y")).alias("y"), F.lit(False).alias("outside"))),
-    ]
-    empty = F.array().cast("array<struct<x:bigint,y:bigint,outside:boolean>>")
-    group = F.concat(F.coalesce(each[0], empty), each[1])
+    return labelled.join(buckets.select("key", F.col("most.component").alias("largest"), *cells), "key")
+
+
+def groups_of(rows: DataFrame) -> DataFrame:
+    """Groups (key, x, y) in which nodes of different components of a bucket meet.
+
+    The nodes outside the largest component lie in cells x, all nodes in cells y. A group
+    takes the nodes of its x (``outside``) and of its y, so every node outside meets every other."""
+    cell = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    across = F.transform(F.sequence(F.lit(0), F.col("n_y") - 1), lambda y: F.struct(cell("n_x").alias("x"), y.alias("y"), F.lit(True).alias("outside")))
+    down = F.transform(F.sequence(F.lit(0), F.col("n_x") - 1), lambda x: F.struct(x.alias("x"), cell("n_y").alias("y"), F.lit(False).alias("outside")))
+    group = F.when(F.col("component") != F.col("largest"), F.concat(across, down)).otherwise(down)
     return rows.select("key", "node", "component", F.explode(group).alias("at")).select("key", "at.*", "node", "component")
 
 
-def _met(rows: pa.Table) -> list[np.ndarray]:
-    """Pairs of nodes of a group that differ in component and are not ruled out."""
+def _proposed(rows: pa.Table, likeliest: bool) -> Iterator[tuple[int, int, int]]:
+    """(node, partner, equal minhashes) of nodes of a group that differ in component and are
+    not ruled out: for each node outside its likeliest partner, or all it meets in this table first."""
     outside = rows.column("outside").to_numpy()
     node, component, n = (rows.column(c).to_numpy() for c in ("node", "component", "n"))
-    hashes = _matrix(rows.column("sketch").combine_chunks())
-    left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
-    out = []
-    for i in left:
+    hashes, bits = _matrix(rows.column("sketch").combine_chunks()), rows.column("bits")
+    table = int(rows.column("key")[0].as_py()) & _TABLE
+    right = np.flatnonzero(~outside)
+    for i in np.flatnonzero(outside):
         near = right[(component[right] != component[i]) & _sizes_fit(n[right], n[i])]
-        near = near[(hashes[near] == hashes[i]).sum(axis=1) >= LEAST_EQUAL]
-        if len(near):
-            both = np.stack([np.full(len(near), node[i]), node[near]])
-            out.append(np.sort(both, axis=0))
-    return out
-
-
-def cross_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different components that share an open bucket."""
+        same = hashes[near] == hashes[i]
+        equal = same.sum(axis=1)
+        chosen = np.flatnonzero(equal >= LEAST_EQUAL)
+        if likeliest:
+            chosen = chosen[np.argsort(-equal[chosen], kind="stable")]
+        elif len(chosen):
+            blocks = same[chosen].reshape(len(chosen), 2, SIDE, BLOCK).all(axis=3).argmax(axis=2)
+            chosen = chosen[blocks[:, 0] * SIDE + blocks[:, 1] == table]
+        for k in chosen.tolist():
+            j = near[k]
+            if may_link(int(n[i]), int(n[j]), bits[int(i)].as_py(), bits[int(j)].as_py()):
+                yield int(node[i]), int(node[j]), int(equal[k])
+                if likeliest:
+                    break
+
+
+def cross_pairs(groups: DataFrame, nodes: DataFrame, likeliest: bool) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different components that share an open bucket:
+    each node's likeliest partner, or all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -233,30 +272,38 @@ def cross_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
             rows = pa.concat_tables([kept, rows]) if kept is not None else rows
             ids = np.stack([rows.column(c).to_numpy() for c in ("key", "x", "y")])
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
-            yield from _pairs(rows, cuts)
+            yield from pairs(rows, cuts)
             kept = rows.slice(cuts[-1])  # the last group may go on in the next batch
         if kept is not None:
-            yield from _pairs(kept, [0, kept.num_rows])
+            yield from pairs(kept, [0, kept.num_rows])
 
-    def _pairs(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        found = [pair for start, end in zip(cuts, cuts[1:], strict=False) for pair in _met(rows.slice(start, end - start))]
+    def pairs(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        found = [pair for start, end in zip(cuts, cuts[1:], strict=False) for pair in _proposed(rows.slice(start, end - start), likeliest)]
         if found:
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            columns = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["a", "b", "equal"])
+
+    rows = groups.join(nodes.select("node", "n", "sketch", "bits"), "node").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    met = rows.mapInArrow(run, "a long, b long, equal long")
+    if likeliest:
+        met = met.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("best")).select("a", "best.b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    rows = groups.join(nodes.select("node", "n", "sketch"), "node").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after more links (a, b)."""
+    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept for every row."""
     docs = keyed_texts(df, key, text)
     rows = materialize(described(docs), "described")
-    nodes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
+    nodes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node", "n").agg(*(F.min(c).alias(name) for c, name in (("doc_id", "rep"), ("sketch", "sketch"), ("bits", "bits"))))
     nodes = materialize(nodes, "nodes")
 
     buckets = bucket_rows(nodes)
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
+    leaders = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     matched = materialize(buckets.join(leaders.select("key", "lead"), "key"), "matched")
     stars = (
         matched.filter("node <> lead")
@@ -266,18 +313,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .agg(F.max(F.struct("shared", "b")).alias("best"))
         .select("a", "best.b")
     )
-    stars = materialize(plausible(stars, nodes), "stars")
-    first = components(materialize(confirmed(stars, nodes, docs), "links"))
-
-    labelled = matched.select("key", "node").join(first.withColumnRenamed("id", "node"), "node", "left")
-    labelled = materialize(labelled.select("key", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    pairs = cross_pairs(open_groups(labelled), nodes)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(confirmed(materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), nodes, docs), "links")
-    if more.head(1):
-        first = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-
-    labels = nodes.select("node", "rep").join(first.withColumnRenamed("id", "node"), "node", "left")
+    tried = materialize(plausible(stars, nodes), "stars")
+    labels = components(materialize(confirmed(tried, nodes, docs), "links"))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    left = matched.select("key", "node")
+    for turn in range(PROPOSALS + 1):
+        open_ = materialize(open_rows(left, labels), "open")
+        pairs = cross_pairs(groups_of(open_), nodes, likeliest=turn < PROPOSALS)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = materialize(confirmed(pairs, nodes, docs), "links")
+        if links.head(1):
+            labels = _joined(labels, links)
+        left, tried = open_.select("key", "node"), tried.union(pairs)
+
+    labels = nodes.select("node", "rep").join(labels.withColumnRenamed("id", "node"), "node", "left")
     labels = materialize(labels.select("node", "rep", F.coalesce("component", "node").alias("component")), "node-labels")
     least = labels.groupBy("component").agg(F.min("rep").alias("least"))
     ids = labels.join(least, "component").select("node", "least")

@@ -76,8 +76,9 @@ def test_hot_template_without_links(spark):
 
 def test_groups_are_found_in_comparisons_in_proportion(spark):
     """Every group of cells holds a bounded number of nodes, and a bucket of one component has none."""
-    rows = [(7, node, 1) for node in range(5000)] + [(7, 9001, 2), (7, 9002, 2), (8, 1, 1), (8, 2, 1)]
-    groups = tensor_minhash.open_groups(spark.createDataFrame(rows, "key long, node long, component long"))
+    rows = spark.createDataFrame([(7, node) for node in [*range(5000), 9001, 9002]] + [(8, 1), (8, 2)], "key long, node long")
+    labels = spark.createDataFrame([(node, 0) for node in range(5000)] + [(9002, 9001)], "id long, component long")
+    groups = tensor_minhash.groups_of(tensor_minhash.open_rows(rows, labels))
     sizes = groups.groupBy("key", "x", "y", "outside").count().collect()
     assert {r.key for r in sizes} == {7}
     assert max(r["count"] for r in sizes) < 2 * tensor_minhash.CELL
@@ -86,6 +87,16 @@ def test_groups_are_found_in_comparisons_in_proportion(spark):
     assert groups.filter("outside AND node = 9001").count() == 20
 
 
+def test_parity_bits_never_rule_out_a_link():
+    chosen = np.random.default_rng(7)
+    for n, changed in ((1, 0), (9, 1), (90, 9), (700, 77), (1200, 130)):
+        pool = chosen.integers(0, 2**63, n + changed, dtype=np.uint64)
+        x, y = pool[:n], pool[changed:]
+        assert tensor_minhash.may_link(n, n, tensor_minhash.parity_bits(x), tensor_minhash.parity_bits(y))
+        other = chosen.integers(0, 2**63, n, dtype=np.uint64)
+        assert n < 9 or not tensor_minhash.may_link(n, n, tensor_minhash.parity_bits(x), tensor_minhash.parity_bits(other))
+
+
 def test_probability_of_meeting():
     chosen = np.random.default_rng(5)
     missed = agree = 0
