@@ -11,9 +11,9 @@ Texts with equal shingle sets are one node. Buckets (table, key) are not paired
 1. Every node is compared with one leader, that of its buckets' leaders (least digest) which
    it shares most buckets with. Links that hold are joined to components.
 2. Only buckets that then still hold several components matter. There the nodes outside the
-   bucket's largest component meet the others, in cells of about ``CELL`` nodes a side, and
-   each proposes its likeliest partner; links that hold join components. This is done
-   ``PROPOSALS`` times, and then once for all partners instead of the likeliest.
+   bucket's largest component meet the others, in cells of about ``CELL`` nodes a side. A
+   pair counts in the first table that it shares. First each node proposes its likeliest
+   partner (``PROPOSALS`` times), and links that hold join components; then all pairs do.
 
 So a group of n similar texts costs about n comparisons of whole sets; nothing is capped or
 left out. Nodes that share a bucket without linking are compared in their cells by
@@ -41,7 +41,6 @@ from pyspark.sql import functions as F
 from patronage.llm.common import keyed_texts, mix64, slices
 from patronage.llm.components import components
 from patronage.llm.id_filter import id_filter, passing
-from patronage.llm.ngram_join import LEAST_CELLS, least_difference
 from patronage.llm.shingles import set_digest, word_hashes
 from patronage.session import materialize
 
@@ -52,7 +51,9 @@ HASHES = 2 * SIDE * BLOCK
 LEAST_EQUAL = 19
 #: Nodes of a bucket that meet in one group, on each side.
 CELL = 256
-PROPOSALS = 2
+PROPOSALS = 1
+#: Least logarithm of the parity bits of a set.
+LEAST_CELLS = 9
 #: The low bits of a key tell its table.
 _TABLE = 127
 
@@ -110,9 +111,34 @@ def parity_bits(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
-    """Whether parity bits allow a similarity of 0.8, for which sets share 4 / 9 of their sizes' sum or more."""
-    return least_difference(x, y) <= n + m - 2 * -(-4 * (n + m) // 9)
+def differences(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Least number of shingles in which the set with parity bits ``x`` differs from those of ``rows``.
+
+    A cell whose parity differs holds a shingle of one set only. Longer bits are folded."""
+    while len(x) > rows.shape[1]:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while rows.shape[1] > len(x):
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return np.bitwise_count(rows ^ x).sum(axis=1, dtype=np.int64)
+
+
+class Parities:
+    """Sizes and parity bits of some sets."""
+
+    def __init__(self, n: np.ndarray, bits: pa.Array):
+        self.n = n
+        self.rows = [np.frombuffer(value, np.uint8) for value in bits.to_pylist()]
+        self.length = np.array([len(row) for row in self.rows])
+
+    def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether the bits allow a similarity of 0.8: such sets share 4 / 9 of their sizes' sum or more."""
+        out = np.zeros(len(others), bool)
+        for length in np.unique(self.length[others]):
+            at = np.flatnonzero(self.length[others] == length)
+            both = self.n[i] + self.n[others[at]]
+            out[at] = differences(self.rows[i], np.stack([self.rows[k] for k in others[at]])) <= both - 2 * -(-4 * both // 9)
+        return out
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -158,11 +184,12 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
-            keep = _sizes_fit(*sizes)
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            keep = _sizes_fit(n_a, n_b)
             keep &= (_matrix(batch.column("sketch_a")) == _matrix(batch.column("sketch_b"))).sum(axis=1) >= LEAST_EQUAL
+            both = Parities(np.concatenate([n_a, n_b]), pa.concat_arrays([batch.column("bits_a"), batch.column("bits_b")]))
             for k in np.flatnonzero(keep).tolist():
-                keep[k] = may_link(int(sizes[0][k]), int(sizes[1][k]), batch.column("bits_a")[k].as_py(), batch.column("bits_b")[k].as_py())
+                keep[k] = both.may_link(k, np.array([k + len(n_a)]))[0]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sides = [nodes.select("node", "n", "sketch", "bits").toDF(c, f"n_{c}", f"sketch_{c}", f"bits_{c}") for c in "ab"]
@@ -237,28 +264,26 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 def _proposed(rows: pa.Table, likeliest: bool) -> Iterator[tuple[int, int, int]]:
     """(node, partner, equal minhashes) of nodes of a group that differ in component and are
-    not ruled out: for each node outside its likeliest partner, or all it meets in this table first."""
+    not ruled out and meet in this table first: for each node outside its likeliest partner, or all."""
     outside = rows.column("outside").to_numpy()
     node, component, n = (rows.column(c).to_numpy() for c in ("node", "component", "n"))
-    hashes, bits = _matrix(rows.column("sketch").combine_chunks()), rows.column("bits")
+    hashes, parities = _matrix(rows.column("sketch").combine_chunks()), Parities(n, rows.column("bits").combine_chunks())
     table = int(rows.column("key")[0].as_py()) & _TABLE
     right = np.flatnonzero(~outside)
-    for i in np.flatnonzero(outside):
+    for i in np.flatnonzero(outside).tolist():
         near = right[(component[right] != component[i]) & _sizes_fit(n[right], n[i])]
         same = hashes[near] == hashes[i]
         equal = same.sum(axis=1)
-        chosen = np.flatnonzero(equal >= LEAST_EQUAL)
-        if likeliest:
-            chosen = chosen[np.argsort(-equal[chosen], kind="stable")]
-        elif len(chosen):
-            blocks = same[chosen].reshape(len(chosen), 2, SIDE, BLOCK).all(axis=3).argmax(axis=2)
-            chosen = chosen[blocks[:, 0] * SIDE + blocks[:, 1] == table]
-        for k in chosen.tolist():
-            j = near[k]
-            if may_link(int(n[i]), int(n[j]), bits[int(i)].as_py(), bits[int(j)].as_py()):
-                yield int(node[i]), int(node[j]), int(equal[k])
-                if likeliest:
-                    break
+        enough = np.flatnonzero(equal >= LEAST_EQUAL)
+        if not len(enough):
+            continue
+        blocks = same[enough].reshape(len(enough), 2, SIDE, BLOCK).all(axis=3).argmax(axis=2)
+        enough = enough[blocks[:, 0] * SIDE + blocks[:, 1] == table]
+        enough = enough[parities.may_link(i, near[enough])]
+        if likeliest and len(enough):
+            enough = enough[[equal[enough].argmax()]]
+        for k in enough.tolist():
+            yield int(node[i]), int(node[near[k]]), int(equal[k])
 
 
 def cross_pairs(groups: DataFrame, nodes: DataFrame, likeliest: bool) -> DataFrame:

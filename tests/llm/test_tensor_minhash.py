@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from patronage.llm import tensor_minhash
@@ -89,12 +90,13 @@ def test_groups_are_found_in_comparisons_in_proportion(spark):
 
 def test_parity_bits_never_rule_out_a_link():
     chosen = np.random.default_rng(7)
-    for n, changed in ((1, 0), (9, 1), (90, 9), (700, 77), (1200, 130)):
+    for n, m, changed in ((1, 1, 0), (9, 9, 1), (90, 81, 9), (700, 690, 77), (1200, 1000, 90)):
         pool = chosen.integers(0, 2**63, n + changed, dtype=np.uint64)
-        x, y = pool[:n], pool[changed:]
-        assert tensor_minhash.may_link(n, n, tensor_minhash.parity_bits(x), tensor_minhash.parity_bits(y))
-        other = chosen.integers(0, 2**63, n, dtype=np.uint64)
-        assert n < 9 or not tensor_minhash.may_link(n, n, tensor_minhash.parity_bits(x), tensor_minhash.parity_bits(other))
+        sets = [pool[:n], pool[changed : changed + m], chosen.integers(0, 2**63, n, dtype=np.uint64)]
+        parities = tensor_minhash.Parities(np.array([len(x) for x in sets]), pa.array([tensor_minhash.parity_bits(x) for x in sets]))
+        linked = len(np.intersect1d(*sets[:2])) * 5 >= len(np.union1d(*sets[:2])) * 4
+        assert linked and parities.may_link(0, np.array([1, 0])).all()
+        assert n < 9 or not parities.may_link(0, np.array([1, 2]))[1]
 
 
 def test_probability_of_meeting():
