@@ -6,7 +6,8 @@ every pair of a left and a right block: SIDE * SIDE tables of 2 * BLOCK hashes e
 meets in a table if it agrees in one block of each side; at similarity s it is missed with
 probability 2 * (1 - s**BLOCK)**SIDE at most, 7e-5 at 0.8 and 1e-7 at 0.9.
 
-Texts with equal shingle sets are one node. Buckets (table, key) are not paired out:
+Texts with equal shingle sets are one node. A node's keys are only formed of blocks that it
+shares with other nodes. Buckets (table, key) are not paired out:
 
 1. Every node is compared with one leader, that of its buckets' leaders (least digest) which
    it shares most buckets with. Links that hold are joined to components.
@@ -56,6 +57,8 @@ PROPOSALS = 1
 LEAST_CELLS = 9
 #: The low bits of a key tell its table.
 _TABLE = 127
+#: The low bits of a block's hash tell its side and place.
+_PLACE = 31
 
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEEDS[:HASHES], _SEEDS[HASHES:] | np.uint64(1)
@@ -93,13 +96,18 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def table_keys(hashes: np.ndarray) -> np.ndarray:
-    """set, table: keys formed of every left and every right block."""
+def block_hashes(hashes: np.ndarray) -> np.ndarray:
+    """set, side, block: hashes of the blocks, whose low bits tell their place."""
     blocks = hashes.reshape(len(hashes), 2, SIDE, BLOCK).astype(np.uint64)
     one = np.zeros(blocks.shape[:3], np.uint64)
     for k in range(BLOCK):
         one = mix64(one * _SECOND + blocks[..., k] + np.uint64(1))
-    one += np.arange(2 * SIDE, dtype=np.uint64).reshape(2, SIDE) * _FIRST
+    return (one & ~np.uint64(_PLACE)) | np.arange(2 * SIDE, dtype=np.uint64).reshape(2, SIDE)
+
+
+def table_keys(hashes: np.ndarray) -> np.ndarray:
+    """set, table: keys formed of every left and every right block."""
+    one = block_hashes(hashes)
     keys = mix64(mix64(one[:, 0, :, None]) * _SECOND + mix64(one[:, 1, None, :])).reshape(len(hashes), SIDE * SIDE)
     return ((keys & ~np.uint64(_TABLE)) | np.arange(SIDE * SIDE, dtype=np.uint64)).view(np.int64)
 
@@ -163,16 +171,39 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), HASHES)
 
 
+def in_shared_blocks(nodes: DataFrame) -> DataFrame:
+    """(node, sketch, shared) of nodes that share a left and a right block with others.
+
+    Bit k of ``shared`` stands for block k. Only tables of two shared blocks can be shared,
+    so the few block hashes of a node rule most of its many table keys out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = block_hashes(_matrix(batch.column("sketch"))).reshape(batch.num_rows, 2 * SIDE).view(np.int64)
+            own = np.repeat(batch.column("node").to_numpy(), 2 * SIDE)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.ravel()), pa.array(own)], ["block", "node"])
+
+    blocks = nodes.select("node", "sketch").mapInArrow(run, "block long, node long")
+    shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("block")
+    bit = F.expr(f"shiftleft(1L, CAST(block & {_PLACE} AS INT))")
+    found = blocks.join(shared, "block").groupBy("node").agg(F.bit_or(bit).alias("shared"))
+    side = (1 << SIDE) - 1
+    found = found.filter((F.col("shared").bitwiseAND(side) != 0) & (F.col("shared").bitwiseAND(side << SIDE) != 0))
+    return nodes.select("node", "sketch").join(found, "node")
+
+
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(key, node) of every table."""
+    """(key, node) of every table that two shared blocks form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = table_keys(_matrix(batch.column("sketch")))
-            own = np.repeat(batch.column("node").to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(own)], ["key", "node"])
+            bits = (batch.column("shared").to_numpy()[:, None] >> np.arange(2 * SIDE)) & 1 == 1
+            both = (bits[:, :SIDE, None] & bits[:, None, SIDE:]).reshape(keys.shape)
+            own = np.broadcast_to(batch.column("node").to_numpy()[:, None], keys.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[both]), pa.array(own[both])], ["key", "node"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sketch", "shared").mapInArrow(run, "key long, node long")
 
 
 def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -327,7 +358,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     nodes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node", "n").agg(*(F.min(c).alias(name) for c, name in (("doc_id", "rep"), ("sketch", "sketch"), ("bits", "bits"))))
     nodes = materialize(nodes, "nodes")
 
-    buckets = bucket_rows(nodes)
+    buckets = bucket_rows(materialize(in_shared_blocks(nodes), "shared-blocks"))
     leaders = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     matched = materialize(buckets.join(leaders.select("key", "lead"), "key"), "matched")
     stars = (
