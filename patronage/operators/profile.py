@@ -4,20 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.functions.columns import count_where, is_missing, numeric_columns, rows_from
+from patronage.functions.columns import is_missing, numeric_columns
+from patronage.operators.selection import select_ranks
 from patronage.schemas import TARGET
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-# Rank error of the sketch that brackets each quartile: 1 / ACCURACY of the rows.
-ACCURACY = 10_000
-
-SUMMARY_COLUMNS = (
-    "column_name string, n bigint, mean double, std double, min double, "
-    "p25 double, p50 double, p75 double, max double"
-)
 
 
 def churn_rate(df: DataFrame, label: str = TARGET) -> DataFrame:
@@ -35,103 +29,40 @@ def class_distribution(df: DataFrame, label: str = TARGET) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum of
-    each numeric column, one row per column. Quartiles interpolate linearly.
+    each numeric column, one row per column in the given order. Quartiles interpolate linearly.
 
     An exact quantile aggregate would hold every distinct value of a column in
-    one task. Here a first scan brackets each quartile by a sketch of bounded
-    size; a second one counts the rows below the bracket and keeps the distinct
-    values within it, at most 8 / ACCURACY of the rows. Both scans read ``df``,
-    which should be a stored table.
+    one task; here the values at the ranks around each quartile are found by
+    radix selection. Nothing runs before the result is used; then ``df``, which should be a
+    stored table, is scanned once for the sums, once for the counts and once per digit.
     """
     columns = list(columns or numeric_columns(df))
     if not columns:
         raise ValueError("no numeric column to describe")
-    totals = df.agg(*(a for c in columns for a in _moments(df, c))).first().asDict()
-    brackets = [
-        (c, name, q, totals[f"{c}:n"], *_bracket(totals, c, i))
-        for c in columns
-        for i, (name, q) in enumerate(QUARTILES.items())
-        if totals[f"{c}:n"]
-    ]
-    quartiles = {}
-    if brackets:
-        quartiles = {(r["column_name"], r["quartile"]): r["v"] for r in _quartiles(df, brackets).collect()}
-    lines = [
-        (
-            c,
-            totals[f"{c}:n"],
-            *(totals[f"{c}:{m}"] for m in ("mean", "std", "min")),
-            *(quartiles.get((c, name)) for name in QUARTILES),
-            totals[f"{c}:max"],
-        )
-        for c in columns
-    ]
-    return df.sparkSession.createDataFrame(lines, SUMMARY_COLUMNS)
-
-
-def _value(df: DataFrame, column: str) -> Column:
-    return F.when(~is_missing(df, column), F.col(column).cast("double"))
-
-
-def _moments(df: DataFrame, column: str) -> list[Column]:
-    v = _value(df, column)
-    # One for the error of the sketch, one for rounding a rank, one to spare.
-    margin = 3 / ACCURACY
-    points = [p for q in QUARTILES.values() for p in (q - margin, q + margin)]
+    values = {c: F.when(~is_missing(df, c), F.col(c).cast("double")) for c in columns}
+    moments = [F.struct(F.lit(i).alias("_order"), F.lit(c).alias("column_name"), *_moments(values[c])) for i, c in enumerate(columns)]
+    sums = df.agg(F.array(*moments).alias("all")).select(F.inline("all"))
+    counts = df.agg(F.array(*(F.struct(F.lit(c).alias("column_name"), F.count(v).alias("n")) for c, v in values.items())).alias("all"))
+    at = {name: q * (F.col("n") - 1) for name, q in QUARTILES.items()}
+    ranks = {f"{name}_{side}": whole(at[name]).cast("bigint").alias(f"{name}_{side}") for name in QUARTILES for side, whole in (("low", F.floor), ("high", F.ceil))}
+    wanted = counts.select(F.inline("all")).where("n > 0").select("column_name", *ranks.values())
+    found = select_ranks(df, values, wanted, list(ranks))
+    # One row per column.
+    summary = sums.join(F.broadcast(found), "column_name", "left")
+    quartiles = [_between(F.col(f"{name}_low"), F.col(f"{name}_high"), at[name]).alias(name) for name in QUARTILES]
+    return summary.orderBy("_order").select("column_name", "n", "mean", "std", "min", *quartiles, "max")
+
+
+def _moments(v: Column) -> list[Column]:
     return [
-        F.count(v).alias(f"{column}:n"),
-        F.avg(v).alias(f"{column}:mean"),
-        F.stddev_samp(v).alias(f"{column}:std"),
-        F.min(v).alias(f"{column}:min"),
-        F.max(v).alias(f"{column}:max"),
-        F.percentile_approx(v, points, ACCURACY).alias(f"{column}:bounds"),
+        F.count(v).alias("n"),
+        F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
     ]
 
 
-def _bracket(totals: dict, column: str, i: int) -> tuple[float, float]:
-    """Values that enclose quartile ``i``: all of them on few rows, where one
-    rank is more than the margin."""
-    if totals[f"{column}:n"] <= ACCURACY:
-        return totals[f"{column}:min"], totals[f"{column}:max"]
-    bounds = totals[f"{column}:bounds"]
-    return bounds[2 * i], bounds[2 * i + 1]
-
-
-def _quartiles(df: DataFrame, brackets: list[tuple]) -> DataFrame:
-    """(column_name, quartile, v), one row per bracket: the two order statistics
-    around the quartile, interpolated."""
-    columns = list(dict.fromkeys(c for c, *_ in brackets))
-    bounds = df.sparkSession.createDataFrame(
-        [(c, name, q * (n - 1), low, high) for c, name, q, n, low, high in brackets],
-        "column_name string, quartile string, rank double, low double, high double",
-    )
-    long = df.select(*(_value(df, c).alias(c) for c in columns)).unpivot(
-        [], columns, "column_name", "value"
-    )
-    # ``bounds`` has one row per column and quartile. Rows below a bracket are
-    # counted under one NULL value.
-    kept = F.when(F.col("value") >= F.col("low"), F.col("value"))
-    values = (
-        long.join(F.broadcast(bounds), "column_name")
-        .where(F.col("value") <= F.col("high"))
-        .groupBy("column_name", "quartile", "rank", kept.alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = F.sum("n").over(
-        Window.partitionBy("column_name", "quartile", "rank")
-        .orderBy(F.asc_nulls_first("value"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-
-    def value_at(rank: Column) -> Column:
-        # A value holds the ranks from upto - n to upto - 1.
-        held = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-        return F.max(F.when(held, F.col("value")))
-
-    below, above = F.floor("rank"), F.ceil("rank")
-    low, high = value_at(below), value_at(above)
-    return (
-        values.withColumn("upto", upto)
-        .groupBy("column_name", "quartile", "rank")
-        .agg((low + (high - low) * (F.col("rank") - below)).alias("v"))
-    )
+def _between(low: Column, high: Column, rank: Column) -> Column:
+    """The value at a fractional rank. Equal neighbours, infinite ones too, are the value itself."""
+    return F.when(low == high, low).otherwise(low + (high - low) * (rank - F.floor(rank)))
