@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from patronage.operators.quality import enforce_primary_key
 from patronage.schemas import PRIMARY_KEYS, RAW_TABLES
+from patronage.sources.csv_records import numbered_lines, quote_blocks, records
 from patronage.sources.parquet_tables import row_counts, write_table
 
 # What the reader reports for a quoted empty field, which is text and not NULL.
@@ -26,24 +27,22 @@ READ_OPTIONS = {
 }
 
 
-def has_quoted_newline(spark: SparkSession, path: str) -> bool:
-    """Whether a field spans lines: then some line has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
-
-
-def read_csv_table(
-    spark: SparkSession, path: str, schema: T.StructType, multiline: bool | None = None
-) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One raw table. A bad number, an overflow or a wrong number of fields
     fails the job; an unquoted empty field is NULL.
 
-    Reading fields that span lines forbids splitting a file between tasks.
-    With ``multiline=None`` a scan of the lines finds out if that is needed.
+    A scan of the lines counts quotes by file block. Without a field that spans lines each
+    line is a record for the reader; else lines are put together by ``records``, which
+    splits files between tasks as well.
     """
-    if multiline is None:
-        multiline = has_quoted_newline(spark, path)
-    raw = spark.read.schema(schema).options(**READ_OPTIONS).csv(path, multiLine=multiline)
+    lines = numbered_lines(spark, path)
+    blocks = quote_blocks(lines)
+    if blocks.where("n_odd > 0").isEmpty():
+        raw = spark.read.schema(schema).options(**READ_OPTIONS).csv(path)
+    else:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        parsed = records(lines, blocks).select(F.from_csv("record", fields, READ_OPTIONS).alias("fields"))
+        raw = parsed.select("fields.*")
     return raw.select(*(_restore_empty(f) for f in schema.fields))
 
 

@@ -1,13 +1,17 @@
 """Typed CSV ingest: what is read, what is NULL and what is refused."""
 
 import datetime
+import random
+import re
 from decimal import Decimal
 
 import pytest
 
 from patronage.operators.quality import QualityError
 from patronage.schemas import PRIMARY_KEYS, RAW_TABLES
+from patronage.sources import csv_records
 from patronage.sources import csv_tables as C
+from patronage.sources.csv_records import numbered_lines, quote_blocks
 from patronage.sources.parquet_tables import row_counts, write_table
 
 SAMPLES = {
@@ -23,11 +27,11 @@ SAMPLES = {
 }
 
 
-def read(spark, tmp_path, name, *lines, header=None, **options):
+def read(spark, tmp_path, name, *lines, header=None):
     path = tmp_path / f"{name}.csv"
     head = header if header is not None else ",".join(RAW_TABLES[name].fieldNames())
     path.write_text("\n".join([head, *lines]) + "\n", encoding="utf-8")
-    return C.read_csv_table(spark, str(path), RAW_TABLES[name], **options)
+    return C.read_csv_table(spark, str(path), RAW_TABLES[name])
 
 
 def test_types_and_leading_zeros(spark, tmp_path):
@@ -53,18 +57,86 @@ def test_timestamps_have_no_zone(spark, tmp_path):
 
 def test_quotes_commas_and_newlines(spark, tmp_path):
     line = 'r1,o1,5,"a, b","he said ""hi""\nand left",2018-01-18 00:00:00,2018-01-18 21:46:59'
-    for multiline in (None, True):
-        rows = read(spark, tmp_path, "order_reviews", line, SAMPLES["order_reviews"], multiline=multiline).collect()
-        assert len(rows) == 2
-        assert rows[0]["review_comment_title"] == "a, b"
-        assert rows[0]["review_comment_message"] == 'he said "hi"\nand left'
-
-
-def test_files_are_split_unless_a_field_spans_lines(spark, tmp_path):
-    read(spark, tmp_path, "customers", 'c1,u1,1,"a ""b"" c",SP')
-    assert not C.has_quoted_newline(spark, str(tmp_path / "customers.csv"))
-    read(spark, tmp_path, "customers", 'c1,u1,1,"a\nb",SP')
-    assert C.has_quoted_newline(spark, str(tmp_path / "customers.csv"))
+    rows = read(spark, tmp_path, "order_reviews", line, SAMPLES["order_reviews"]).collect()
+    assert len(rows) == 2
+    first = min(rows, key=lambda r: r["review_score"] != 5)
+    assert first["review_comment_title"] == "a, b"
+    assert first["review_comment_message"] == 'he said "hi"\nand left'
+
+
+REVIEW = 'r{k},o{k},{score},{title},"{message}",2018-01-18 00:00:00,2018-01-18 21:46:59'
+
+
+def reviews(n, seed):
+    """Reviews whose messages hold up to 30 lines, quotes, commas and blank lines."""
+    chosen = random.Random(seed)
+    parts = ["", "a", "é, 漢", 'he said ""hi""', '""', "x" * 200, ",", "r1,o1,5,,,,"]
+    out = []
+    for k in range(n):
+        lines = [chosen.choice(parts) for _ in range(chosen.choice([1, 1, 1, 2, 30]))]
+        out.append((f"r{k}", chosen.randint(1, 5), chosen.choice(["", '"t, u"', "v"]), "\n".join(lines)))
+    return out
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_fields_that_span_lines_do_not_keep_files_whole(spark, tmp_path, end):
+    """Records over block borders, several files, and more tasks than files."""
+    folder, expected = tmp_path / "reviews", {}
+    folder.mkdir()
+    for part in range(3):
+        rows = [(f"{part}{key}", *rest) for key, *rest in reviews(200, part)]
+        expected |= {key: (score, title.strip('"') or None, message.replace('""', '"')) for key, score, title, message in rows}
+        lines = [",".join(RAW_TABLES["order_reviews"].fieldNames()), *(REVIEW.format(k=key, score=s, title=t, message=m) for key, s, t, m in rows)]
+        (folder / f"{part}.csv").write_bytes((end * 2 + end.join("\n".join(lines).split("\n")) + end).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = C.read_csv_table(spark, str(folder), RAW_TABLES["order_reviews"])
+        rows = df.collect()
+        scanned = numbered_lines(spark, str(folder)).rdd.getNumPartitions()
+        assert quote_blocks(numbered_lines(spark, str(folder))).where("before % 2 = 1").count() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert scanned > 30
+    assert len(rows) == len(expected)
+    got = {r["review_id"][1:]: (r["review_score"], r["review_comment_title"], r["review_comment_message"]) for r in rows}
+    assert got == expected
+
+
+def test_only_blocks_with_open_quotes_move(spark, tmp_path):
+    df = read(spark, tmp_path, "customers", 'c1,u1,1,"a\nb",SP', SAMPLES["customers"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moved = set(re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\w+)#", plan))
+    assert moved == {("file", "block"), ("file", "_groupingexpression")}  # lines of such blocks; lines of such records
+    assert sorted(r["customer_city"] for r in df.collect()) == ["a\nb", "sao paulo"]
+    plain = read(spark, tmp_path, "customers", 'c1,u1,1,"a ""b"" c",SP')
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_may_be_too_many_to_send(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_records, "SENT_BLOCKS", 0)
+    rows = read(spark, tmp_path, "customers", 'c1,u1,1,"a\n\nb",SP', SAMPLES["customers"]).collect()
+    assert sorted(r["customer_city"] for r in rows) == ["a\n\nb", "sao paulo"]
+
+
+def test_header_may_span_lines(spark, tmp_path):
+    rows = read(spark, tmp_path, "sellers", SAMPLES["sellers"], header='a,"b\nc",d,e').collect()
+    assert [r["seller_id"] for r in rows] == ["s1"]
+
+
+@pytest.mark.parametrize(
+    "lines",
+    [
+        ['s1,1,"a,SP'],  # no end
+        ['s1,1,5" pipe,SP', 's2,1,6" pipe,SP'],  # quotes within unquoted fields, an odd number a line
+        ['s1,1,"a\nb",SP,extra'],
+        ['s1,1,"a\nb"', SAMPLES["sellers"]],
+    ],
+)
+def test_bad_records_over_lines_abort(spark, tmp_path, lines):
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
+        read(spark, tmp_path, "sellers", SAMPLES["sellers"], *lines).collect()
 
 
 def test_empty_and_quoted_empty(spark, tmp_path):
