@@ -22,7 +22,7 @@ from patronage.operators.orders import CHURN_DAYS
 from patronage.operators.rfm import top_recent_customers
 from patronage.plans import pipeline, registry, scoring, training
 from patronage.schemas import CUSTOMER_KEY, RAW_TABLES
-from patronage.session import build_session
+from patronage.session import build_session, new_path
 from patronage.sources import csv_tables
 from patronage.sources.parquet_tables import open_store, read_table, write_table
 from patronage.streaming import scoring_stream
@@ -66,7 +66,8 @@ def score_stream(spark: SparkSession, args: argparse.Namespace) -> None:
     model, version = registry.load_latest(spark, args.registry)
     arriving = scoring_stream.request_stream(spark, args.requests, read_table(spark, args.requests).schema)
     store = open_store(spark, args.features)
-    scoring_stream.score_stream(model, store, arriving, args.out, args.state).awaitTermination()
+    scores = scoring_stream.stored_scores(model, store, new_path(spark, "scores"))
+    scoring_stream.score_stream(scores, arriving, args.out, args.state).awaitTermination()
     summary = scoring.score_summary(read_table(spark, args.out), version)
     write_table(scoring.batch_events(summary), args.events).show(truncate=False)
 

@@ -35,3 +35,10 @@ def rows_from(columns: list[tuple]) -> Column:
 def hash_order(key: str, seed: int) -> Column:
     """A shuffle order that depends on key and seed, not on partitioning."""
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+
+
+def unplaced(column: str) -> Column:
+    """The same value, by an expression through which the planner sees no partitioning.
+
+    A join by it moves this side, and may then split its large partitions."""
+    return F.element_at(F.array(column), 1).alias(column)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.functions.columns import count_where
+from patronage.functions.columns import count_where, unplaced
 from patronage.operators.skew import join_on_unique
 from patronage.schemas import CUSTOMER_KEY
 
@@ -24,9 +24,10 @@ def request_table(spark: SparkSession, customer_ids: Sequence) -> DataFrame:
 
 
 def requested(store: DataFrame, requests: DataFrame) -> DataFrame:
-    """The store rows that a request asks for, each once."""
+    """The store rows that a request asks for, each once. Of a bucketed store and the requests
+    only the distinct ids of the requests move."""
     asked = requests.select(F.col("customer_id").alias(CUSTOMER_KEY)).distinct()
-    return store.join(asked, CUSTOMER_KEY, "left_semi")
+    return store.join(asked.select(unplaced(CUSTOMER_KEY)), CUSTOMER_KEY, "left_semi")
 
 
 def answer_requests(requests: DataFrame, store: DataFrame) -> DataFrame:
@@ -34,9 +35,10 @@ def answer_requests(requests: DataFrame, store: DataFrame) -> DataFrame:
 
     Repeated ids give repeated rows; unknown ids give NULLs. ``store`` is
     unique by customer. Requests for one customer may be very many, see
-    ``join_on_unique``.
+    ``join_on_unique``; for that both sides have to move.
     """
-    known = store.withColumnRenamed(CUSTOMER_KEY, "customer_id").withColumn("_hit", F.lit(True))
+    rest = [c for c in store.columns if c != CUSTOMER_KEY]
+    known = store.select(unplaced(CUSTOMER_KEY).alias("customer_id"), *rest, F.lit(True).alias("_hit"))
     return (
         join_on_unique(requests, known, "customer_id", "left")
         .withColumn("found", F.col("_hit").isNotNull())

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from patronage.operators.quality import enforce_primary_key
 from patronage.schemas import CUSTOMER_KEY, FEATURE_COLUMNS
+from patronage.sources.buckets import read_buckets, write_buckets
+from patronage.sources.files import file_system
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -19,12 +21,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of ``path``, and a maker of its paths."""
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
-
-
 def publish(
     df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None, write=None
 ) -> DataFrame:
@@ -35,7 +31,7 @@ def publish(
     is untouched and the new rows are removed.
     """
     spark = df.sparkSession
-    files, make = _files(spark, path)
+    files, make = file_system(spark, path)
     parent, _, name = path.rstrip("/").rpartition("/")
     mark = uuid.uuid4().hex
     # Readers of the parent folder skip names that begin with an underscore.
@@ -86,27 +82,23 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 CHECKED = f"_unique-{CUSTOMER_KEY}"
 
 
-def write_store(df: DataFrame, path: str) -> DataFrame:
-    """Write the feature store so that a lookup by customer reads little of it.
+def write_store(df: DataFrame, path: str, n_buckets: int | None = None) -> DataFrame:
+    """Write the feature store so that requests meet it where it lies.
 
-    Files and row groups hold disjoint key ranges, which the reader skips by
-    their statistics; a Bloom filter per row group skips unknown customers. Customers
-    are checked to be unique once, here, and that is recorded beside the rows.
+    Files are hash buckets of the customer: joins by customer move the other side only, and a
+    look-up opens one file, in which Bloom filters skip unknown customers. Customers are
+    checked to be unique once, here, and that is recorded beside the rows.
     """
     spark = df.sparkSession
 
     def write(rows: DataFrame, target: str) -> None:
-        (
-            rows.repartitionByRange(CUSTOMER_KEY)
-            .sortWithinPartitions(CUSTOMER_KEY)
-            .write.option(f"parquet.bloom.filter.enabled#{CUSTOMER_KEY}", "true")
-            .parquet(target)
-        )
+        write_buckets(rows, target, CUSTOMER_KEY, n_buckets)
         enforce_primary_key(read_table(spark, target, rows.schema), CUSTOMER_KEY, "feature store")
-        files, make = _files(spark, target)
+        files, make = file_system(spark, target)
         files.create(make(f"{target}/{CHECKED}")).close()
 
-    return publish(df, path, write=write)
+    publish(df, path, write=write)
+    return read_buckets(spark, path, CUSTOMER_KEY)
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
@@ -116,11 +108,11 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     ``write_store`` was checked when it was written and is opened without a job; the
     keys of any other are checked here.
     """
-    store = read_table(spark, path)
+    store = read_buckets(spark, path, CUSTOMER_KEY)
     absent = [c for c in FEATURE_COLUMNS if c not in store.columns]
     if absent:
         raise ValueError(f"feature store {path} lacks {', '.join(absent)}")
-    files, make = _files(spark, path)
+    files, make = file_system(spark, path)
     if not files.exists(make(f"{path}/{CHECKED}")):
         enforce_primary_key(store, CUSTOMER_KEY, "feature store")
     return store.select(*FEATURE_COLUMNS)

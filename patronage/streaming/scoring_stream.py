@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from patronage.plans.scoring import score_batch
+from patronage.plans.scoring import SCORES, score_store
+from patronage.schemas import CUSTOMER_KEY
+from patronage.sources.buckets import read_buckets, write_buckets
 
 
 def request_stream(
@@ -20,30 +23,37 @@ def request_stream(
     return reader.parquet(folder)
 
 
-def score_stream(
-    model: PipelineModel, store: DataFrame, requests: DataFrame, output: str, checkpoint: str
-) -> StreamingQuery:
-    """Answer all requests that have arrived, then stop.
+def stored_scores(
+    model: PipelineModel, store: DataFrame, path: str, n_buckets: int | None = None
+) -> DataFrame:
+    """Score every customer of the store once, into the new folder ``path``, by buckets of the customer."""
+    write_buckets(score_store(model, store), path, CUSTOMER_KEY, n_buckets)
+    return read_buckets(store.sparkSession, path, CUSTOMER_KEY)
 
-    Each micro-batch is a ``score_batch``: it scores the customers that the
-    batch asks for, instead of shuffling the whole store to the stream as a
-    stream-static left join would. Model and store are those given at the
-    start. A batch overwrites its own folder, so one that is repeated after a
-    failure leaves its rows once; the checkpoint makes a restarted job go on
-    where the last one ended.
-    """
 
-    def answer(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # the ids, the scores and the join read it
-        try:
-            scored = score_batch(model, store, batch, ordered=False)
-            scored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
+def answers(scores: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every request with its customer's scores and ``found``; a stream if ``requests`` is one.
+
+    Of bucketed scores and the requests only the requests move."""
+    known = scores.select(F.col(CUSTOMER_KEY).alias("customer_id"), *SCORES, F.lit(True).alias("_hit"))
+    joined = requests.select("pos", "customer_id").join(known, "customer_id", "left")
+    return joined.select("pos", "customer_id", *SCORES, F.col("_hit").isNotNull().alias("found"))
 
+
+def score_stream(scores: DataFrame, requests: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+    """Answer all requests that have arrived, then stop.
+
+    ``scores`` is what ``stored_scores`` wrote. The file sink lists the files of each batch
+    in a log beside them, once, when the batch is complete: readers of ``output`` see whole
+    batches only, and a batch that is repeated after a failure is neither lost nor there
+    twice. The checkpoint makes a restarted job go on where the last one ended.
+    """
     return (
-        requests.writeStream.foreachBatch(answer)
+        answers(scores, requests)
+        .writeStream.format("parquet")
+        .option("path", output)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

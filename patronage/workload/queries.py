@@ -17,7 +17,7 @@ from patronage.session import new_path
 from patronage.sources.csv_tables import load_table
 from patronage.sources.parquet_tables import open_store, read_table, row_counts
 from patronage.sources.star_tables import FULFILLED, keyed_tables, star_tables
-from patronage.streaming.scoring_stream import request_stream, score_stream
+from patronage.streaming.scoring_stream import request_stream, score_stream, stored_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -423,11 +423,12 @@ def scoring_events(spark, folder):
 def score_stream_available(spark, folder):
     """The requests as files, scored by a stream that ends when all are read."""
     model, _ = _model(spark, folder)
-    inbox, outbox, state = (new_path(spark, n) for n in ("inbox", "outbox", "stream-state"))
+    inbox, outbox, state, at = (new_path(spark, n) for n in ("inbox", "outbox", "stream-state", "scores"))
     requests = _requests(spark, folder)
     requests.write.parquet(inbox)
     arriving = request_stream(spark, inbox, requests.schema, files_per_trigger=1)
-    score_stream(model, _store(spark, folder), arriving, outbox, state).awaitTermination()
+    scores = stored_scores(model, _store(spark, folder), at)
+    score_stream(scores, arriving, outbox, state).awaitTermination()
     columns = ["pos", "customer_id", *scoring.SCORES, "found"]
     return spark.read.parquet(outbox).select(*columns)
 

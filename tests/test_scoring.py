@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from patronage.operators import lookup
 from patronage.operators.quality import QualityError, enforce, score_rules
 from patronage.plans import scoring, training
-from patronage.sources.parquet_tables import open_store, write_table
-from patronage.streaming.scoring_stream import request_stream, score_stream
+from patronage.schemas import FEATURE_COLUMNS
+from patronage.sources.parquet_tables import open_store, write_store, write_table
+from patronage.streaming.scoring_stream import answers, request_stream, score_stream, stored_scores
 from rows import STORE_ROWS, store_rows, training_rows
 
 
@@ -125,26 +126,95 @@ def test_lookup(store):
     assert lookup.lookup_customer(store, "ghost").isEmpty()
 
 
-def test_stream_equals_batch_and_resumes(spark, model, store, tmp_path):
-    inbox, outbox, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    schema = ask(spark, "x").schema
+class Requests:
+    """Request files that land one by one, and the stream that answers them."""
 
-    def arrive(start, *ids):
+    def __init__(self, spark, model, store, folder):
+        self.spark, self.model, self.store = spark, model, store
+        self.inbox, self.outbox, self.state = (str(folder / n) for n in ("in", "out", "state"))
+        self.schema = ask(spark, "x").schema
+        self.scores = stored_scores(model, store, str(folder / "scores"), n_buckets=3)
+
+    def arrive(self, start, *ids):
         rows = [(start + i, c) for i, c in enumerate(ids)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
-
-    def run():
-        stream = request_stream(spark, inbox, schema, files_per_trigger=1)
-        score_stream(model, store, stream, outbox, state).awaitTermination()
-        return spark.read.parquet(outbox).drop("batch_id")
-
-    def batch():
-        return scoring.score_batch(model, store, spark.read.schema(schema).parquet(inbox))
-
-    arrive(0, "cust_001", "ghost", "cust_001")
-    arrive(3, "cust_002")
-    assert sorted(map(str, run().collect())) == sorted(map(str, batch().collect()))
-    arrive(4, "cust_002", "ghost")
-    final = run()
-    assert final.count() == 6
-    assert sorted(map(str, final.collect())) == sorted(map(str, batch().collect()))
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.inbox)
+
+    def run(self):
+        stream = request_stream(self.spark, self.inbox, self.schema, files_per_trigger=1)
+        score_stream(self.scores, stream, self.outbox, self.state).awaitTermination()
+        return self.answered()
+
+    def answered(self):
+        return sorted(map(str, self.spark.read.parquet(self.outbox).collect()))
+
+    def batch(self):
+        requests = self.spark.read.schema(self.schema).parquet(self.inbox)
+        return sorted(map(str, scoring.score_batch(self.model, self.store, requests).collect()))
+
+
+@pytest.fixture
+def requests(spark, model, store, tmp_path):
+    return Requests(spark, model, store, tmp_path)
+
+
+def test_stream_equals_batch_and_resumes(requests):
+    requests.arrive(0, "cust_001", "ghost", "cust_001")
+    requests.arrive(3, "cust_002")
+    assert requests.run() == requests.batch()
+    requests.arrive(4, "cust_002", "ghost")
+    assert len(requests.run()) == 6
+    assert requests.answered() == requests.batch()
+    assert requests.run() == requests.batch()  # nothing new
+
+
+def drop(path):
+    """Remove a file of a log and its checksum."""
+    path.unlink()
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+
+
+@pytest.mark.parametrize("sink_knew", [True, False])
+def test_restart_in_mid_batch(requests, tmp_path, sink_knew):
+    """A job that ends before its last batch is committed, with the batch's files written."""
+    requests.arrive(0, "cust_001", "ghost")
+    before = requests.run()
+    requests.arrive(2, "cust_002", "cust_002", "ghost")
+    requests.run()
+    drop(tmp_path / "state" / "commits" / "1")
+    if not sink_knew:
+        drop(tmp_path / "out" / "_spark_metadata" / "1")
+        assert requests.answered() == before  # readers see whole batches only
+    requests.arrive(5, "ghost")
+    assert requests.run() == requests.batch()
+    assert len(requests.answered()) == 6
+
+
+def test_requests_meet_a_bucketed_store_where_it_lies(spark, model, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = write_store(store_rows(spark), str(tmp_path / "store"), n_buckets=3)
+        asked = spark.createDataFrame([(0, "cust_001"), (1, "ghost"), (2, "cust_001")], "pos int, customer_id string")
+        scored = scoring.score_batch(model, store, asked)
+        text = scored._jdf.queryExecution().executedPlan().toString()
+        store_side = text[text.index("LeftSemi") : text.index("FileScan parquet")]
+        assert "Exchange" not in store_side and "Bucketed: true" in text
+        assert [r["found"] for r in scored.collect()] == [True, False, True]
+        scores = stored_scores(model, store, str(tmp_path / "scores"), n_buckets=3)
+        plan = answers(scores, asked)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lookup_opens_one_bucket(spark, tmp_path):
+    store = write_store(store_rows(spark), str(tmp_path / "store"), n_buckets=3)
+    assert lookup.lookup_customer(store, "cust_002").first()["frequency"] == 5
+    # Where nothing else uses the buckets, the plan names them only if told not to leave them out.
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    found = lookup.lookup_customer(store, "cust_002")
+    assert "SelectedBucketsCount: 1 out of 3" in found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    reopened = open_store(spark, str(tmp_path / "store"))
+    assert reopened.count() == 2 and reopened.columns == store.select(*FEATURE_COLUMNS).columns
+    write_store(store_rows(spark, STORE_ROWS[:1]), str(tmp_path / "store"), n_buckets=2)
+    assert open_store(spark, str(tmp_path / "store")).count() == 1
