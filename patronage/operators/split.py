@@ -11,6 +11,9 @@ from patronage.schemas import CUSTOMER_KEY, TARGET
 SEED = 42
 TEST_SIZE = 0.25
 TRAIN, TEST = "train", "test"
+#: Hexadecimal digits of the hash by which a pass counts, and passes. After these 48 bits a
+#: prefix holds one row as a rule, up to some 10**14 rows.
+DIGITS, PASSES = 4, 3
 
 
 def split_data(
@@ -24,27 +27,24 @@ def split_data(
 
     Test rows are those with the smallest hash of key and seed, so the split
     depends on neither partitioning nor row order. Only the last test row of
-    each class has to be found, not the rank of every row: count rows by hash
-    prefix, take the prefix where the share is reached, and rank the rows of
-    that prefix alone. ``df`` is read three times and should be a stored table.
+    each class has to be found, not the rank of every row: each pass counts rows by the
+    next digits of the hash, within the prefix in which the share was reached by the pass before.
+    ``df`` is read once per pass and twice more, and should be a stored table.
     """
-    hashed = df.withColumn("_hash", hash_order(key, seed)).withColumn(
-        "_prefix", F.substring("_hash", 1, 4)
-    )
-    # At most 65,536 rows per class.
-    by_prefix = hashed.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
+    hashed = df.withColumn("_hash", hash_order(key, seed))
+    by_prefix = hashed.groupBy(label, F.substring("_hash", 1, DIGITS).alias("_prefix")).agg(F.count(F.lit(1)).alias("n"))
     class_rows = Window.partitionBy(label)
     quota = F.round(F.lit(test_size) * F.sum("n").over(class_rows)).cast("bigint")
-    upto = F.sum("n").over(class_rows.orderBy("_prefix"))
-    edge = (
-        by_prefix.select(label, "_prefix", "n", quota.alias("quota"), upto.alias("upto"))
-        .where(F.col("quota").between(F.col("upto") - F.col("n") + 1, F.col("upto")))
-        .select(label, "_prefix", (F.col("quota") - F.col("upto") + F.col("n")).alias("_rank"))
-    )
+    edge = _edge(by_prefix.withColumn("_rank", quota), label)
+    for done in range(1, PASSES):
+        prefix = F.substring("_hash", 1, done * DIGITS).alias("_prefix")
+        # One row per class: the label takes two values by rule.
+        rows = hashed.select(label, prefix, "_hash").join(F.broadcast(edge), [label, "_prefix"])
+        longer = F.substring("_hash", 1, (done + 1) * DIGITS).alias("_prefix")
+        edge = _edge(rows.groupBy(label, "_rank", longer).agg(F.count(F.lit(1)).alias("n")), label)
     ranked = F.row_number().over(class_rows.orderBy("_hash", key))
-    # One row per class: the label takes two values by rule.
     last = (
-        hashed.select(label, "_prefix", "_hash", key)
+        hashed.select(label, F.substring("_hash", 1, PASSES * DIGITS).alias("_prefix"), "_hash", key)
         .join(F.broadcast(edge), [label, "_prefix"])
         .withColumn("_row", ranked)
         .where(F.col("_row") == F.col("_rank"))
@@ -54,10 +54,19 @@ def split_data(
     return (
         hashed.join(F.broadcast(last), label, "left")
         .withColumn("side", F.when(is_test, TEST).otherwise(TRAIN))
-        .drop("_hash", "_prefix", "_last")
+        .drop("_hash", "_last")
     )
 
 
+def _edge(counts: DataFrame, label: str) -> DataFrame:
+    """(label, prefix, rank within it) of the prefix that holds the row of rank ``_rank`` (from 1) of each class.
+
+    ``counts`` has at most 16**DIGITS rows per class."""
+    upto = F.sum("n").over(Window.partitionBy(label).orderBy("_prefix"))
+    held = F.col("_rank").between(F.col("upto") - F.col("n") + 1, F.col("upto"))
+    return counts.withColumn("upto", upto).where(held).select(label, "_prefix", (F.col("_rank") - F.col("upto") + F.col("n")).alias("_rank"))
+
+
 def class_ratio(label: str = TARGET) -> Column:
     """Negatives per positive, as an aggregate; NULL without positives."""
     return F.try_divide(

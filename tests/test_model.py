@@ -20,8 +20,10 @@ def labelled(spark, n_positive, n_negative):
 
 
 @pytest.mark.parametrize(("n_positive", "n_negative"), [(300, 41), (3, 2), (1, 0), (0, 1)])
-@pytest.mark.parametrize("seed", [42, 7])
-def test_split_takes_the_smallest_hashes(spark, n_positive, n_negative, seed):
+@pytest.mark.parametrize(("seed", "digits", "passes"), [(42, 4, 3), (7, 1, 1), (7, 1, 3)])
+def test_split_takes_the_smallest_hashes(spark, monkeypatch, n_positive, n_negative, seed, digits, passes):
+    monkeypatch.setattr(split, "DIGITS", digits)
+    monkeypatch.setattr(split, "PASSES", passes)  # whatever they are, the split is the same
     df, rows = labelled(spark, n_positive, n_negative)
     expected = set()
     for label in (0, 1):
@@ -39,6 +41,18 @@ def test_split_ignores_partitioning(spark):
     assert runs[0] == runs[1]
 
 
+def test_split_ranks_no_prefix_that_grows(spark, tmp_path):
+    df, _ = labelled(spark, 30_000, 10_000)
+    df.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    prefix = F.substring(split.hash_order("customer_unique_id", 42), 1, split.DIGITS * split.PASSES)
+    assert stored.groupBy("churn_label", prefix).count().agg(F.max("count")).first()[0] == 1
+    taken = split.split_data(stored).where("side = 'test'").groupBy("churn_label").count()
+    assert sorted(map(tuple, taken.collect())) == [(0, 2500), (1, 7500)]
+    plan = split.split_data(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan
+
+
 def test_split_without_test_rows(spark):
     df, _ = labelled(spark, 10, 10)
     assert split.split_data(df, test_size=0.0).where("side = 'test'").count() == 0
