@@ -1,6 +1,7 @@
 """Data-quality rules, checked in one aggregation over all rows.
 
-``check`` reports violations as a DataFrame; ``enforce`` raises on them.
+``check`` reports violations as a DataFrame; ``enforce`` raises on them. A ``Watch`` counts
+them while the rows are being written, without a scan of their own.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +23,12 @@ class QualityError(ValueError):
 
 @dataclass(frozen=True)
 class Rule:
-    """``violations`` is an aggregate: how many rows break the rule."""
+    """``violations`` is an aggregate: how many rows break the rule. A rule of ``keys``
+    compares rows with each other, so it cannot be counted as they pass by."""
 
     name: str
     violations: Column
+    keys: bool = False
 
 
 def not_missing(df: DataFrame, *columns: str) -> list[Rule]:
@@ -43,7 +46,7 @@ def one_of(column: str, *values: int) -> Rule:
 
 def unique(column: str) -> Rule:
     """Rows beyond the first of each key; a NULL key counts as one beyond."""
-    return Rule(f"{column} is unique", F.count(F.lit(1)) - F.countDistinct(column))
+    return Rule(f"{column} is unique", F.count(F.lit(1)) - F.countDistinct(column), keys=True)
 
 
 def rfm_rules(df: DataFrame) -> list[Rule]:
@@ -105,13 +108,45 @@ def check(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return totals.select(F.inline(rows_from(lines)))
 
 
-def enforce(df: DataFrame, rules: Sequence[Rule], what: str) -> None:
-    broken = [r for r in check(df, rules).collect() if r["n_violations"]]
+def _refuse(violations: dict[str, int], what: str) -> None:
+    broken = {rule: n for rule, n in violations.items() if n}
     if broken:
-        listed = "; ".join(f"{r['rule']}: {r['n_violations']} rows" for r in broken)
+        listed = "; ".join(f"{rule}: {n} rows" for rule, n in broken.items())
         raise QualityError(f"{what} breaks {len(broken)} rules: {listed}")
 
 
+def _violations(df: DataFrame, rules: Sequence[Rule]) -> dict[str, int]:
+    return {r["rule"]: r["n_violations"] for r in check(df, rules).collect()} if rules else {}
+
+
+def enforce(df: DataFrame, rules: Sequence[Rule], what: str) -> None:
+    _refuse(_violations(df, rules), what)
+
+
+class Watch:
+    """Rules on rows that are about to be written.
+
+    ``on`` gives the rows to write; their breaches are counted in that same job. Afterwards
+    ``enforce`` takes the stored rows and raises on a breach. It reads them for rules of keys only, and
+    of those only the key. A stage that has to be run again counts its rows again, so
+    counts may be too high after the loss of an executor, but none becomes or misses a breach by that.
+    """
+
+    def __init__(self, rules: Sequence[Rule], what: str):
+        self.passing = [r for r in rules if not r.keys]
+        self.keys = [r for r in rules if r.keys]
+        self.what = what
+        self.observation = Observation()
+
+    def on(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.observation, *(r.violations.cast("bigint").alias(r.name) for r in self.passing))
+
+    def enforce(self, stored: DataFrame) -> None:
+        # Rows that the optimizer knows to be none are not counted.
+        counted = self.observation.get or dict.fromkeys((r.name for r in self.passing), 0)
+        _refuse({**_violations(stored, self.keys), **counted}, self.what)
+
+
 def check_types(df: DataFrame, schema: T.StructType, what: str) -> None:
     """Strict types: the columns of ``schema``, each with exactly its type."""
     actual = {f.name: f.dataType for f in df.schema.fields}
@@ -129,6 +164,17 @@ def validate_rfm(df: DataFrame) -> None:
     enforce(df, rfm_rules(df), "RFM table")
 
 
+def watch_rfm(df: DataFrame) -> Watch:
+    """The rules of ``validate_rfm``, for rows about to be written."""
+    return Watch(rfm_rules(df), "RFM table")
+
+
+def watch_features(df: DataFrame) -> Watch:
+    """The rules of ``validate_schema`` for all rows, which are about to be written. Wrong types raise at once."""
+    check_types(df, FEATURE_SCHEMA, "feature table")
+    return Watch(engineered_rules(df), "feature table")
+
+
 def validate_raw(df: DataFrame) -> None:
     check_types(df, RFM_SCHEMA, "RFM table")
     enforce(df, raw_rules(df), "RFM table")

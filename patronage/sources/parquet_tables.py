@@ -82,12 +82,15 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 CHECKED = f"_unique-{CUSTOMER_KEY}"
 
 
-def write_store(df: DataFrame, path: str, n_buckets: int | None = None) -> DataFrame:
+def write_store(
+    df: DataFrame, path: str, n_buckets: int | None = None, check: Callable[[DataFrame], None] | None = None
+) -> DataFrame:
     """Write the feature store so that requests meet it where it lies.
 
     Files are hash buckets of the customer: joins by customer move the other side only, and a
     look-up opens one file, in which Bloom filters skip unknown customers. Customers are
-    checked to be unique once, here, and that is recorded beside the rows.
+    checked to be unique once, here, and that is recorded beside the rows. ``check`` may refuse
+    the new rows like that of ``write_table``.
     """
     spark = df.sparkSession
 
@@ -97,7 +100,7 @@ def write_store(df: DataFrame, path: str, n_buckets: int | None = None) -> DataF
         files, make = file_system(spark, target)
         files.create(make(f"{target}/{CHECKED}")).close()
 
-    publish(df, path, write=write)
+    publish(df, path, check, write)
     return read_buckets(spark, path, CUSTOMER_KEY)
 
 

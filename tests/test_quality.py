@@ -6,6 +6,7 @@ import pytest
 
 from patronage.functions.features import engineer
 from patronage.operators import quality as Q
+from patronage.sources.parquet_tables import write_table
 from rows import RFM_ROWS, rfm_rows, store_rows
 
 GOOD = [("c1", 10, 3, 150.0, 90, 45.0, 0), ("c2", 0, 1, 0.0, 0, 0.0, 1)]
@@ -50,6 +51,33 @@ def test_missing_key_counts_as_duplicate(spark):
     assert broken(df, Q.rfm_rules(df)) == {"customer_unique_id is unique": 1}
 
 
+def test_watched_rows_are_refused_like_checked_ones(spark, tmp_path):
+    bad = [("c1", -1, 0, -1.0, 0, 0.0, 3), ("c1", 1, 1, 1.0, 0, 0.0, 0), (None, 1, 1, math.nan, 0, 0.0, None)]
+    df = rfm_rows(spark, [*GOOD, *bad])
+    with pytest.raises(Q.QualityError) as checked:
+        Q.validate_rfm(df)
+    watch = Q.watch_rfm(df)
+    with pytest.raises(Q.QualityError) as watched:
+        write_table(watch.on(df), str(tmp_path / "rows"), watch.enforce)
+    assert str(watched.value) == str(checked.value)
+    assert not (tmp_path / "rows").exists()
+    for k, rows in enumerate((GOOD, [])):
+        watch = Q.watch_rfm(df)
+        assert write_table(watch.on(rfm_rows(spark, rows)), str(tmp_path / f"good{k}"), watch.enforce).count() == len(rows)
+
+
+def test_stored_rows_are_read_for_their_key_only(spark, tmp_path, monkeypatch):
+    read, df = [], rfm_rows(spark, GOOD)
+    counted = Q._violations
+    monkeypatch.setattr(Q, "_violations", lambda stored, rules: read.append([r.name for r in rules]) or counted(stored, rules))
+    watch = Q.watch_rfm(df)
+    write_table(watch.on(df), str(tmp_path / "rows"), watch.enforce)
+    assert read == [["customer_unique_id is unique"]]
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    plan = Q.check(stored, watch.keys)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<customer_unique_id:string>" in plan
+
+
 def test_all_breaches_are_listed(spark):
     df = rfm_rows(spark, [("c1", -1, 0, -1.0, 0, 0.0, 3)])
     with pytest.raises(Q.QualityError, match="breaks 4 rules"):
