@@ -43,7 +43,7 @@ def features(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def train(spark: SparkSession, args: argparse.Namespace) -> None:
-    result = training.train(spark, args.features, args.registry, args.rounds)
+    result = training.train(spark, args.features, args.registry, args.rounds, n_partitions=args.partitions)
     print(f"version {result.version}, run {result.run_id}: {result.metrics}")
 
 
@@ -106,9 +106,9 @@ def parser() -> argparse.ArgumentParser:
         "--churn-days", type=int, default=int(os.environ.get("CHURN_DAYS", CHURN_DAYS))
     )
     step(features, "rfm", "out").add_argument("--sample-size", type=int)
-    step(train, "features", "registry").add_argument(
-        "--rounds", type=int, default=training.N_ESTIMATORS
-    )
+    fitted = step(train, "features", "registry")
+    fitted.add_argument("--rounds", type=int, default=training.N_ESTIMATORS)
+    fitted.add_argument("--partitions", type=int, default=training.PARTITIONS)
     step(score, "features", "registry", "requests", "out")
     step(score_one, "features", "registry", "customer", "out")
     step(score_stream, "features", "registry", "requests", "out", "state", "events")

@@ -27,7 +27,9 @@ COLUMN_SHARE = "0.8"
 
 MODEL_TYPE = "gbt"
 # Rows per training partition when the number of partitions is derived.
-ROWS_PER_PARTITION = 1_000_000
+#: Tasks that the training rows are laid out for, whatever their number. Row sampling follows the
+#: layout, so this is a parameter of the model; a large cluster sets it to some multiple of its cores.
+PARTITIONS = 8
 
 
 class TrainResult(NamedTuple):
@@ -67,12 +69,11 @@ def fixed_layout(df: DataFrame, n_partitions: int, key: str = CUSTOMER_KEY) -> D
 def fit(
     train_rows: DataFrame,
     ratio: float,
-    n_rows: int,
     n_estimators: int = N_ESTIMATORS,
     seed: int = SEED,
+    n_partitions: int = PARTITIONS,
 ) -> PipelineModel:
     checkpoint_training(train_rows.sparkSession)
-    n_partitions = max(1, -(-n_rows // ROWS_PER_PARTITION))
     rows = fixed_layout(add_weight(train_rows, ratio), n_partitions)
     return build_model(n_estimators, seed).fit(rows)
 
@@ -100,15 +101,16 @@ def train(
     registry: str,
     n_estimators: int = N_ESTIMATORS,
     seed: int = SEED,
+    n_partitions: int = PARTITIONS,
 ) -> TrainResult:
     """Split, weigh, fit, evaluate; store the model version and the run."""
     features = read_table(spark, features_path)
     sides = materialize(split_data(features, seed=seed), "split")
     train_rows = sides.where(F.col("side") == TRAIN)
-    counts = train_rows.agg(class_ratio().alias("ratio"), F.count(F.lit(1)).alias("n")).first()
-    if counts["ratio"] is None or counts["ratio"] == 0:
+    ratio = train_rows.agg(class_ratio()).first()[0]
+    if ratio is None or ratio == 0:
         raise ValueError("training needs rows of both classes")
-    model = fit(train_rows, counts["ratio"], counts["n"], n_estimators, seed)
+    model = fit(train_rows, ratio, n_estimators, seed, n_partitions)
     scored = materialize(predict(model, sides.where(F.col("side") == TEST)), "scored")
     metrics = evaluate(scored).first().asDict()
     params = {
@@ -116,9 +118,9 @@ def train(
         "n_estimators": str(n_estimators),
         "max_depth": str(MAX_DEPTH),
         "learning_rate": str(LEARNING_RATE),
-        "scale_pos_weight": str(round(counts["ratio"], 3)),
+        "scale_pos_weight": str(round(ratio, 3)),
         "features_path": features_path,
     }
     run_id = log_run(spark, registry, params, metrics)
-    version = register_model(spark, registry, model, run_id)
+    version = register_model(spark, registry, model, run_id, n_partitions)
     return TrainResult(model, version, run_id, params, metrics)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -121,7 +122,7 @@ def test_training_ignores_the_layout_of_its_input(spark):
     df = training_rows(spark, 200)
     scores = []
     for n in (1, 5):
-        model = training.fit(df.repartition(n), 0.7, 200, n_estimators=3)
+        model = training.fit(df.repartition(n), 0.7, n_estimators=3)
         scored = training.predict(model, df).orderBy("customer_unique_id")
         scores.append([r["churn_probability"] for r in scored.collect()])
     assert scores[0] == scores[1]
@@ -180,3 +181,22 @@ def test_training_needs_both_classes(spark, tmp_path):
     write_table(training_rows(spark, 40).where("churn_label = 1"), path)
     with pytest.raises(ValueError, match="both classes"):
         training.train(spark, path, str(tmp_path / "registry"), n_estimators=2)
+
+
+def test_trainings_at_once_get_versions_of_their_own(spark, trained, tmp_path):
+    _, _, result = trained
+    where = str(tmp_path / "registry")
+    registry.claim_version(spark, where)  # a job that claimed version 1 and failed
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda run: registry.register_model(spark, where, result.model, run, 8), "abcd"))
+    assert sorted(versions) == [2, 3, 4, 5]
+    rows = registry.versions(spark, where).collect()
+    assert {(r["version"], r["n_partitions"]) for r in rows} == {(v, 8) for v in versions}
+    assert len({r["path"] for r in rows}) == 4
+    assert registry.load_latest(spark, where)[1] == 5
+
+
+def test_layout_is_a_parameter_of_the_model(spark):
+    """Trees depend on the number of partitions asked for, not on the number of rows."""
+    df = training_rows(spark, 100)
+    assert {training.fixed_layout(rows, training.PARTITIONS).rdd.getNumPartitions() for rows in (df, df.limit(3))} == {8}

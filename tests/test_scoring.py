@@ -16,7 +16,7 @@ from rows import STORE_ROWS, store_rows, training_rows
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return training.fit(training_rows(spark, 120), 0.8, 120, n_estimators=3)
+    return training.fit(training_rows(spark, 120), 0.8, n_estimators=3)
 
 
 @pytest.fixture(scope="module")
