@@ -7,7 +7,7 @@ same results in other ways.
 
 from __future__ import annotations
 
-from patronage.schemas import FEATURE_COLUMNS
+from patronage.schemas import FEATURE_COLUMNS, MODEL_COLUMNS
 from patronage.workload.queries import LOOKED_UP, SWEEP_DAYS
 
 LAST_DAY = "(SELECT max(CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderstatus = 'F')"
@@ -387,4 +387,38 @@ SELECT CAST(c_custkey AS VARCHAR) AS customer_id, CAST(c_custkey AS VARCHAR) AS
   lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS customer_zip_code_prefix,
   'town, ' || c_custkey AS customer_city, CASE WHEN c_custkey % 2 = 0 THEN '' END AS customer_state
 FROM customer""",
+    "load_all_report": """
+SELECT 'customers' AS table_name, count(*) AS n_rows FROM customer
+UNION ALL SELECT 'orders', count(*) FROM orders
+UNION ALL SELECT 'order_items', count(*) FROM lineitem
+UNION ALL SELECT 'order_payments', count(*) FROM lineitem
+UNION ALL SELECT 'order_reviews', count(*) FROM orders
+UNION ALL SELECT 'products', count(*) FROM part
+UNION ALL SELECT 'sellers', count(*) FROM supplier
+UNION ALL SELECT 'geolocation', count(*) FROM nation
+UNION ALL SELECT 'product_category', count(DISTINCT p_type) FROM part""",
+    "loaded_reviews": """
+SELECT 'r' || o_orderkey AS review_id, CAST(o_orderkey AS VARCHAR) AS order_id,
+  CAST(o_custkey % 5 + 1 AS SMALLINT) AS review_score, CAST(NULL AS VARCHAR) AS review_comment_title,
+  CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus || ' said "' || o_orderpriority || '",' || chr(10) || chr(10) || 'and ' || o_custkey END
+    AS review_comment_message,
+  CAST(o_orderdate AS TIMESTAMP) AS review_creation_date
+FROM orders""",
+    "loaded_places": """
+SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS geolocation_zip_code_prefix,
+  CAST(-n_nationkey - 0.123457 AS DECIMAL(10,6)) AS geolocation_lat,
+  CAST(1.5 AS DECIMAL(10,6)) AS geolocation_lng, n_name AS geolocation_city, 'SP' AS geolocation_state
+FROM nation""",
+    "score_customer_judged": (
+        f"{STORE} SELECT CAST(customer_unique_id AS VARCHAR) AS customer_id, 'predict' AS event, '1' AS model_version, "
+        f"TRUE AS in_bounds, TRUE AS consistent, CAST(NULL AS VARCHAR) AS error FROM engineered WHERE customer_unique_id = {LOOKED_UP} "
+        "UNION ALL SELECT '-1', NULL, NULL, NULL, NULL, 'absent' "
+        "WHERE NOT EXISTS (SELECT 1 FROM engineered WHERE customer_unique_id = -1)"
+    ),
+    "model_matrix": f"{STORE} "
+    + " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS pos, '{c}' AS column_name, count(*) AS n_rows, "
+        f"round(CAST(min({c}) AS DOUBLE), 6) AS lowest, round(CAST(max({c}) AS DOUBLE), 6) AS highest FROM engineered"
+        for i, c in enumerate(MODEL_COLUMNS)
+    ),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from patronage.plans import registry, scoring, sql, training
 from patronage.plans.pipeline import build_features, build_rfm_dataset
 from patronage.schemas import CUSTOMER_KEY, RAW_TABLES
 from patronage.session import new_path
-from patronage.sources.csv_tables import load_table
+from patronage.sources.csv_tables import load_all, load_table
 from patronage.sources.parquet_tables import open_store, read_table, row_counts
 from patronage.sources.star_tables import FULFILLED, keyed_tables, star_tables
 from patronage.streaming.scoring_stream import request_stream, score_stream, stored_scores
@@ -381,15 +382,21 @@ def score_customer(spark, folder):
     )
 
 
+def _text_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests with the key type of the stored features, so that their buckets serve."""
+    return _requests(spark, folder).withColumn("customer_id", F.col("customer_id").cast("string"))
+
+
 def score_batch(spark, folder):
     model, _ = _model(spark, folder)
-    return scoring.score_batch(model, _store(spark, folder), _requests(spark, folder))
+    scored = scoring.score_batch(model, _text_store(spark, folder), _text_requests(spark, folder))
+    return _numbered(scored, "customer_id")
 
 
 def score_summary(spark, folder):
     model, version = _model(spark, folder)
     scored = scoring.score_batch(
-        model, _store(spark, folder), _requests(spark, folder), ordered=False
+        model, _text_store(spark, folder), _text_requests(spark, folder), ordered=False
     )
     return scoring.score_summary(scored, version)
 
@@ -424,13 +431,13 @@ def score_stream_available(spark, folder):
     """The requests as files, scored by a stream that ends when all are read."""
     model, _ = _model(spark, folder)
     inbox, outbox, state, at = (new_path(spark, n) for n in ("inbox", "outbox", "stream-state", "scores"))
-    requests = _requests(spark, folder)
+    requests = _text_requests(spark, folder)
     requests.write.parquet(inbox)
     arriving = request_stream(spark, inbox, requests.schema, files_per_trigger=1)
-    scores = stored_scores(model, _store(spark, folder), at)
+    scores = stored_scores(model, _text_store(spark, folder), at)
     score_stream(scores, arriving, outbox, state).awaitTermination()
     columns = ["pos", "customer_id", *scoring.SCORES, "found"]
-    return spark.read.parquet(outbox).select(*columns)
+    return _numbered(spark.read.parquet(outbox).select(*columns), "customer_id")
 
 
 def _judged(scored: DataFrame) -> DataFrame:
@@ -455,6 +462,38 @@ def score_stream_judged(spark, folder):
     return _judged(score_stream_available(spark, folder))
 
 
+def score_customer_judged(spark, folder):
+    """One customer scored with its event, and an id that the store does not have."""
+    model, version = _model(spark, folder)
+    store = _text_store(spark, folder)
+    asked = spark.createDataFrame([(LOOKED_UP,)], "customer_id string")
+    one = scoring.score_customer(model, store, LOOKED_UP, version)
+    event = F.from_json("event_json", "event string, customer_id string, churn_probability double, churn_prediction int, model_version string")
+    said = scoring.score_events(one).select(event.alias("e")).select("e.*")
+    chance = F.col("churn_probability")
+    known = said.join(asked, "customer_id").select(
+        "customer_id", "event", "model_version", chance.between(0, 1).alias("in_bounds"),
+        (F.col("churn_prediction") == (chance > 0.5).cast("int")).alias("consistent"), F.lit(None).cast("string").alias("error"),
+    )
+    try:
+        unknown = scoring.score_customer(model, store, "-1", version).select(*known.columns)
+    except LookupError as error:
+        row = [("-1", "absent" if "-1" in str(error) else str(error))]
+        unknown = spark.createDataFrame(row, "customer_id string, error string")
+    return known.unionByName(unknown, allowMissingColumns=True)
+
+
+def model_matrix(spark, folder):
+    """The columns that the model is given, in their order, with rows and bounds of the assembled matrix."""
+    model, _ = _model(spark, folder)
+    assembler = model.stages[0]
+    cells = assembler.transform(_store(spark, folder)).select(F.posexplode(vector_to_array(assembler.getOutputCol())).alias("pos", "value"))
+    names = F.array(*(F.lit(c) for c in assembler.getInputCols()))
+    bounds = [F.round(f("value"), 6).alias(name) for f, name in ((F.min, "lowest"), (F.max, "highest"))]
+    found = cells.groupBy("pos").agg(F.count(F.lit(1)).alias("n_rows"), *bounds)
+    return found.select("pos", names[F.col("pos")].alias("column_name"), "n_rows", "lowest", "highest")
+
+
 def score_customers_judged(spark, folder):
     """Every customer of the store scored, and asked for as one request each."""
     model, _ = _model(spark, folder)
@@ -534,6 +573,62 @@ def loaded_customers(spark, folder):
     return _loaded(spark, folder)["customers"]
 
 
+def _all_csv_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All nine raw tables as text. Messages of reviews span lines and hold quotes."""
+    tables = _csv_tables(spark, folder)
+    orders, lines, part, nation = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("orders", "lineitem", "part", "nation"))
+    text = lambda c: F.col(c).cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    message = F.concat(F.col("o_orderstatus"), F.lit(' said "'), F.col("o_orderpriority"), F.lit('",\n\nand '), text("o_custkey"))
+    made = {
+        "order_payments": lines.select(
+            text("l_orderkey"), text("l_linenumber"), F.col("l_returnflag"), F.lit("1"), F.col("l_extendedprice").cast("decimal(10,2)").cast("string")
+        ),
+        "order_reviews": orders.select(
+            F.concat(F.lit("r"), text("o_orderkey")), text("o_orderkey"), (F.col("o_custkey") % 5 + 1).cast("string"),
+            F.lit(None).cast("string"), F.when(F.col("o_orderkey") % 3 > 0, message), day, day,
+        ),
+        "products": part.select(
+            text("p_partkey"), F.col("p_type"), F.length("p_name").cast("string"), *(F.lit(None).cast("string") for _ in range(4)), text("p_size"), F.lit("7")
+        ),
+        "geolocation": nation.select(
+            F.lpad(text("n_nationkey"), 5, "0"), F.concat(F.lit("-"), text("n_nationkey"), F.lit(".12345678")), F.lit("1.5"), F.col("n_name"), F.lit("SP")
+        ),
+        "product_category": part.select("p_type").distinct().select("p_type", F.lower("p_type")),
+    }
+    return {name: {**tables, **made}[name] for name in RAW_TABLES}
+
+
+def _all_loaded(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All raw tables in one load, from files whose headers name no column rightly."""
+
+    def build() -> str:
+        raw, target = new_path(spark, "all-raw"), new_path(spark, "all-tables")
+        for name, df in _all_csv_tables(spark, folder).items():
+            named = df.toDF(*(f"w{len(df.columns) - i}" for i in range(len(df.columns))))
+            named.write.csv(f"{raw}/{name}.csv", header=True, quote='"', escape='"', emptyValue='""', nullValue="")
+        load_all(spark, raw, target)
+        return target
+
+    target = _once(spark, "all-loaded", folder, build)
+    return {name: read_table(spark, f"{target}/{name}", RAW_TABLES[name]) for name in RAW_TABLES}
+
+
+def load_all_report(spark, folder):
+    """Rows of all nine tables after one checked load."""
+    return row_counts(_all_loaded(spark, folder))
+
+
+def loaded_reviews(spark, folder):
+    """Reviews whose messages span lines, from split files with wrong headers."""
+    return _all_loaded(spark, folder)["order_reviews"].drop("review_answer_timestamp")
+
+
+def loaded_places(spark, folder):
+    """Places: columns bound by position, coordinates rescaled."""
+    return _all_loaded(spark, folder)["geolocation"]
+
+
 QUERIES: dict[str, Query] = {
     "rfm_churn": rfm_churn,
     "rfm_sql_param": rfm_sql_param,
@@ -597,4 +692,9 @@ QUERIES: dict[str, Query] = {
     "load_report": load_report,
     "loaded_items": loaded_items,
     "loaded_customers": loaded_customers,
+    "load_all_report": load_all_report,
+    "loaded_reviews": loaded_reviews,
+    "loaded_places": loaded_places,
+    "score_customer_judged": score_customer_judged,
+    "model_matrix": model_matrix,
 }
