@@ -9,9 +9,11 @@ texts' shingles in 2**SKETCH_BITS cells (a fixed size; it only orders and estima
 
 Large groups are not paired out. First every class is verified against one of the
 most central classes that its prefix shingles lead to; only shingles that then still
-connect different components are joined pairwise. So nothing is lost, and a group of
-n similar texts costs about n verifications. Before sets travel to be compared, parity
-bits, a 32nd of their size, rule out most pairs that differ too much.
+connect different components matter further. There the classes outside the largest component
+meet the others in cells of bounded size (``open_buckets``), which bring their prefixes
+and parity bits, a 32nd of a set's size: these rule out pairs that differ too much or
+share too few prefix shingles before any row is made of a pair. So nothing is lost, and a group of
+n similar texts costs about n verifications.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 repeated rows and equal sets link; a null key gives a null component. Shingles and
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from patronage.llm.common import keyed_texts
 from patronage.llm.components import components
 from patronage.llm.id_filter import id_filter, passing
+from patronage.llm.open_buckets import groups_of, open_rows, sorted_groups, together
+from patronage.llm.parities import Parities, parity_bits
 from patronage.llm.shingles import batch_sets, set_digest
 from patronage.session import materialize
 
@@ -156,23 +160,28 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"rep {kind}, tokens binary")
 
 
-def _parities(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Size and parity bits of the wanted representatives' sets: a bit for each cell that
-    an odd number of shingles falls into, with two cells or more per shingle."""
+def _summaries(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """Of the wanted representatives' sets: size, parity bits (a bit for each cell that an odd
+    number of shingles falls into, with two cells or more per shingle), prefix, and level."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        load = float(counts.mean())
         for batch in batches:
-            sizes, bits = [], []
+            rows = []
             for blob in batch.column("tokens"):
                 tokens = np.frombuffer(blob.as_buffer(), np.uint64)
-                cells = 1 << max(LEAST_CELLS, (2 * len(tokens) - 1).bit_length())
-                odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-                sizes.append(len(tokens))
-                bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["rep", "size", "bits"])
+                chosen, level, _ = _prefix(tokens, counts[tokens >> np.uint64(64 - SKETCH_BITS)], load) if len(tokens) else (tokens, 1, 0)
+                rows.append((len(tokens), parity_bits(tokens), chosen.tobytes(), level))
+            columns = zip(*rows, strict=True) if rows else ([],) * 4
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), *(pa.array(list(x), kind) for x, kind in zip(columns, kinds, strict=True))], ["rep", "size", "bits", "prefix", "level"]
+            )
 
     sets = _sets(docs, wanted)
-    return sets.mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, size long, bits binary")
+    return sets.mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, size long, bits binary, prefix binary, level long")
 
 
 def least_difference(x: bytes, y: bytes) -> int:
@@ -190,7 +199,7 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 def _possible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
     """The pairs that their parity bits don't rule out."""
-    sides = [parities.toDF(c, f"size_{c}", f"bits_{c}") for c in "ab"]
+    sides = [parities.select("rep", "size", "bits").toDF(c, f"size_{c}", f"bits_{c}") for c in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +214,45 @@ def _possible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}").distinct()
 
 
+def _share_enough(x: np.ndarray, level_x: int, y: np.ndarray, level_y: int, token: int) -> bool:
+    """Whether two prefixes, cut to the smaller level, share as many shingles, and ``token`` is the least of them."""
+    level = min(level_x, level_y)
+    common = np.intersect1d(x[: len(x) - level_x + level], y[: len(y) - level_y + level]).view(np.int64)
+    return len(common) >= level and int(common.min()) == token
+
+
+def _cross_pairs(groups: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components that meet in a group and may be similar."""
+
+    def met(rows: pa.Table) -> Iterator[tuple]:
+        rows = rows.combine_chunks()
+        outside, size, level = (rows.column(c).to_numpy() for c in ("outside", "size", "level"))
+        nodes, component = (rows.column(c).to_pylist() for c in ("node", "component"))
+        number = {name: k for k, name in enumerate(dict.fromkeys(component))}
+        component = np.array([number[name] for name in component])
+        parities = Parities(size, rows.column("bits").combine_chunks())
+        prefix = [np.frombuffer(value, np.uint64) for value in rows.column("prefix").to_pylist()]
+        token, right = int(rows.column("key")[0].as_py()), np.flatnonzero(~outside)
+        for i in np.flatnonzero(outside).tolist():
+            fits = 5 * np.minimum(size[right], size[i]) >= 4 * np.maximum(size[right], size[i])
+            near = right[(component[right] != component[i]) & fits]
+            for k in near[parities.may_link(i, near)].tolist():
+                if _share_enough(prefix[i], int(level[i]), prefix[k], int(level[k]), token):
+                    yield min(nodes[i], nodes[k]), max(nodes[i], nodes[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in sorted_groups(batches):
+            found = sorted({pair for rows in groups for pair in met(rows)})
+            if found:
+                columns = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(column), id_type) for column in columns], ["a", "b"])
+
+    kind = groups.schema["node"].dataType.simpleString()
+    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    rows = together(groups.join(summaries.withColumnRenamed("rep", "node"), "node"))
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the stored pairs (a, b) of representatives whose sets are similar.
 
@@ -245,7 +293,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = materialize(classes, "classes")
 
     # Both sides of the join need the same columns and rows, so the shuffle is done once.
-    rows = _prefixes(docs, _sketch(described)).filter("token IS NOT NULL AND class IS NOT NULL AND n IS NOT NULL")
+    sketch = _sketch(described)
+    rows = _prefixes(docs, sketch).filter("token IS NOT NULL AND class IS NOT NULL AND n IS NOT NULL")
     rows = rows.repartition("token")
     rest = ("n", "at", "level", "centre")
     shared = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), *(F.min(c).alias(c) for c in rest))
@@ -265,30 +314,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .select("a", "best.b")
     )
     stars = materialize(stars, "stars")
-    parities = materialize(_parities(docs, matched.select("rep").distinct()), "parities")
-    links = materialize(_verified(materialize(_possible(stars, parities), "possible"), docs), "links")
+    summaries = materialize(_summaries(docs, matched.select("rep").distinct(), sketch), "summaries")
+    links = materialize(_verified(materialize(_possible(stars, summaries), "possible"), docs), "links")
     first = components(links)
 
-    labelled = matched.join(first.withColumnRenamed("id", "rep"), "rep", "left")
-    labelled = materialize(labelled.withColumn("component", F.coalesce("component", "rep")), "labelled")
-    open_ = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = labelled.join(open_.filter("low <> high").select("token"), "token").drop("centre")
-    left = open_.withColumnsRenamed({c: f"{c}_a" for c in ("rep", "n", "at", "level", "component")})
-    right = open_.withColumnsRenamed({c: f"{c}_b" for c in ("rep", "n", "at", "level", "component")})
-    least = F.least("level_a", "level_b")
+    left = matched.select(F.col("token").alias("key"), F.col("rep").alias("node"))
+    groups = groups_of(materialize(open_rows(left, first), "open"))
     pairs = (
-        left.join(right, "token")
-        .filter("rep_a < rep_b AND component_a <> component_b")
-        .filter(_sizes_fit("n_a", "n_b"))
-        .filter((F.col("at_a") <= least) & (F.col("at_b") <= least))
-        .groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(least).alias("least"))
-        .filter("shared >= least")
-        .select("a", "b")
+        _cross_pairs(groups, summaries)
         .join(stars, ["a", "b"], "left_anti")
         .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
-    more = materialize(_verified(materialize(_possible(pairs, parities), "pairs"), docs), "links")
+    more = materialize(_verified(materialize(pairs, "pairs"), docs), "links")
     if more.head(1):
         first = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 

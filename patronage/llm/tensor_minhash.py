@@ -12,7 +12,7 @@ shares with other nodes. Buckets (table, key) are not paired out:
 1. Every node is compared with one leader, that of its buckets' leaders (least digest) which
    it shares most buckets with. Links that hold are joined to components.
 2. Only buckets that then still hold several components matter. There the nodes outside the
-   bucket's largest component meet the others, in cells of about ``CELL`` nodes a side. A
+   bucket's largest component meet the others, in cells of about ``open_buckets.CELL`` nodes a side. A
    pair counts in the first table that it shares. First each node proposes its likeliest
    partner (``PROPOSALS`` times), and links that hold join components; then all pairs do.
 
@@ -36,12 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import keyed_texts, mix64, slices
 from patronage.llm.components import components
 from patronage.llm.id_filter import id_filter, passing
+from patronage.llm.open_buckets import groups_of, open_rows, sorted_groups, together
+from patronage.llm.parities import Parities, parity_bits
 from patronage.llm.shingles import set_digest, word_hashes
 from patronage.session import materialize
 
@@ -50,11 +52,7 @@ SIDE = 10
 BLOCK = 2
 HASHES = 2 * SIDE * BLOCK
 LEAST_EQUAL = 19
-#: Nodes of a bucket that meet in one group, on each side.
-CELL = 256
 PROPOSALS = 1
-#: Least logarithm of the parity bits of a set.
-LEAST_CELLS = 9
 #: The low bits of a key tell its table.
 _TABLE = 127
 #: The low bits of a block's hash tell its side and place.
@@ -112,43 +110,6 @@ def table_keys(hashes: np.ndarray) -> np.ndarray:
     return ((keys & ~np.uint64(_TABLE)) | np.arange(SIDE * SIDE, dtype=np.uint64)).view(np.int64)
 
 
-def parity_bits(tokens: np.ndarray) -> bytes:
-    """A bit for each cell that an odd number of shingles falls into, two cells or more per shingle."""
-    cells = 1 << max(LEAST_CELLS, (2 * len(tokens) - 1).bit_length())
-    odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
-
-
-def differences(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Least number of shingles in which the set with parity bits ``x`` differs from those of ``rows``.
-
-    A cell whose parity differs holds a shingle of one set only. Longer bits are folded."""
-    while len(x) > rows.shape[1]:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while rows.shape[1] > len(x):
-        half = rows.shape[1] // 2
-        rows = rows[:, :half] ^ rows[:, half:]
-    return np.bitwise_count(rows ^ x).sum(axis=1, dtype=np.int64)
-
-
-class Parities:
-    """Sizes and parity bits of some sets."""
-
-    def __init__(self, n: np.ndarray, bits: pa.Array):
-        self.n = n
-        self.rows = [np.frombuffer(value, np.uint8) for value in bits.to_pylist()]
-        self.length = np.array([len(row) for row in self.rows])
-
-    def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Whether the bits allow a similarity of 0.8: such sets share 4 / 9 of their sizes' sum or more."""
-        out = np.zeros(len(others), bool)
-        for length in np.unique(self.length[others]):
-            at = np.flatnonzero(self.length[others] == length)
-            both = self.n[i] + self.n[others[at]]
-            out[at] = differences(self.rows[i], np.stack([self.rows[k] for k in others[at]])) <= both - 2 * -(-4 * both // 9)
-        return out
-
-
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, n, node (the set's digest), sketch (minhashes) and parity bits; these are null for an empty set."""
 
@@ -268,31 +229,6 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, node) of buckets that hold several components, with their component.
-
-    ``largest`` is the bucket's largest component. With u of its s nodes outside of that,
-    ``n_x`` = u / CELL and ``n_y`` = s / CELL, rounded up."""
-    labelled = rows.join(labels.withColumnRenamed("id", "node"), "node", "left")
-    labelled = labelled.select("key", "node", F.coalesce("component", "node").alias("component"))
-    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size")).filter("size > most.n")
-    cells = [F.ceil(n / CELL).cast("long").alias(name) for n, name in ((F.col("size") - F.col("most.n"), "n_x"), (F.col("size"), "n_y"))]
-    return labelled.join(buckets.select("key", F.col("most.component").alias("largest"), *cells), "key")
-
-
-def groups_of(rows: DataFrame) -> DataFrame:
-    """Groups (key, x, y) in which nodes of different components of a bucket meet.
-
-    The nodes outside the largest component lie in cells x, all nodes in cells y. A group
-    takes the nodes of its x (``outside``) and of its y, so every node outside meets every other."""
-    cell = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    across = F.transform(F.sequence(F.lit(0), F.col("n_y") - 1), lambda y: F.struct(cell("n_x").alias("x"), y.alias("y"), F.lit(True).alias("outside")))
-    down = F.transform(F.sequence(F.lit(0), F.col("n_x") - 1), lambda x: F.struct(x.alias("x"), cell("n_y").alias("y"), F.lit(False).alias("outside")))
-    group = F.when(F.col("component") != F.col("largest"), F.concat(across, down)).otherwise(down)
-    return rows.select("key", "node", "component", F.explode(group).alias("at")).select("key", "at.*", "node", "component")
-
-
 def _proposed(rows: pa.Table, likeliest: bool) -> Iterator[tuple[int, int, int]]:
     """(node, partner, equal minhashes) of nodes of a group that differ in component and are
     not ruled out and meet in this table first: for each node outside its likeliest partner, or all."""
@@ -322,25 +258,13 @@ def cross_pairs(groups: DataFrame, nodes: DataFrame, likeliest: bool) -> DataFra
     each node's likeliest partner, or all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([kept, rows]) if kept is not None else rows
-            ids = np.stack([rows.column(c).to_numpy() for c in ("key", "x", "y")])
-            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
-            yield from pairs(rows, cuts)
-            kept = rows.slice(cuts[-1])  # the last group may go on in the next batch
-        if kept is not None:
-            yield from pairs(kept, [0, kept.num_rows])
-
-    def pairs(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        found = [pair for start, end in zip(cuts, cuts[1:], strict=False) for pair in _proposed(rows.slice(start, end - start), likeliest)]
-        if found:
-            columns = np.array(found, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["a", "b", "equal"])
-
-    rows = groups.join(nodes.select("node", "n", "sketch", "bits"), "node").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    met = rows.mapInArrow(run, "a long, b long, equal long")
+        for groups in sorted_groups(batches):
+            found = [pair for rows in groups for pair in _proposed(rows, likeliest)]
+            if found:
+                columns = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["a", "b", "equal"])
+
+    met = together(groups.join(nodes.select("node", "n", "sketch", "bits"), "node")).mapInArrow(run, "a long, b long, equal long")
     if likeliest:
         met = met.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("best")).select("a", "best.b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

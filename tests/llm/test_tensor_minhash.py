@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from patronage.llm import tensor_minhash
+from patronage.llm import open_buckets, parities, tensor_minhash
 from patronage.llm.oracles import ORACLES
 from patronage.llm.queries import QUERIES
 
@@ -54,7 +54,7 @@ def copies(seed, groups=14, most=25):
 
 @pytest.mark.parametrize("cell", [256, 3])
 def test_equals_all_pairs(spark, monkeypatch, cell):
-    monkeypatch.setattr(tensor_minhash, "CELL", cell)  # 3: buckets fall into many groups
+    monkeypatch.setattr(open_buckets, "CELL", cell)  # 3: buckets fall into many groups
     rows = copies(4) + [(9001, None), (9002, ""), (9003, " \n "), (9004, "A b"), (9005, "a  B"), (9006, "one"), (9007, "ONE"), (9008, "a a a")]
     found = tensor_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {tuple(r) for r in found.collect()} == brute(rows)
@@ -79,10 +79,10 @@ def test_groups_are_found_in_comparisons_in_proportion(spark):
     """Every group of cells holds a bounded number of nodes, and a bucket of one component has none."""
     rows = spark.createDataFrame([(7, node) for node in [*range(5000), 9001, 9002]] + [(8, 1), (8, 2)], "key long, node long")
     labels = spark.createDataFrame([(node, 0) for node in range(5000)] + [(9002, 9001)], "id long, component long")
-    groups = tensor_minhash.groups_of(tensor_minhash.open_rows(rows, labels))
+    groups = open_buckets.groups_of(open_buckets.open_rows(rows, labels))
     sizes = groups.groupBy("key", "x", "y", "outside").count().collect()
     assert {r.key for r in sizes} == {7}
-    assert max(r["count"] for r in sizes) < 2 * tensor_minhash.CELL
+    assert max(r["count"] for r in sizes) < 2 * open_buckets.CELL
     met = {(r.x, r.y) for r in sizes if r.outside}
     assert met == {(r.x, r.y) for r in sizes if not r.outside} and len(met) == 20
     assert groups.filter("outside AND node = 9001").count() == 20
@@ -93,10 +93,10 @@ def test_parity_bits_never_rule_out_a_link():
     for n, m, changed in ((1, 1, 0), (9, 9, 1), (90, 81, 9), (700, 690, 77), (1200, 1000, 90)):
         pool = chosen.integers(0, 2**63, n + changed, dtype=np.uint64)
         sets = [pool[:n], pool[changed : changed + m], chosen.integers(0, 2**63, n, dtype=np.uint64)]
-        parities = tensor_minhash.Parities(np.array([len(x) for x in sets]), pa.array([tensor_minhash.parity_bits(x) for x in sets]))
+        bits = parities.Parities(np.array([len(x) for x in sets]), pa.array([parities.parity_bits(x) for x in sets]))
         linked = len(np.intersect1d(*sets[:2])) * 5 >= len(np.union1d(*sets[:2])) * 4
-        assert linked and parities.may_link(0, np.array([1, 0])).all()
-        assert n < 9 or not parities.may_link(0, np.array([1, 2]))[1]
+        assert linked and bits.may_link(0, np.array([1, 0])).all()
+        assert n < 9 or not bits.may_link(0, np.array([1, 2]))[1]
 
 
 def test_probability_of_meeting():
