@@ -10,10 +10,10 @@ texts' shingles in 2**SKETCH_BITS cells (a fixed size; it only orders and estima
 Large groups are not paired out. First every class is verified against one of the
 most central classes that its prefix shingles lead to; only shingles that then still
 connect different components matter further. There the classes outside the largest component
-meet the others in cells of bounded size (``open_buckets``), which bring their prefixes
-and parity bits, a 32nd of a set's size: these rule out pairs that differ too much or
-share too few prefix shingles before any row is made of a pair. So nothing is lost, and a group of
-n similar texts costs about n verifications.
+meet the others in cells of bounded size (``open_buckets``), which bring their
+parity bits, a 32nd of a set's size: these rule out pairs that differ too much before any row
+is made of a pair. What is left has to share as many prefix shingles as the smaller l, and is
+verified. So nothing is lost, and a group of n similar texts costs about n verifications.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 repeated rows and equal sets link; a null key gives a null component. Shingles and
@@ -214,42 +214,51 @@ def _possible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}").distinct()
 
 
-def _share_enough(x: np.ndarray, level_x: int, y: np.ndarray, level_y: int, token: int) -> bool:
-    """Whether two prefixes, cut to the smaller level, share as many shingles, and ``token`` is the least of them."""
-    level = min(level_x, level_y)
-    common = np.intersect1d(x[: len(x) - level_x + level], y[: len(y) - level_y + level]).view(np.int64)
-    return len(common) >= level and int(common.min()) == token
+def _shared_enough(pairs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The pairs whose prefixes, cut to the smaller level, share as many shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("prefix_a", "level_a", "prefix_b", "level_b"))
+            for x, level_x, y, level_y in zip(*columns, strict=True):
+                x, y, level = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), min(level_x, level_y)
+                keep.append(len(np.intersect1d(x[: len(x) - level_x + level], y[: len(y) - level_y + level])) >= level)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sides = [summaries.select("rep", "prefix", "level").toDF(c, f"prefix_{c}", f"level_{c}") for c in "ab"]
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def _cross_pairs(groups: DataFrame, summaries: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes of different components that meet in a group and may be similar."""
 
-    def met(rows: pa.Table) -> Iterator[tuple]:
-        rows = rows.combine_chunks()
-        outside, size, level = (rows.column(c).to_numpy() for c in ("outside", "size", "level"))
+    def met(rows: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[tuple]:
+        outside, size = (rows.column(c).to_numpy() for c in ("outside", "size"))
         nodes, component = (rows.column(c).to_pylist() for c in ("node", "component"))
         number = {name: k for k, name in enumerate(dict.fromkeys(component))}
-        component = np.array([number[name] for name in component])
+        component = np.array([number[name] for name in component], np.int64)
         parities = Parities(size, rows.column("bits").combine_chunks())
-        prefix = [np.frombuffer(value, np.uint64) for value in rows.column("prefix").to_pylist()]
-        token, right = int(rows.column("key")[0].as_py()), np.flatnonzero(~outside)
-        for i in np.flatnonzero(outside).tolist():
-            fits = 5 * np.minimum(size[right], size[i]) >= 4 * np.maximum(size[right], size[i])
-            near = right[(component[right] != component[i]) & fits]
-            for k in near[parities.may_link(i, near)].tolist():
-                if _share_enough(prefix[i], int(level[i]), prefix[k], int(level[k]), token):
+        for start, end in bounds:
+            own = np.arange(start, end)
+            others = own[~outside[start:end]]
+            for i in own[outside[start:end]].tolist():
+                fits = 5 * np.minimum(size[others], size[i]) >= 4 * np.maximum(size[others], size[i])
+                near = others[(component[others] != component[i]) & fits]
+                for k in near[parities.may_link(i, near)].tolist():
                     yield min(nodes[i], nodes[k]), max(nodes[i], nodes[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in sorted_groups(batches):
-            found = sorted({pair for rows in groups for pair in met(rows)})
+        for rows, bounds in sorted_groups(batches):
+            found = sorted(set(met(rows, bounds)))
             if found:
                 columns = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(column), id_type) for column in columns], ["a", "b"])
 
     kind = groups.schema["node"].dataType.simpleString()
     id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    rows = together(groups.join(summaries.withColumnRenamed("rep", "node"), "node"))
+    rows = together(groups.join(summaries.select(F.col("rep").alias("node"), "size", "bits"), "node"))
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -321,7 +330,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     left = matched.select(F.col("token").alias("key"), F.col("rep").alias("node"))
     groups = groups_of(materialize(open_rows(left, first), "open"))
     pairs = (
-        _cross_pairs(groups, summaries)
+        _shared_enough(materialize(_cross_pairs(groups, summaries), "met"), summaries)
         .join(stars, ["a", "b"], "left_anti")
         .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )

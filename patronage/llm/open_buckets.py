@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Nodes of a bucket that meet in one group, on each side.
-CELL = 256
+CELL = 1024
 
 
 def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -48,15 +48,15 @@ def together(groups: DataFrame) -> DataFrame:
     return groups.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.Table]]:
-    """Of rows that ``together`` has sorted, the groups that each batch completes."""
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Of rows that ``together`` has sorted: rows, and where the groups among them that are complete start and end."""
     kept: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([kept, rows]) if kept is not None else rows
+        rows = pa.concat_tables([kept, rows]).combine_chunks() if kept is not None else rows
         ids = np.stack([rows.column(c).to_numpy() for c in ("key", "x", "y")])
         cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
-        yield (rows.slice(start, end - start) for start, end in zip(cuts, cuts[1:], strict=False))
+        yield rows, list(zip(cuts, cuts[1:], strict=False))
         kept = rows.slice(cuts[-1])  # the last group may go on in the next batch
     if kept is not None and kept.num_rows:
-        yield iter([kept])
+        yield kept, [(0, kept.num_rows)]

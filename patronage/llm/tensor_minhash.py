@@ -229,28 +229,29 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _proposed(rows: pa.Table, likeliest: bool) -> Iterator[tuple[int, int, int]]:
+def _proposed(rows: pa.Table, bounds: list[tuple[int, int]], likeliest: bool) -> Iterator[tuple[int, int, int]]:
     """(node, partner, equal minhashes) of nodes of a group that differ in component and are
     not ruled out and meet in this table first: for each node outside its likeliest partner, or all."""
     outside = rows.column("outside").to_numpy()
-    node, component, n = (rows.column(c).to_numpy() for c in ("node", "component", "n"))
+    key, node, component, n = (rows.column(c).to_numpy() for c in ("key", "node", "component", "n"))
     hashes, parities = _matrix(rows.column("sketch").combine_chunks()), Parities(n, rows.column("bits").combine_chunks())
-    table = int(rows.column("key")[0].as_py()) & _TABLE
-    right = np.flatnonzero(~outside)
-    for i in np.flatnonzero(outside).tolist():
-        near = right[(component[right] != component[i]) & _sizes_fit(n[right], n[i])]
-        same = hashes[near] == hashes[i]
-        equal = same.sum(axis=1)
-        enough = np.flatnonzero(equal >= LEAST_EQUAL)
-        if not len(enough):
-            continue
-        blocks = same[enough].reshape(len(enough), 2, SIDE, BLOCK).all(axis=3).argmax(axis=2)
-        enough = enough[blocks[:, 0] * SIDE + blocks[:, 1] == table]
-        enough = enough[parities.may_link(i, near[enough])]
-        if likeliest and len(enough):
-            enough = enough[[equal[enough].argmax()]]
-        for k in enough.tolist():
-            yield int(node[i]), int(node[near[k]]), int(equal[k])
+    blocks = hashes.view(np.uint64) if BLOCK == 2 else block_hashes(hashes).reshape(len(hashes), 2 * SIDE)
+    for start, end in bounds:
+        left, right = divmod(int(key[start]) & _TABLE, SIDE)
+        before = [*range(left), *range(SIDE, SIDE + right)]  # blocks that would have brought a pair together earlier
+        own = np.arange(start, end)
+        others = own[~outside[start:end]]
+        for i in own[outside[start:end]].tolist():
+            near = others[(component[others] != component[i]) & _sizes_fit(n[others], n[i])]
+            near = near[~(blocks[near][:, before] == blocks[i, before]).any(axis=1)]
+            equal = (hashes[near] == hashes[i]).sum(axis=1)
+            enough = equal >= LEAST_EQUAL
+            near, equal = near[enough], equal[enough]
+            may = parities.may_link(i, near)
+            near, equal = near[may], equal[may]
+            chosen = [int(equal.argmax())] if likeliest and len(near) else range(len(near))
+            for k in chosen:
+                yield int(node[i]), int(node[near[k]]), int(equal[k])
 
 
 def cross_pairs(groups: DataFrame, nodes: DataFrame, likeliest: bool) -> DataFrame:
@@ -258,8 +259,8 @@ def cross_pairs(groups: DataFrame, nodes: DataFrame, likeliest: bool) -> DataFra
     each node's likeliest partner, or all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in sorted_groups(batches):
-            found = [pair for rows in groups for pair in _proposed(rows, likeliest)]
+        for rows, bounds in sorted_groups(batches):
+            found = list(_proposed(rows, bounds, likeliest))
             if found:
                 columns = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["a", "b", "equal"])
