@@ -7,11 +7,17 @@ after the other in a flat array; in each round every segment applies its pair of
 lowest rank wherever it occurs, the array closes up, and finished segments are
 counted. Characters outside the vocabulary count as their UTF-8 bytes.
 
-Defined results: null and empty texts have no tokens.
+A segment of more than LONG_SEGMENT characters (unspaced scripts, encoded data) has rounds
+of its own, in which places are kept by rank: a round touches only the pairs that it merges
+and their neighbours, so time grows with the segment's length and not with its square.
+
+Defined results: null and empty texts have no tokens; a text of one unbroken segment of any
+length is counted whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +36,8 @@ TOKEN_LIMIT = 4096
 MARK = "▁"
 #: Segments that a task remembers; when there are more, it starts anew.
 REMEMBERED = 400_000
+#: Segments with more characters keep their places by rank, and are not remembered.
+LONG_SEGMENT = 2048
 SEGMENT = re.compile(r" *[^ ]+| +")
 
 
@@ -98,15 +106,70 @@ class PieceCounter:
             symbols, owner = symbols[keep], owner[keep]
         return out
 
+    def long_segment(self, row: str) -> int:
+        """Tokens of one segment, by the same rounds over a linked list of its symbols."""
+        points = np.frombuffer(row.encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = self.codes[points]
+        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        n = len(symbols)
+        after = np.arange(1, n + 1)
+        before = np.arange(-1, n - 1)
+        ranks = np.full(n, NONE, np.int32)
+        ranks[:-1] = self.pairs.get(symbols[:-1], symbols[1:])
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def keep(at: np.ndarray) -> None:
+            at = at[ranks[at] != NONE]
+            at = at[np.argsort(ranks[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(ranks[at])) + 1
+            for part in np.split(at, cuts) if len(at) else ():
+                rank = int(ranks[part[0]])
+                if rank not in places:
+                    places[rank] = []
+                    heapq.heappush(heap, rank)
+                places[rank].append(part)
+
+        keep(np.arange(n))
+        while heap:
+            rank = heapq.heappop(heap)
+            chosen = np.unique(np.concatenate(places.pop(rank)))
+            # A place whose symbol or neighbour has merged since then has another rank now.
+            chosen = chosen[ranks[chosen] == rank]
+            if not len(chosen):
+                continue
+            # Of pairs that overlap, one after the other in a run, every second one merges.
+            run_start = np.flatnonzero(np.append(True, after[chosen[:-1]] != chosen[1:]))
+            offset = np.arange(len(chosen)) - np.repeat(run_start, np.diff(run_start, append=len(chosen)))
+            chosen = chosen[offset % 2 == 0]
+            gone = after[chosen]
+            symbols[chosen] = rank
+            symbols[gone], ranks[gone] = -2, NONE
+            following = after[gone]
+            after[chosen] = following
+            inside = following < n
+            before[following[inside]] = chosen[inside]
+            changed = np.concatenate([chosen, before[chosen]])
+            changed = np.unique(changed[changed >= 0])
+            ranks[changed] = NONE
+            paired = changed[after[changed] < n]
+            ranks[paired] = self.pairs.get(symbols[paired], symbols[after[paired]])
+            keep(changed)
+        kept = symbols >= 0
+        return int(self.weight[symbols[kept]].sum() + width[symbols == -1].sum())
+
+    def _count(self, segment: str) -> int:
+        known = self.known.get(segment)
+        return self.long_segment(segment) if known is None else known
+
     def count(self, rows: list[str]) -> list[int]:
         parts = [SEGMENT.findall(" " + row.replace(MARK, " ")) if row else [] for row in rows]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = list(set().union(*parts) - self.known.keys())
+        new = [part for part in set().union(*parts) - self.known.keys() if len(part) <= LONG_SEGMENT]
         if new:
             self.known.update(zip(new, self.segments(new).tolist(), strict=True))
-        known = self.known.__getitem__
-        return [sum(map(known, row)) for row in parts]
+        return [sum(map(self._count, row)) for row in parts]
 
 
 @lru_cache(maxsize=2)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -49,6 +50,25 @@ def test_counts_equal_the_library(reference):
     assert counts == [len(x) for x in reference[1].encode(rows)]
 
 
+def test_long_segments_equal_the_library(reference):
+    chosen = random.Random(2)
+    rows = [base64.b64encode(chosen.randbytes(n)).decode() for n in (1600, 90_000)]
+    rows += ["漢é😀z" * 2500, " " * 7001 + "x", "a" * 5001, "".join(chosen.choice("theandofigr▁") for _ in range(40_000))]
+    rows.append(f"{rows[1]} and {rows[2]} then {rows[1]}")
+    counter = piece_counts.PieceCounter(vocabulary(piece_counts.MODEL)[0])
+    assert counter.count(rows) == [len(x) for x in reference[1].encode(rows)]
+    # Both forms of the rounds give the same.
+    assert counter.segments(rows[2:4]).tolist() == [counter.long_segment(row) for row in rows[2:4]]
+
+
+def test_an_unbroken_megabyte(reference):
+    row = base64.b64encode(random.Random(3).randbytes(750_000)).decode()
+    counter = piece_counts.PieceCounter(vocabulary(piece_counts.MODEL)[0])
+    start = time.perf_counter()
+    assert counter.count([row]) == [len(reference[1].encode(row))]
+    assert time.perf_counter() - start < 10
+
+
 def test_tables(spark, odd, empty, reference):
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     rows = byte_bpe.round_trip(odd).collect()
