@@ -29,6 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from patronage.llm.common import keyed_texts
 from patronage.llm.components import components
@@ -348,10 +349,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, that of the smallest doc_id; rows without a key stay."""
-    found = near_duplicates(df).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = df.join(found, "doc_id").select(*(df[f"`{c}`"] for c in df.columns))
-    # The join has sorted by key, so this drops repeated rows of a key as they pass by.
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = kept.withColumn("__turn", turn).filter("__turn = 1").drop("__turn")
-    return kept.unionByName(df.filter("doc_id IS NULL"))
+    """One row of each group of near duplicates, that of the smallest doc_id; rows without a key stay.
+
+    Rows are judged, not keys: rows of one key with different texts are documents of their
+    own, of which similar ones keep the smallest row hash. Rows equal in key and text are one
+    document and leave one row, the one whose other columns hash lowest."""
+    docs = df.filter("doc_id IS NOT NULL").withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(docs, key="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    named = found.join(docs.select("__row", "doc_id").distinct(), "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    kept = docs.join(first.select(F.col("first.__row").alias("__row"), F.col("first.doc_id").alias("__id")), "__row")
+    # The join has sorted by row, so this drops repeated rows as they pass by.
+    rest = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, MapType)))
+    turn = F.row_number().over(Window.partitionBy("__row").orderBy(rest))
+    kept = kept.filter(F.col("doc_id") == F.col("__id")).withColumn("__turn", turn).filter("__turn = 1")
+    return kept.select(*(f"`{c}`" for c in df.columns)).unionByName(df.filter("doc_id IS NULL"))

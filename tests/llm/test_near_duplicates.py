@@ -104,6 +104,19 @@ def test_runs_of_rows():
     assert (hashes[2 << 20 : (2 << 20) + 2] == hashes[1::-1]).all()
 
 
+def test_rows_of_one_key(spark):
+    """Different texts under one key are judged apart; a copy goes, what is unique stays."""
+    base = [f"word{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    unique, apart = (" ".join(f"{x}{k}" for k in range(40)) for x in ("u", "v"))
+    rows = [(1, " ".join(base), "a"), (2, " ".join(base), "b"), (2, unique, "c"), (3, near, "d"), (3, apart, "e"),
+            (3, apart, "f"), (4, "", "g"), (None, unique, "h"), (None, unique, "i"), (5, None, "j")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, note string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted(
+        [(1, rows[0][1]), (2, unique), (3, apart), (4, ""), (5, ""), (0, unique), (0, unique)]
+    )
+
+
 def test_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     found = {r.id: r.component for r in components(links).collect()}
