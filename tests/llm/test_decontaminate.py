@@ -25,7 +25,8 @@ def edited(chosen, words, rate):
 def test_edited_passages(items):
     rows = items.collect()
     texts = [r.text for r in rows]
-    table = D.Items([r.item_id for r in rows], texts, D.walks_needed(texts))
+    words = D.words_of(texts)
+    table = D.Items([r.item_id for r in rows], words, D.walks_needed(words))
     chosen = random.Random(3)
     for rate, least in ((0.0, 1.0), (0.05, 0.97), (0.1, 0.95)):
         hits = tries = 0
@@ -40,6 +41,37 @@ def test_edited_passages(items):
         assert hits >= least * tries
 
 
+@pytest.mark.parametrize("size", [8, 10, 15, 40, 80])
+def test_recall_by_length(size):
+    """Verbatim passages are always found, those with all edits that are allowed nearly always."""
+    chosen = random.Random(size)
+    texts = [" ".join(f"w{chosen.randrange(3000)}" for _ in range(size)) for _ in range(300)]
+    items = D.words_of(texts)
+    table = D.Items(list(range(len(texts))), items, D.walks_needed(items))
+    for rate, least in ((0.0, 1.0), (0.1, 0.95), (0.2, 0.95)):
+        docs = [f"some words in front {' '.join(edited(chosen, x.split(), rate + 1e-9))} and some behind" for x in texts]
+        found = D.matches(table, *word_hashes(D.pa.array(docs)))
+        assert sum(k in x for k, x in enumerate(found)) >= least * len(texts)
+
+
+def test_verbatim_without_other_walks():
+    chosen = random.Random(9)
+    texts = [" ".join(f"w{chosen.randrange(50)}" for _ in range(chosen.randrange(8, 40))) for _ in range(300)]
+    table = D.Items(list(range(300)), D.words_of(texts), [D._walk(None, 0)])
+    assert all(x[k] == 0 for k, x in enumerate(D.matches(table, *word_hashes(D.pa.array(texts)))))
+
+
+def test_a_row_for_each_row(spark, monkeypatch):
+    item = " ".join(f"passage{k}" for k in range(12))
+    rows = [(1, f"x {item} y"), (1, "clean text"), (None, item), (None, "clean text"), (None, None), (1, f"x {item} y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, "clean text"), (9, "absent words")], "item_id long, text string")
+    expected = sorted([(1, "7"), (1, "8"), (0, "7"), (0, "8"), (0, ""), (1, "7")])
+    for most in (D.BLOCK_WORDS, 2):
+        monkeypatch.setattr(D, "BLOCK_WORDS", most)
+        assert sorted((r.doc_id or 0, r.item_ids) for r in D.leaks_by_document(docs, items).collect()) == expected
+
+
 def test_distance_by_brute_force():
     chosen = random.Random(0)
 
