@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
-from patronage.llm.common import keyed_texts, slices, texts, vocabulary
+from patronage.llm.common import keyed_texts, slices, texts, tidy, vocabulary
 from patronage.llm.pair_table import NONE, PairTable
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -190,7 +190,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, ids, *([same] if same else [])])
 
     fields = [StructField(ids, ArrayType(IntegerType())), *([StructField(same, BooleanType())] if same else [])]
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, *fields]))
+    return rest.mapInArrow(tidy(run), StructType([*rest.schema.fields, *fields]))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocab: str = VOCABULARY) -> DataFrame:
@@ -204,7 +204,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocab: str = V
             column = pa.array([bpe.decode(row or []) for row in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out])
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(out, BinaryType())]))
+    return rest.mapInArrow(tidy(run), StructType([*rest.schema.fields, StructField(out, BinaryType())]))
 
 
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str = VOCABULARY) -> DataFrame:
@@ -229,4 +229,4 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: st
 
     docs = keyed_texts(df, key, text)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.common import keyed_texts, mix64, slices
+from patronage.llm.common import keyed_texts, mix64, slices, tidy
 from patronage.llm.shingles import word_hashes
 
 #: Edited words that a passage may have, as a share of the item's words.
@@ -312,7 +312,7 @@ def _with_block(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(rows, LEAKS)], ["doc_id", "text", "leaks"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def find_leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,4 +351,4 @@ def _filtered(df: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array([not x for x in _found(items, part, "text")], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

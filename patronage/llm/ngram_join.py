@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from patronage.llm.common import keyed_texts
+from patronage.llm.common import keyed_texts, tidy
 from patronage.llm.components import components
 from patronage.llm.id_filter import id_filter, passing
 from patronage.llm.open_buckets import groups_of, open_rows, sorted_groups, together
@@ -78,7 +78,7 @@ def _described(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType
     id_type = pa.string() if kind.simpleString() == "string" else pa.int32() if kind.simpleString() == "int" else pa.int64()
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, class long, chunk int, counts binary")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, n long, class long, chunk int, counts binary")
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
@@ -94,7 +94,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
             [pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
     chunks = described.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk", F.spark_partition_id() % 8)
-    once = chunks.mapInArrow(run, "chunk int, counts binary").collect()
+    once = chunks.mapInArrow(tidy(run), "chunk int, counts binary").collect()
     out = np.zeros((SKETCH_CHUNKS, size), np.float32)
     for row in once:
         out[row.chunk] += np.frombuffer(row.counts, np.float32)
@@ -139,7 +139,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                      pa.array(own[0]), pa.array(own[1].astype(np.int32)), pa.array(own[2].astype(np.int8)), pa.array(own[3].astype(np.int32))],
                     ["token", "at", "class", "n", "level", "centre"])
 
-    return docs.mapInArrow(run, "token long, at byte, class long, n int, level byte, centre int")
+    return docs.mapInArrow(tidy(run), "token long, at byte, class long, n int, level byte, centre int")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.dropna(subset=["doc_id"]).select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("hash"), "text")
-    return texts.mapInArrow(run, f"rep {kind}, tokens binary")
+    return texts.mapInArrow(tidy(run), f"rep {kind}, tokens binary")
 
 
 def _summaries(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -182,7 +182,7 @@ def _summaries(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray) -> DataFr
             )
 
     sets = _sets(docs, wanted)
-    return sets.mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, size long, bits binary, prefix binary, level long")
+    return sets.mapInArrow(tidy(run), f"rep {sets.schema['rep'].dataType.simpleString()}, size long, bits binary, prefix binary, level long")
 
 
 def least_difference(x: bytes, y: bytes) -> int:
@@ -212,7 +212,7 @@ def _possible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
                 keep.append(least_difference(x, y) <= n + m - 2 * -(-4 * (n + m) // 9))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}").distinct()
+    return joined.mapInArrow(tidy(run), f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}").distinct()
 
 
 def _shared_enough(pairs: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def _shared_enough(pairs: DataFrame, summaries: DataFrame) -> DataFrame:
 
     sides = [summaries.select("rep", "prefix", "level").toDF(c, f"prefix_{c}", f"level_{c}") for c in "ab"]
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(tidy(run), f"a {kind}, b {kind}").distinct()
 
 
 def _cross_pairs(groups: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def _cross_pairs(groups: DataFrame, summaries: DataFrame) -> DataFrame:
     kind = groups.schema["node"].dataType.simpleString()
     id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
     rows = together(groups.join(summaries.select(F.col("rep").alias("node"), "size", "bits"), "node"))
-    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.mapInArrow(tidy(run), f"a {kind}, b {kind}").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def _sizes_fit(n: str, m: str):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from patronage.llm.common import keyed_texts, slices
+from patronage.llm.common import keyed_texts, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{part}-{kind}" for kind in KINDS for part in "BI"))
@@ -343,7 +343,7 @@ def find(df: DataFrame, field: Field, text: str = "text", out: str = "pii") -> D
     element = StructType(
         [StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("base", BooleanType())]
     )
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(out, ArrayType(element))]))
+    return rest.mapInArrow(tidy(run), StructType([*rest.schema.fields, StructField(out, ArrayType(element))]))
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -368,7 +368,7 @@ def mask(df: DataFrame, field: Field, text: str = "text", length: str = "n_chars
                 new = [x if x is None else masked(x, spans) for x, (_, spans) in zip(rows, found, strict=True)]
                 yield part.set_column(part.schema.get_field_index(text), text, pa.array(new, pa.string()))
 
-    out = df.mapInArrow(run, df.schema)
+    out = df.mapInArrow(tidy(run), df.schema)
     if length in df.columns:
         kind = df.schema[length].dataType
         out = out.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(F.length(text)).cast(kind))
@@ -396,4 +396,4 @@ def digest(df: DataFrame, field: Field) -> DataFrame:
                 )
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return keyed_texts(df).mapInArrow(run, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
+    return keyed_texts(df).mapInArrow(tidy(run), f"doc_id {kind}, {counts}, base_sha256 string, spans string")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from patronage.llm.common import slices
+from patronage.llm.common import slices, tidy
 
 #: Labelled rows of each class that a model is fitted to, and the longest text among them.
 FIT_ROWS = {1: 2000, 0: 4000}
@@ -250,7 +250,7 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "t
                 rows = [x.encode() if x else b"" for x in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(rows))], [*part.schema.names, out])
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(out, DoubleType())]))
+    return rest.mapInArrow(tidy(run), StructType([*rest.schema.fields, StructField(out, DoubleType())]))
 
 
 def classify(df: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
