@@ -354,13 +354,21 @@ def keep_one(df: DataFrame) -> DataFrame:
     Rows are judged, not keys: rows of one key with different texts are documents of their
     own, of which similar ones keep the smallest row hash. Rows equal in key and text are one
     document and leave one row, the one whose other columns hash lowest."""
-    docs = df.filter("doc_id IS NOT NULL").withColumn("__row", F.xxhash64("doc_id", "text"))
+    docs = df.filter("doc_id IS NOT NULL")
+    digest = F.xxhash64("doc_id", "text")
+    texts = docs.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    # Keys compress better than hashes and name the row too, as long as no key has several texts.
+    several = bool(texts.filter("low <> high").head(1))
+    docs = docs.withColumn("__row", digest if several else F.col("doc_id"))
     found = near_duplicates(docs, key="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
-    named = found.join(docs.select("__row", "doc_id").distinct(), "__row")
-    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
-    kept = docs.join(first.select(F.col("first.__row").alias("__row"), F.col("first.doc_id").alias("__id")), "__row")
+    if several:
+        named = found.join(docs.select("__row", "doc_id").distinct(), "__row")
+        chosen = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row")
+    else:
+        chosen = found.filter("__row = component_id").select("__row")
+    kept = docs.join(chosen, "__row")
     # The join has sorted by row, so this drops repeated rows as they pass by.
     rest = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, MapType)))
     turn = F.row_number().over(Window.partitionBy("__row").orderBy(rest))
-    kept = kept.filter(F.col("doc_id") == F.col("__id")).withColumn("__turn", turn).filter("__turn = 1")
+    kept = kept.withColumn("__turn", turn).filter("__turn = 1")
     return kept.select(*(f"`{c}`" for c in df.columns)).unionByName(df.filter("doc_id IS NULL"))
