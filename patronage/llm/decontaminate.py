@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import keyed_texts, mix64, slices, tidy
-from patronage.llm.shingles import word_hashes
+from patronage.llm.shingles import RUN_BYTES, word_hashes
 
 #: Edited words that a passage may have, as a share of the item's words.
 EDITS = 0.2
@@ -304,7 +304,7 @@ def _with_block(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _opened(shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", RUN_BYTES):
                 before = part.column("leaks").to_pylist()
                 rows = [
                     x + [{"item_id": items.ids[k], "edits": edits} for k, edits in sorted(y.items())]
@@ -348,7 +348,7 @@ def _filtered(df: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _opened(shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", RUN_BYTES):
                 yield part.filter(pa.array([not x for x in _found(items, part, "text")], pa.bool_()))
 
     return df.mapInArrow(tidy(run), df.schema)

@@ -22,7 +22,7 @@ sets are told apart by 64-bit hashes. Only the two named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,8 +142,12 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.mapInArrow(tidy(run), "token long, at byte, class long, n int, level byte, centre int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shingle sets of the wanted representatives (and of the few that the filter lets pass)."""
+def _set_rows(docs: DataFrame, wanted: DataFrame, made: Callable[[list[np.ndarray]], dict[str, pa.Array]], fields: str) -> DataFrame:
+    """``rep`` and the columns that ``made`` gives for the sets of the wanted representatives
+    (and of the few others that the filter lets pass).
+
+    What is wanted of a set is made where the set is made: a second Python step in the
+    same stage would double the Python workers that an executor keeps."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +158,17 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(passing(bits, batch.column("hash").to_numpy())))
 
         for part, sets in batch_sets(chosen(), "text"):
-            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "tokens"])
+            columns = made(sets)
+            yield pa.RecordBatch.from_arrays([part.column("rep"), *columns.values()], ["rep", *columns])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.dropna(subset=["doc_id"]).select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("hash"), "text")
-    return texts.mapInArrow(tidy(run), f"rep {kind}, tokens binary")
+    return texts.mapInArrow(tidy(run), f"rep {kind}, {fields}")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Shingle sets of the wanted representatives."""
+    return _set_rows(docs, wanted, lambda sets: {"tokens": pa.array([x.tobytes() for x in sets], pa.binary())}, "tokens binary")
 
 
 def _summaries(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -166,23 +176,18 @@ def _summaries(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray) -> DataFr
     number of shingles falls into, with two cells or more per shingle), prefix, and level."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 MB
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(sets: list[np.ndarray]) -> dict[str, pa.Array]:
         counts = shared.value
         load = float(counts.mean())
-        for batch in batches:
-            rows = []
-            for blob in batch.column("tokens"):
-                tokens = np.frombuffer(blob.as_buffer(), np.uint64)
-                chosen, level, _ = _prefix(tokens, counts[tokens >> np.uint64(64 - SKETCH_BITS)], load) if len(tokens) else (tokens, 1, 0)
-                rows.append((len(tokens), parity_bits(tokens), chosen.tobytes(), level))
-            columns = zip(*rows, strict=True) if rows else ([],) * 4
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), *(pa.array(list(x), kind) for x, kind in zip(columns, kinds, strict=True))], ["rep", "size", "bits", "prefix", "level"]
-            )
-
-    sets = _sets(docs, wanted)
-    return sets.mapInArrow(tidy(run), f"rep {sets.schema['rep'].dataType.simpleString()}, size long, bits binary, prefix binary, level long")
+        chosen = [_prefix(x, counts[x >> np.uint64(64 - SKETCH_BITS)], load) if len(x) else (x, 1, 0) for x in sets]
+        return {
+            "size": pa.array([len(x) for x in sets], pa.int64()),
+            "bits": pa.array([parity_bits(x) for x in sets], pa.binary()),
+            "prefix": pa.array([prefix.tobytes() for prefix, _, _ in chosen], pa.binary()),
+            "level": pa.array([level for _, level, _ in chosen], pa.int64()),
+        }
+
+    return _set_rows(docs, wanted, made, "size long, bits binary, prefix binary, level long")
 
 
 def least_difference(x: bytes, y: bytes) -> int:

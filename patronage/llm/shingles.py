@@ -10,6 +10,8 @@ import pyarrow as pa
 from patronage.llm.common import SLICE_BYTES, mix64, slices
 
 SHINGLE_WORDS = 5
+#: Text hashed at once; its arrays take some fifty times as much.
+RUN_BYTES = SLICE_BYTES // 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
@@ -51,7 +53,7 @@ def word_hashes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = values.buffers()[2]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.array([], np.uint8)
     offsets = offsets - offsets[0]
-    if len(data) <= 2 * SLICE_BYTES:
+    if len(data) <= 2 * RUN_BYTES:
         if not len(data):
             return np.array([], np.uint64), np.zeros(len(values), np.int64)
         hashes, starts = _word_hashes(data, offsets[:-1][offsets[:-1] < len(data)])
@@ -63,7 +65,7 @@ def word_hashes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     parts, at = [], 0
     blanks = np.flatnonzero(data == 32)
     while at < len(data):
-        end = at + SLICE_BYTES
+        end = at + RUN_BYTES
         k = int(np.searchsorted(blanks, end))
         end = int(blanks[k]) if k < len(blanks) else len(data)
         parts.append(_word_hashes(data[at:end], np.array([0]))[0])
@@ -96,7 +98,7 @@ def shingle_sets(words: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
 
 def batch_sets(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for part in slices(batch, text):
+        for part in slices(batch, text, RUN_BYTES):
             yield part, list(shingle_sets(*word_hashes(part.column(text))))
 
 

@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.common import keyed_texts, mix64, slices
+from patronage.llm.common import keyed_texts, mix64, slices, tidy
 from patronage.llm.components import components
 from patronage.llm.id_filter import id_filter, passing
 from patronage.llm.open_buckets import groups_of, open_rows, sorted_groups, together
 from patronage.llm.parities import Parities, parity_bits
-from patronage.llm.shingles import set_digest, word_hashes
+from patronage.llm.shingles import RUN_BYTES, set_digest, word_hashes
 from patronage.session import materialize
 
 SHINGLE_WORDS = 2
@@ -77,7 +77,7 @@ def shingle_sets(words: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
 
 def batch_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", RUN_BYTES):
             yield part, list(shingle_sets(*word_hashes(part.column("text"))))
 
 
@@ -125,7 +125,7 @@ def described(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n", "node", "sketch", "bits"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sketch binary, bits binary")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sketch binary, bits binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -144,7 +144,7 @@ def in_shared_blocks(nodes: DataFrame) -> DataFrame:
             own = np.repeat(batch.column("node").to_numpy(), 2 * SIDE)
             yield pa.RecordBatch.from_arrays([pa.array(blocks.ravel()), pa.array(own)], ["block", "node"])
 
-    blocks = nodes.select("node", "sketch").mapInArrow(run, "block long, node long")
+    blocks = nodes.select("node", "sketch").mapInArrow(tidy(run), "block long, node long")
     shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("block")
     bit = F.expr(f"shiftleft(1L, CAST(block & {_PLACE} AS INT))")
     found = blocks.join(shared, "block").groupBy("node").agg(F.bit_or(bit).alias("shared"))
@@ -164,7 +164,7 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
             own = np.broadcast_to(batch.column("node").to_numpy()[:, None], keys.shape)
             yield pa.RecordBatch.from_arrays([pa.array(keys[both]), pa.array(own[both])], ["key", "node"])
 
-    return nodes.select("node", "sketch", "shared").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sketch", "shared").mapInArrow(tidy(run), "key long, node long")
 
 
 def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sides = [nodes.select("node", "n", "sketch", "bits").toDF(c, f"n_{c}", f"sketch_{c}", f"bits_{c}") for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def _node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([x.tobytes() for x in new.values()], pa.binary())], ["node", "tokens"])
 
     named = docs.dropna(subset=["doc_id"]).select(F.xxhash64("doc_id").alias("hash"), "text")
-    return named.mapInArrow(run, "node long, tokens binary")
+    return named.mapInArrow(tidy(run), "node long, tokens binary")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _proposed(rows: pa.Table, bounds: list[tuple[int, int]], likeliest: bool) -> Iterator[tuple[int, int, int]]:
@@ -265,7 +265,7 @@ def cross_pairs(groups: DataFrame, nodes: DataFrame, likeliest: bool) -> DataFra
                 columns = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["a", "b", "equal"])
 
-    met = together(groups.join(nodes.select("node", "n", "sketch", "bits"), "node")).mapInArrow(run, "a long, b long, equal long")
+    met = together(groups.join(nodes.select("node", "n", "sketch", "bits"), "node")).mapInArrow(tidy(run), "a long, b long, equal long")
     if likeliest:
         met = met.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("best")).select("a", "best.b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
