@@ -1,5 +1,6 @@
 -- Churn features in SQL. Bind :cutoff, :status and :min_orders; the tables are
--- given as orders, customers, order_items and order_payments.
+-- given as orders, customers, order_items and order_payments. Days before the
+-- cutoff bring features and later ones the label, in one pass over the orders.
 WITH fulfilled AS (
   SELECT order_id, customer_id, CAST(order_purchase_timestamp AS DATE) AS day
   FROM {orders}
@@ -11,25 +12,28 @@ paid AS (
   FROM (SELECT DISTINCT order_id, payment_value FROM {order_payments})
   GROUP BY order_id
 ),
--- Totals per login and day before the customers are joined: a busy customer
--- brings as many rows as there are days, not as there are orders.
+-- Before the cutoff an order counts if it has an item and a payment, later in any
+-- case. Totals per login and day come before the customers are joined: a busy
+-- customer brings as many rows as there are days, not as there are orders.
 login_days AS (
   SELECT f.customer_id, f.day, count(*) AS n_orders, sum(p.n) AS n_rows, sum(p.spend) AS spend
   FROM fulfilled f
-  LEFT SEMI JOIN (SELECT DISTINCT order_id FROM {order_items}) i ON i.order_id = f.order_id
-  JOIN paid p ON p.order_id = f.order_id
-  WHERE f.day < CAST(:cutoff AS DATE)
+  LEFT JOIN (SELECT DISTINCT order_id FROM {order_items}) i ON i.order_id = f.order_id
+  LEFT JOIN paid p ON p.order_id = f.order_id
+  WHERE f.day >= CAST(:cutoff AS DATE)
+    OR (f.day < CAST(:cutoff AS DATE) AND i.order_id IS NOT NULL AND p.order_id IS NOT NULL)
   GROUP BY f.customer_id, f.day
 ),
 -- One row per person and day bounds the window; rows of a day are 0 days apart.
 shopping_days AS (
   SELECT
-    c.customer_unique_id AS person, l.day,
+    c.customer_unique_id AS person, l.day, l.day < CAST(:cutoff AS DATE) AS early,
     sum(l.n_orders) AS n_orders, sum(l.n_rows) AS n_rows, sum(l.spend) AS spend
   FROM login_days l
   JOIN {customers} c ON c.customer_id = l.customer_id
   GROUP BY c.customer_unique_id, l.day
 ),
+-- Days after the cutoff come last, so they change no gap before it.
 spaced AS (
   SELECT *, datediff(day, lag(day) OVER (PARTITION BY person ORDER BY day)) AS gap
   FROM shopping_days
@@ -37,31 +41,26 @@ spaced AS (
 habits AS (
   SELECT
     person,
-    CAST(datediff(CAST(:cutoff AS DATE), max(day)) AS BIGINT) AS recency_days,
-    CAST(sum(n_orders) AS BIGINT) AS frequency,
-    CAST(round(sum(spend), 2) AS DOUBLE) AS monetary,
-    CAST(datediff(max(day), min(day)) AS BIGINT) AS customer_lifetime_days,
-    round(try_divide(CAST(sum(gap) AS DOUBLE), sum(n_rows) - 1), 1) AS mean_gap
+    CAST(datediff(CAST(:cutoff AS DATE), max(day) FILTER (WHERE early)) AS BIGINT) AS recency_days,
+    CAST(sum(n_orders) FILTER (WHERE early) AS BIGINT) AS frequency,
+    CAST(round(sum(spend) FILTER (WHERE early), 2) AS DOUBLE) AS monetary,
+    CAST(datediff(max(day) FILTER (WHERE early), min(day) FILTER (WHERE early)) AS BIGINT) AS customer_lifetime_days,
+    round(
+      try_divide(CAST(sum(gap) FILTER (WHERE early) AS DOUBLE), sum(n_rows) FILTER (WHERE early) - 1), 1
+    ) AS mean_gap,
+    -- NULL is a group, but as a key it matches nobody in the label window.
+    person IS NOT NULL AND bool_or(NOT early) AS returned
   FROM spaced
   GROUP BY person
-  HAVING sum(n_orders) >= :min_orders
-),
-returned AS (
-  SELECT DISTINCT c.customer_unique_id AS person
-  FROM (
-    SELECT DISTINCT customer_id FROM fulfilled
-    WHERE day >= CAST(:cutoff AS DATE)
-  ) f
-  JOIN {customers} c ON c.customer_id = f.customer_id
+  HAVING sum(n_orders) FILTER (WHERE early) >= :min_orders
 )
 SELECT
-  h.person AS customer_unique_id,
-  h.recency_days,
-  h.frequency,
-  h.monetary,
-  h.customer_lifetime_days,
-  coalesce(h.mean_gap, 0.0D) AS avg_days_between_orders,
-  if(r.person IS NULL, 1, 0) AS churn_label
-FROM habits h
-LEFT JOIN returned r ON r.person = h.person
+  person AS customer_unique_id,
+  recency_days,
+  frequency,
+  monetary,
+  customer_lifetime_days,
+  coalesce(mean_gap, 0.0D) AS avg_days_between_orders,
+  if(returned, 0, 1) AS churn_label
+FROM habits
 ORDER BY recency_days, customer_unique_id

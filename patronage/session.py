@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patronage.sources.files import file_system
+
 # Adaptive execution sizes the partitions after each shuffle, and splits the
 # oversized ones in joins. Day arithmetic must not depend on where the job runs.
 SETTINGS = {
@@ -87,9 +89,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     For a result that later steps read more than once. The table survives the
     loss of executors, and reading it back prunes columns and pushes filters
-    down, which a cached or checkpointed RDD would not.
+    down, which a cached or checkpointed RDD would not. It goes when the application ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    files, make = file_system(spark, path)
+    files.deleteOnExit(make(path))
     return spark.read.schema(df.schema).parquet(path)

@@ -67,6 +67,32 @@ def test_sweep_is_one_pass(plan):
     assert text.count("FileScan") == 4
 
 
+def test_sql_form_reads_the_orders_once(plan):
+    text = plan("rfm_sql_param")
+    assert sorted(hashed_on(text)) == [
+        "customer_id",  # orders of both windows, merged per customer_id and day
+        "customer_id",  # customers
+        "customer_id, day",
+        "customer_unique_id, day",
+        "order_id",  # orders of both windows
+        "order_id",  # distinct orders of the items
+        "order_id",  # sums of the payments
+        "order_id, payment_value",  # payments
+        "person",  # days of a person, for the window
+    ]
+    assert text.count("FileScan") == 4
+
+
+def test_gap_query_reads_each_input_once(spark, plan):
+    """Rows and openers share the shuffles they have in common when the plan runs."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df = queries()["order_gaps"](spark, FOLDER)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 4 and final.count("ReusedExchange") == 2
+    assert len(re.findall(r"[-:] Exchange hashpartitioning", final)) == 10
+
+
 def test_gap_window_runs_over_days(plan):
     text = plan("order_gaps")
     window = text.index("Window [lag")

@@ -1,5 +1,10 @@
 """Session settings, the shared folder and stored intermediate tables."""
 
+import subprocess
+import sys
+import time
+from pathlib import Path
+
 import pytest
 
 from patronage import session as S
@@ -62,3 +67,18 @@ def test_training_checkpoints_in_the_shared_folder():
     session = Session("yarn", "hdfs://shared")
     S.checkpoint_training(session)
     assert session.checkpoints == "hdfs://shared"
+
+
+def test_materialized_tables_go_with_their_application(tmp_path):
+    job = (
+        "import os; from patronage import session as S; "
+        "spark = S.build_session(**{'spark.master': 'local[1]', 'spark.ui.enabled': 'false', "
+        f"'spark.checkpoint.dir': '{tmp_path}'}}); "
+        "at = S.materialize(spark.range(3), 'numbers').inputFiles()[0]; print(os.path.exists(at.removeprefix('file://')))"
+    )
+    run = subprocess.run([sys.executable, "-c", job], cwd=Path(S.__file__).parents[1], capture_output=True, text=True)
+    assert run.stdout.strip().endswith("True"), run.stderr[-2000:]
+    end = time.time() + 60
+    while (left := [p for p in tmp_path.rglob("numbers-*") if p.exists()]) and time.time() < end:
+        time.sleep(0.5)
+    assert not left
