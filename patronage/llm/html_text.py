@@ -3,10 +3,17 @@
 A tokenizer feeds a tree builder, which closes what HTML leaves open (paragraphs, list
 items, rows and cells) and adds the rows and tables that cells imply. A walk over the
 tree leaves out what a browser would not show, and writes the rest: blocks apart from
-each other, list items with their marks, and table cells in aligned columns.
+each other, list items with their marks, and table cells in aligned columns. Cells that
+span columns or rows leave the places they cover blank; numbered lists follow their
+``start``, ``reversed`` and the ``value`` of an item; an element of hidden visibility shows
+those within it that are visible again.
 
 Defined results: null and empty pages give an empty text; broken markup is text or
-closed where HTML would close it; nesting of any depth is handled without recursion.
+closed where HTML would close it; nesting of any depth is handled without recursion. No
+visible text is cut, but what only aligns it has bounds, so that a page's text stays
+within a multiple of the page: at most GAP characters between two cells, INDENT before a
+list item, and columns only in TABLES tables within each other (in deeper ones the cells
+are blocks). Cells span at most COLUMNS columns, and cells beyond that column one row.
 """
 
 from __future__ import annotations
@@ -52,8 +59,15 @@ ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"?|'([^']*
 #: What an attribute text has to hold to be worth splitting.
 TELLING = re.compile("hidden|style|open", re.I)
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-SPAN = re.compile(r"\s*(\d{1,4})")
+SPAN = re.compile(r"\s*+\+?(\d{1,5})")
+INTEGER = re.compile(r"\s*+([+-]?\d{1,9})(?!\d)")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
+#: Bounds of what only aligns text.
+GAP = 200
+INDENT = 80
+TABLES = 8
+COLUMNS = 1000
+ROWS = 65534
 
 
 class Node:
@@ -151,8 +165,8 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def hiding(style: str) -> bool:
-    """Do the declarations of a style attribute hide the element?"""
+def declared(style: str) -> dict[str, str]:
+    """The values that count in a style attribute, by lower-case name."""
     last: dict[str, tuple[bool, str]] = {}
     for declaration in COMMENT.sub(" ", style).lower().split(";"):
         name, _, value = declaration.partition(":")
@@ -160,20 +174,31 @@ def hiding(style: str) -> bool:
         name = name.strip()
         if bool(mark) >= last.get(name, (False, ""))[0]:
             last[name] = bool(mark), value.strip()
-    return last.get("display", (0, ""))[1] == "none" or last.get("visibility", (0, ""))[1] in ("hidden", "collapse")
+    return {name: value for name, (_, value) in last.items()}
 
 
-def shown(node: Node) -> bool:
+def shown(node: Node) -> tuple[bool, bool | None]:
+    """Is the element laid out, and is its text visible (None: as around it)?"""
     if node.tag in UNSEEN:
-        return False
+        return False, None
     if not node.attributes or not TELLING.search(node.attributes):
-        return node.tag != "dialog"
+        return node.tag != "dialog", None
     found = attributes(node.attributes)
     if node.tag == "dialog" and "open" not in found:
-        return False
+        return False, None
     if node.tag == "input" and found.get("type", "").strip().lower() == "hidden":
-        return False
-    return "hidden" not in found and not hiding(found.get("style", ""))
+        return False, None
+    style = declared(found["style"]) if found.get("style") else {}
+    visible = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""))
+    return "hidden" not in found and style.get("display") != "none", visible
+
+
+def number(node: Node, name: str, form: re.Pattern, default: int) -> int:
+    """The number that an attribute begins with."""
+    if name not in node.attributes.lower():
+        return default
+    match = form.match(attributes(node.attributes).get(name, ""))
+    return int(match[1]) if match else default
 
 
 class Lines:
@@ -183,7 +208,8 @@ class Lines:
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.margin = 0
-        self.marks: list[list] = []  # mark of each open list item, and whether it was written
+        self.marks: list[str] = []  # of the open list items
+        self.written = self.indent = 0  # marks that were written, and their length
 
     def add(self, text: str, keep: bool) -> None:
         if keep:
@@ -211,37 +237,100 @@ class Lines:
         if self.lines and self.margin:
             self.lines.append("")
         self.margin = 0
-        lead = ""
-        for mark in self.marks:
-            lead += " " * len(mark[0]) if mark[1] else mark[0]
-            mark[1] = True
-        self.lines.append((lead + line).rstrip())
+        new = self.marks[self.written :]
+        self.lines.append((" " * min(self.indent, INDENT) + "".join(new) + line).rstrip())
+        self.written = len(self.marks)
+        self.indent += sum(map(len, new))
+
+    def close_mark(self) -> None:
+        mark = self.marks.pop()
+        if self.written > len(self.marks):
+            self.written -= 1
+            self.indent -= len(mark)
 
 
-def _aligned(rows: list[list[list[str]]]) -> Iterator[str]:
-    columns = max((len(row) for row in rows), default=0)
-    widths = [max((len(line) for row in rows if k < len(row) for line in row[k]), default=0) for k in range(columns)]
-    for row in rows:
-        for i in range(max((len(cell) for cell in row), default=0)):
-            cells = [cell[i] if i < len(cell) else "" for cell in row]
-            yield " | ".join(cell.ljust(width) for cell, width in zip(cells, widths, strict=False)).rstrip()
+class Grid:
+    """Cells of a table at their columns."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.sizes: list[int] = []  # columns of each row
+        self.down: list[tuple[int, int, int]] = []  # columns that cells of earlier rows cover (first, end), and up to which row
+        self.new: list[tuple[int, int, int]] = []
+        self.passed = 0  # those that the row has passed
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.sizes.append(0)
+        at = len(self.rows) - 1
+        covered: list[tuple[int, int, int]] = []
+        for first, end, until in sorted(x for x in self.down + self.new if x[2] > at):
+            if covered and covered[-1][1:] == (first, until):
+                first = covered.pop()[0]
+            covered.append((first, end, until))
+        self.down, self.new, self.passed = covered, [], 0
+
+    def cell(self, lines: list[str], columns: int, rows: int) -> None:
+        if not self.rows:
+            self.row()
+        at = self.sizes[-1]
+        while self.passed < len(self.down) and self.down[self.passed][0] <= at:
+            at = max(at, self.down[self.passed][1])
+            self.passed += 1
+        self.rows[-1].append((at, lines))
+        self.sizes[-1] = at + columns
+        if rows > 1 and at < COLUMNS:
+            self.new.append((at, min(at + columns, COLUMNS), len(self.rows) - 1 + rows))
+
+    def lines(self) -> Iterator[str]:
+        widths: dict[int, int] = {}
+        for row in self.rows:
+            for column, lines in row:
+                widths[column] = max(widths.get(column, 0), *map(len, lines), 0)
+        for row, size in zip(self.rows, self.sizes, strict=True):
+            left = row
+            for i in range(max((len(lines) for _, lines in row), default=0)):
+                left = [cell for cell in left if len(cell[1]) > i]
+                parts, column, used = [], 0, 0
+                for at, lines in left:
+                    if lines[i]:
+                        parts += [self._gap(widths, column, used, at), lines[i]]
+                        column, used = at, len(lines[i])
+                parts.append(self._gap(widths, column, used, size - 1))
+                yield "".join(parts).rstrip()
+
+    @staticmethod
+    def _gap(widths: dict[int, int], column: int, used: int, to: int) -> str:
+        """What lies between the text of a cell and the start of a later column."""
+        if to <= column:
+            return ""
+        out = " " * min(widths.get(column, 0) - used, GAP)
+        for k in range(column + 1, to):
+            if len(out) >= GAP:
+                break
+            out += " | " + " " * min(widths.get(k, 0), GAP)
+        return out[: GAP - 3] + " | "
 
 
 def render(root: Node) -> str:
     flows = [Lines()]
-    tables: list[list[list[list[str]]]] = []
-    lists: list[list] = []  # is it numbered, and the next number
+    tables: list[Grid] = []
+    deep = 0  # tables beyond TABLES
+    lists: list[list] = []  # is it numbered, the next number, and the step
+    visible = [True]
     kept = 0
     work: list[tuple[object, bool]] = [(root, False)]
     while work:
         node, leaving = work.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.add(node, kept > 0)
+            if visible[-1]:
+                flow.add(node, kept > 0)
             continue
         tag = node.tag
         if not leaving:
-            if not shown(node):
+            laid_out, own = shown(node)
+            if not laid_out:
                 continue
             if tag == "br":
                 flow.end(keep=bool(flow.parts) and kept > 0)
@@ -249,39 +338,50 @@ def render(root: Node) -> str:
             if tag in BLOCKS and tag != "table":
                 flow.end(int(tag in SPACED and not (flow.marks and tag in ("ul", "ol", "p"))))
             if tag == "li":
-                numbered = lists[-1] if lists else [False, 1]
-                flow.marks.append([f"{numbered[1]}. " if numbered[0] else "- ", False])
-                numbered[1] += 1
-            elif tag in ("ul", "ol", "menu", "dir"):
-                lists.append([tag == "ol", 1])
+                numbered = lists[-1] if lists else [False, 1, 1]
+                if numbered[0]:
+                    numbered[1] = number(node, "value", INTEGER, numbered[1])
+                flow.marks.append(f"{numbered[1]}. " if numbered[0] else "- ")
+                numbered[1] += numbered[2]
+            elif tag == "ol":
+                step = -1 if "reversed" in node.attributes.lower() and "reversed" in attributes(node.attributes) else 1
+                first = 1 if step == 1 else sum(isinstance(x, Node) and x.tag == "li" for x in node.children)
+                lists.append([True, number(node, "start", INTEGER, first), step])
+            elif tag in ("ul", "menu", "dir"):
+                lists.append([False, 1, 1])
             elif tag in KEPT:
                 kept += 1
             elif tag == "table":
                 flow.end(1)
-                tables.append([])
+                if deep or len(tables) == TABLES:
+                    deep += 1
+                else:
+                    tables.append(Grid())
+            elif tag in ("tr", "td", "th", "caption") and (deep or tag == "caption"):
+                flow.end()
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].row()
             elif tag in ("td", "th") and tables:
                 flows.append(Lines())
-            elif tag == "caption":
-                flow.end()
+            visible.append(visible[-1] if own is None else own)
             work.append((node, True))
             closed = tag == "details" and "open" not in attributes(node.attributes)
             for child in reversed(node.children):
                 if not closed or (isinstance(child, Node) and child.tag == "summary"):
                     work.append((child, False))
             continue
-        if tag in ("td", "th") and tables:
+        visible.pop()
+        if deep and tag in ("table", "tr", "td", "th"):
+            flow.end(int(tag == "table"))
+            deep -= tag == "table"
+        elif tag in ("td", "th") and tables:
             flow.end(keep=False)
             flows.pop()
-            if not tables[-1]:
-                tables[-1].append([])
-            span = SPAN.match(attributes(node.attributes).get("colspan", "")) if node.attributes else None
-            tables[-1][-1].append(flow.lines)
-            tables[-1][-1].extend([[]] * (min(max(int(span[1]), 1), 1000) - 1 if span else 0))
+            rows = number(node, "rowspan", SPAN, 1)
+            tables[-1].cell(flow.lines, min(max(number(node, "colspan", SPAN, 1), 1), COLUMNS), min(rows, ROWS) or ROWS)
         elif tag == "table":
             flow.end()
-            for line in _aligned([row for row in tables.pop() if row]):
+            for line in tables.pop().lines():
                 flow.put(line)
             flow.end(1)
         elif tag == "caption":
@@ -289,7 +389,7 @@ def render(root: Node) -> str:
         elif tag in BLOCKS:
             flow.end(int(tag in SPACED and not (flow.marks and tag in ("ul", "ol", "p"))), keep=kept > 0 and bool(flow.parts))
             if tag == "li":
-                flow.marks.pop()
+                flow.close_mark()
             elif tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
             elif tag in KEPT:

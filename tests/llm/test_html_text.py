@@ -53,6 +53,48 @@ def test_hiding_attributes(page):
     assert visible_text(page) == HIDDEN[page]
 
 
+LAID_OUT = {
+    "<table><tr><td rowspan=2>A<td>b<tr><td>c</table>": "A | b\n  | c",
+    "<table><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d<td>e</table>": "A | b\n  | c\n  | d | e",
+    "<table><tr><td>a<td rowspan=2 colspan=2>B<td>c<tr><td>d<td>e<tr><td>f<td>g</table>": "a | B |  | c\nd |   |  | e\nf | g",  # the third column has no cell of its own and so no width
+    "<table><tr><td rowspan=3>A<td>b</tr><tr></tr><tr><td>c</table>": "A | b\n  | c",
+    "<table><tr><td>a<br>b<td>c<tr><td>dd<td>e<br>f</table>": "a  | c\nb  |\ndd | e\n   | f",
+    "<ol start=5><li>a<li>b<li value=9>c<li>d</ol>": "5. a\n6. b\n9. c\n10. d",
+    "<ol reversed><li>a<li>b</ol><ol reversed start=9><li>c<li>d</ol><ol start=x><li value=-2>e</ol>": "2. a\n1. b\n\n9. c\n8. d\n\n-2. e",
+    "a<div style='visibility:hidden'>no<b style='visibility:visible'>yes<i style='visibility:collapse'>no</i></b></div>b": "a\nyes\nb",
+    "<div style='display:none'>no<b style='visibility:visible'>no</b></div>b": "b",
+    "<table><tr><td style='visibility:hidden'>no<td>b<tr><td>long<td>c</table>": "     | b\nlong | c",
+    "<ol><li style='visibility:hidden'>no<li>two</ol>": "2. two",
+}
+
+
+@pytest.mark.parametrize("page", LAID_OUT)
+def test_spans_numbers_and_visibility(page):
+    # A page's text has no blanks around lines but those that align cells.
+    assert visible_text(page) == LAID_OUT[page]
+
+
+HOSTILE = {
+    "a wide cell above many rows": "<table><tr><td>" + "w" * 50_000 + "<td>x" + "<tr><td>a<td>b" * 1000 + "</table>",
+    "many wide spans": "<table>" + "<tr><td colspan=1000>a<td>b" * 300 + "</table>",
+    "spans down": "<table><tr>" + "<td rowspan=9999>a" * 1500 + "<tr><td>b" * 6000 + "</table>",
+    "uneven spans down": "<table><tr>" + "".join(f"<td rowspan={9000 - k}>a" for k in range(900)) + "<tr><td>b" * 3000 + "</table>",
+    "a tall cell in a wide row": "<table><tr><td>" + "x<br>" * 3000 + "<td>y" * 3000 + "</table>",
+    "lists within lists": "<ul><li>x" * 4000,
+    "tables within tables": "<table><tr><td>a<td>b<br>" * 1500,
+    "tables in lists": "<ul><li>a<table><tr><td>b<td>c<br>" * 1000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_text_is_bounded_by_the_page(kind):
+    page = HOSTILE[kind]
+    text = visible_text(page)
+    assert len(text) <= 40 * len(page)
+    plain = lambda x: sorted(re.sub(r"[\s|-]+", "", x))
+    assert plain(text) == plain(re.sub(r"<[^>]*>", " ", page))
+
+
 def test_deep_and_broken_pages():
     assert visible_text("<div>" * 20_000 + "x") == "x"
     assert visible_text("<p>" * 20_000 + "x") == "x"
