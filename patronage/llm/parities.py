@@ -33,14 +33,21 @@ class Parities:
 
     def __init__(self, n: np.ndarray, bits: pa.Array):
         self.n = n
-        self.rows = [np.frombuffer(value, np.uint8) for value in bits.to_pylist()]
-        self.length = np.array([len(row) for row in self.rows])
+        rows = bits.to_pylist()
+        self.length = np.array([len(row) for row in rows], np.int64)
+        self.place = np.zeros(len(rows), np.int64)  # of a set among those of its length
+        self.rows = {}
+        for length in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == length)
+            self.place[at] = np.arange(len(at))
+            self.rows[length] = np.frombuffer(b"".join(rows[k] for k in at.tolist()), np.uint8).reshape(len(at), length)
 
     def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
         """Whether the bits allow a similarity of 0.8: such sets share 4 / 9 of their sizes' sum or more."""
         out = np.zeros(len(others), bool)
-        for length in np.unique(self.length[others]):
+        own = self.rows[int(self.length[i])][self.place[i]]
+        for length in np.unique(self.length[others]).tolist():
             at = np.flatnonzero(self.length[others] == length)
             both = self.n[i] + self.n[others[at]]
-            out[at] = differences(self.rows[i], np.stack([self.rows[k] for k in others[at]])) <= both - 2 * -(-4 * both // 9)
+            out[at] = differences(own, self.rows[length][self.place[others[at]]]) <= both - 2 * -(-4 * both // 9)
         return out
