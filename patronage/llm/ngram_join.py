@@ -46,8 +46,8 @@ LEVELS = 4
 VERIFY_COST = 0.05
 #: Pairs of two numbers that are sent to all executors at most, 24 MB.
 BROADCAST_PAIRS = 1_000_000
-#: Cells of open buckets, as a multiple of the usual ones: their rows hold little more than parity bits.
-CELL_TIMES = 4
+#: Least logarithm of the parity bits of a set.
+LEAST_CELLS = 9
 
 
 def needed(n):
@@ -334,7 +334,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     first = components(links)
 
     left = matched.select(F.col("token").alias("key"), F.col("rep").alias("node"))
-    groups = groups_of(materialize(open_rows(left, first, CELL_TIMES), "open"))
+    groups = groups_of(materialize(open_rows(left, first), "open"))
     pairs = (
         _shared_enough(materialize(_cross_pairs(groups, summaries), "met"), summaries)
         .join(stars, ["a", "b"], "left_anti")
