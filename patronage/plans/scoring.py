@@ -22,10 +22,16 @@ def score_customer(
     model: PipelineModel, store: DataFrame, customer_id, version: int | str
 ) -> DataFrame:
     """One row for one customer. An unknown id raises ``LookupError``."""
-    row = lookup_customer(store, customer_id)
-    if row.isEmpty():
+    if lookup_customer(store, customer_id).isEmpty():
         raise LookupError(f"customer {customer_id!r} is not in the feature store")
-    return score_store(model, row).select(
+    return score_if_known(model, store, customer_id, version)
+
+
+def score_if_known(
+    model: PipelineModel, store: DataFrame, customer_id, version: int | str
+) -> DataFrame:
+    """The row of ``score_customer``, or no row for an unknown id."""
+    return score_store(model, lookup_customer(store, customer_id)).select(
         F.col(CUSTOMER_KEY).alias("customer_id"),
         *SCORES,
         F.lit(str(version)).alias("model_version"),

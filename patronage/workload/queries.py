@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Trees of the model that the scoring queries use.
 ROUNDS = training.N_ESTIMATORS
-# A repeat customer at every scale factor.
+# A repeat customer at every scale factor as generated; tables with other keys may lack it.
 LOOKED_UP = "4"
 SWEEP_DAYS = (30, 60, 90, 120, 180, 270, 365)
 
@@ -376,9 +376,10 @@ def store_status(spark, folder):
 
 
 def score_customer(spark, folder):
+    """One customer scored; like ``lookup_customer``, no row if the store does not have the id."""
     model, version = _model(spark, folder)
     return _numbered(
-        scoring.score_customer(model, _text_store(spark, folder), LOOKED_UP, version), "customer_id"
+        scoring.score_if_known(model, _text_store(spark, folder), LOOKED_UP, version), "customer_id"
     )
 
 
