@@ -464,11 +464,11 @@ def score_stream_judged(spark, folder):
 
 
 def score_customer_judged(spark, folder):
-    """One customer scored with its event, and an id that the store does not have."""
+    """One customer scored with its event, if the store has it, and an id that the store does not have."""
     model, version = _model(spark, folder)
     store = _text_store(spark, folder)
     asked = spark.createDataFrame([(LOOKED_UP,)], "customer_id string")
-    one = scoring.score_customer(model, store, LOOKED_UP, version)
+    one = scoring.score_if_known(model, store, LOOKED_UP, version)
     event = F.from_json("event_json", "event string, customer_id string, churn_probability double, churn_prediction int, model_version string")
     said = scoring.score_events(one).select(event.alias("e")).select("e.*")
     chance = F.col("churn_probability")
