@@ -38,28 +38,35 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def block_sums(lines: DataFrame) -> DataFrame:
+    """file, block, n_odd (its odd lines) and first (its first line that is not blank).
+
+    Numbers only: for an aggregate of text Spark would sort all lines instead of hashing a row per block."""
+    filled = F.when(F.trim("value") != "", F.col("at"))
+    return lines.groupBy("file", "block").agg(F.sum("odd").alias("n_odd"), F.min(filled).alias("first"))
+
+
 def quote_blocks(lines: DataFrame) -> DataFrame:
     """A stored row per block: its odd lines, those before it in the file, and the file's header line.
 
     A file with an odd number of odd lines raises: one of its quoted fields has no end."""
-    filled = F.when(F.trim("value") != "", F.col("at"))
-    found = lines.groupBy("file", "block").agg(F.min("path").alias("path"), F.sum("odd").alias("n_odd"), F.min(filled).alias("first"))
+    found = block_sums(lines)
     of_file = Window.partitionBy("file")
     earlier = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     header = F.min(F.when(F.col("first").isNotNull(), F.struct("block", "first"))).over(of_file)
     blocks = found.select(
         "file",
         "block",
-        "path",
         "n_odd",
         F.coalesce(F.sum("n_odd").over(earlier), F.lit(0)).alias("before"),
         header["first"].alias("header"),
     )
     blocks = materialize(blocks, "csv-blocks")
-    open_ = blocks.groupBy("file").agg(F.min("path").alias("path"), F.sum("n_odd").alias("n")).where("n % 2 = 1").head(1)
+    open_ = blocks.groupBy("file").agg(F.sum("n_odd").alias("n")).where("n % 2 = 1").head(1)
     if open_:
-        raise ValueError(f"MALFORMED_RECORD: {open_[0]['path']} ends within a quoted field")
-    return blocks.drop("path")
+        path = lines.where(F.col("file") == open_[0]["file"]).select("path").first()["path"]
+        raise ValueError(f"MALFORMED_RECORD: {path} ends within a quoted field")
+    return blocks
 
 
 def records(lines: DataFrame, blocks: DataFrame) -> DataFrame:

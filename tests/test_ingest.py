@@ -114,6 +114,22 @@ def test_only_blocks_with_open_quotes_move(spark, tmp_path):
     assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
+def test_counting_quotes_sorts_no_lines(spark, tmp_path):
+    """The scan of a block keeps one row in memory, however long the block is."""
+    (tmp_path / "lines.csv").write_text('a,b\n\n"x\ny",1\n')
+    sums = csv_records.block_sums(numbered_lines(spark, str(tmp_path / "lines.csv")))
+    assert "Sort" not in sums._jdf.queryExecution().executedPlan().toString()
+    assert [(r["n_odd"], r["first"]) for r in sums.collect()] == [(2, 0)]
+
+
+def test_an_open_field_names_its_file(spark, tmp_path):
+    (tmp_path / "open").mkdir()
+    (tmp_path / "open" / "good.csv").write_text('a,b\n"x\ny",1\n')
+    (tmp_path / "open" / "bad.csv").write_text('a,b\n"x,1\n')
+    with pytest.raises(ValueError, match="MALFORMED_RECORD: .*bad.csv ends within a quoted field"):
+        quote_blocks(numbered_lines(spark, str(tmp_path / "open")))
+
+
 def test_blocks_may_be_too_many_to_send(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(csv_records, "SENT_BLOCKS", 0)
     rows = read(spark, tmp_path, "customers", 'c1,u1,1,"a\n\nb",SP', SAMPLES["customers"]).collect()
