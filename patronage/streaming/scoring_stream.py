@@ -23,6 +23,13 @@ def request_stream(
     return reader.parquet(folder)
 
 
+def files_for_batches(spark: SparkSession, folder: str, n_batches: int) -> int:
+    """How many files a trigger takes so that those of ``folder`` make at most ``n_batches`` micro-batches.
+
+    Each micro-batch reads the stored scores once, whatever the number of its requests."""
+    return max(1, -(-len(spark.read.parquet(folder).inputFiles()) // n_batches))
+
+
 def stored_scores(
     model: PipelineModel, store: DataFrame, path: str, n_buckets: int | None = None
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from patronage.session import new_path
 from patronage.sources.csv_tables import load_all, load_table
 from patronage.sources.parquet_tables import open_store, read_table, row_counts
 from patronage.sources.star_tables import FULFILLED, keyed_tables, star_tables
-from patronage.streaming.scoring_stream import request_stream, score_stream, stored_scores
+from patronage.streaming.scoring_stream import files_for_batches, request_stream, score_stream, stored_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 ROUNDS = training.N_ESTIMATORS
 # A repeat customer at every scale factor as generated; tables with other keys may lack it.
 LOOKED_UP = "4"
+# Micro-batches of the streaming query at most, however many files its requests come in.
+STREAM_BATCHES = 3
 SWEEP_DAYS = (30, 60, 90, 120, 180, 270, 365)
 
 
@@ -429,12 +431,13 @@ def scoring_events(spark, folder):
 
 
 def score_stream_available(spark, folder):
-    """The requests as files, scored by a stream that ends when all are read."""
+    """The requests as files, scored by a stream that ends when all are read, in a few micro-batches of whole files."""
     model, _ = _model(spark, folder)
     inbox, outbox, state, at = (new_path(spark, n) for n in ("inbox", "outbox", "stream-state", "scores"))
     requests = _text_requests(spark, folder)
     requests.write.parquet(inbox)
-    arriving = request_stream(spark, inbox, requests.schema, files_per_trigger=1)
+    at_once = files_for_batches(spark, inbox, STREAM_BATCHES)
+    arriving = request_stream(spark, inbox, requests.schema, files_per_trigger=at_once)
     scores = stored_scores(model, _text_store(spark, folder), at)
     score_stream(scores, arriving, outbox, state).awaitTermination()
     columns = ["pos", "customer_id", *scoring.SCORES, "found"]
