@@ -9,9 +9,10 @@ texts' shingles in 2**SKETCH_BITS cells (a fixed size; it only orders and estima
 
 Large groups are not paired out. First every class is verified against one of the
 most central classes that its prefix shingles lead to; only shingles that then still
-connect different components matter further. There the classes outside the largest component
+connect different components matter further, and of their rows those that by sizes and places in the
+prefixes may be the first shingle that a similar pair shares. There the classes outside the largest component
 meet the others in cells of bounded size (``open_buckets``), which bring their
-parity bits, a 32nd of a set's size: these rule out pairs that differ too much before any row
+parity bits, a 64th of a set's size or up to twice that: these rule out pairs that differ too much before any row
 is made of a pair. What is left has to share as many prefix shingles as the smaller l, and is
 verified. So nothing is lost, and a group of n similar texts costs about n verifications.
 
@@ -48,6 +49,8 @@ VERIFY_COST = 0.05
 BROADCAST_PAIRS = 1_000_000
 #: Least logarithm of the parity bits of a set.
 LEAST_CELLS = 9
+#: Rows of a bucket that are compared with each other before any brings parity bits.
+SMALL_BUCKET = 64
 
 
 def needed(n):
@@ -114,7 +117,7 @@ def _prefix(tokens: np.ndarray, counts: np.ndarray, load: float) -> tuple[np.nda
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """A row per prefix shingle of each class that a task meets."""
+    """A row per prefix shingle of each class that a task meets; ``pos`` counts from 0."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,19 +130,17 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if not len(tokens) or name in seen:
                     continue
                 seen.add(name)  # 16 bytes and a little for each text of the task
-                chosen, level, centre = _prefix(tokens, counts[tokens >> np.uint64(64 - SKETCH_BITS)], load)
-                extra = len(tokens) - needed(len(tokens)) + 1
-                at = np.maximum(np.arange(len(chosen)) - extra + 2, 1).astype(np.int8)
-                rows.append((chosen.view(np.int64), at, len(chosen), *name, level, centre))
+                chosen, _, centre = _prefix(tokens, counts[tokens >> np.uint64(64 - SKETCH_BITS)], load)
+                rows.append((chosen.view(np.int64), np.arange(len(chosen), dtype=np.int32), *name, centre))
             if rows:
-                sizes = np.array([row[2] for row in rows])
-                own = [np.repeat(np.array([row[k] for row in rows]), sizes) for k in range(3, 7)]
+                sizes = np.array([len(row[0]) for row in rows])
+                own = [np.repeat(np.array([row[k] for row in rows]), sizes) for k in range(2, 5)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([row[0] for row in rows])), pa.array(np.concatenate([row[1] for row in rows])),
-                     pa.array(own[0]), pa.array(own[1].astype(np.int32)), pa.array(own[2].astype(np.int8)), pa.array(own[3].astype(np.int32))],
-                    ["token", "at", "class", "n", "level", "centre"])
+                     pa.array(own[0]), pa.array(own[1].astype(np.int32)), pa.array(own[2].astype(np.int32))],
+                    ["token", "pos", "class", "n", "centre"])
 
-    return docs.mapInArrow(tidy(run), "token long, at byte, class long, n int, level byte, centre int")
+    return docs.mapInArrow(tidy(run), "token long, pos int, class long, n int, centre int")
 
 
 def _set_rows(docs: DataFrame, wanted: DataFrame, made: Callable[[list[np.ndarray]], dict[str, pa.Array]], fields: str) -> DataFrame:
@@ -173,7 +174,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _summaries(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray) -> DataFrame:
     """Of the wanted representatives' sets: size, parity bits (a bit for each cell that an odd
-    number of shingles falls into, with two cells or more per shingle), prefix, and level."""
+    number of shingles falls into, with one or two cells per shingle), prefix, and level."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 MB
 
     def made(sets: list[np.ndarray]) -> dict[str, pa.Array]:
@@ -182,7 +183,7 @@ def _summaries(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray) -> DataFr
         chosen = [_prefix(x, counts[x >> np.uint64(64 - SKETCH_BITS)], load) if len(x) else (x, 1, 0) for x in sets]
         return {
             "size": pa.array([len(x) for x in sets], pa.int64()),
-            "bits": pa.array([parity_bits(x) for x in sets], pa.binary()),
+            "bits": pa.array([folded(parity_bits(x)) for x in sets], pa.binary()),
             "prefix": pa.array([prefix.tobytes() for prefix, _, _ in chosen], pa.binary()),
             "level": pa.array([level for _, level, _ in chosen], pa.int64()),
         }
@@ -190,6 +191,15 @@ def _summaries(docs: DataFrame, wanted: DataFrame, sketch: np.ndarray) -> DataFr
     return _set_rows(docs, wanted, made, "size long, bits binary, prefix binary, level long")
 
 
+def folded(bits: bytes) -> bytes:
+    """Parity bits in half as many cells, but not fewer than 2**LEAST_CELLS."""
+    half = len(bits) // 2
+    if 8 * half < 1 << LEAST_CELLS:
+        return bits
+    x = np.frombuffer(bits, np.uint8)
+    return (x[:half] ^ x[half:]).tobytes()
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """A number of shingles in which two sets differ at least, from their parity bits.
 
@@ -232,11 +242,35 @@ def _shared_enough(pairs: DataFrame, summaries: DataFrame) -> DataFrame:
                 keep.append(len(np.intersect1d(x[: len(x) - level_x + level], y[: len(y) - level_y + level])) >= level)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = [summaries.select("rep", "prefix", "level").toDF(c, f"prefix_{c}", f"level_{c}") for c in "ab"]
+    # Few nodes are left in pairs; prefixes of others need not move.
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    prefixes = summaries.select("rep", "prefix", "level").join(wanted, "rep", "left_semi")
+    sides = [prefixes.toDF(c, f"prefix_{c}", f"level_{c}") for c in "ab"]
     kind = pairs.schema["a"].dataType.simpleString()
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(tidy(run), f"a {kind}, b {kind}").distinct()
 
 
+def _may_be_first(rows: DataFrame) -> DataFrame:
+    """Open rows without those whose shingle is not the first that their set shares with a similar one.
+
+    From its first shared shingle on, a set holds all that the two share, 4 / 9 of their sizes' sum or
+    more: ``rest`` shingles, that one included. So a row needs a row of another component for which
+    both rests suffice; a similar pair has such rows at its first shared shingle. Rows are
+    compared where a bucket has up to SMALL_BUCKET; those of larger ones all stay."""
+    large = F.col("bucket") > SMALL_BUCKET
+    part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("bucket") / SMALL_BUCKET))).otherwise(0)
+    listed = rows.groupBy("key", "largest", "n_x", "n_y", "bucket", part.alias("part")).agg(
+        F.collect_list(F.struct("node", "component", "n", "rest")).alias("rows")
+    )
+
+    def meets(x, y):
+        return (x["component"] != y["component"]) & (F.least(x["rest"], y["rest"]) * 9 >= (x["n"] + y["n"]) * 4)
+
+    near = F.filter("rows", lambda x: F.exists("rows", lambda y: meets(x, y)))
+    kept = listed.select("key", "largest", "n_x", "n_y", F.inline(F.when(large, F.col("rows")).otherwise(near)))
+    return kept.select("key", "node", "component", "largest", "n_x", "n_y")
+
+
 def _cross_pairs(groups: DataFrame, summaries: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes of different components that meet in a group and may be similar."""
 
@@ -311,9 +345,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     sketch = _sketch(described)
     rows = _prefixes(docs, sketch).filter("token IS NOT NULL AND class IS NOT NULL AND n IS NOT NULL")
     rows = rows.repartition("token")
-    rest = ("n", "at", "level", "centre")
+    rest = ("n", "pos", "centre")
     shared = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), *(F.min(c).alias(c) for c in rest))
-    shared = shared.filter("low <> high AND least(n, at, level, centre) >= 0").select("token")
+    shared = shared.filter("low <> high AND least(n, pos, centre) >= 0").select("token")
     matched = rows.join(shared, "token").distinct().join(classes.dropna(subset=["rep"]), ["class", "n"])
     matched = materialize(matched.drop("class"), "matched")
 
@@ -333,8 +367,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     links = materialize(_verified(materialize(_possible(stars, summaries), "possible"), docs), "links")
     first = components(links)
 
-    left = matched.select(F.col("token").alias("key"), F.col("rep").alias("node"))
-    groups = groups_of(materialize(open_rows(left, first), "open"))
+    left = matched.select(F.col("token").alias("key"), F.col("rep").alias("node"), "n", (F.col("n") - F.col("pos")).alias("rest"))
+    groups = groups_of(materialize(_may_be_first(open_rows(left, first, sized=True)), "open"))
     pairs = (
         _shared_enough(materialize(_cross_pairs(groups, summaries), "met"), summaries)
         .join(stars, ["a", "b"], "left_anti")

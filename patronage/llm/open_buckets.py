@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 CELL = 1024
 
 
-def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, node) of buckets that hold several components, with their component.
+def open_rows(rows: DataFrame, labels: DataFrame, sized: bool = False) -> DataFrame:
+    """Rows (key, node, and what else they hold) of buckets that hold several components, with their component.
 
     ``largest`` is the bucket's largest component. With u of its s nodes outside of that,
-    ``n_x`` = u / CELL and ``n_y`` = s / CELL, rounded up."""
+    ``n_x`` = u / CELL and ``n_y`` = s / CELL, rounded up. ``sized`` adds s as ``bucket``."""
     labelled = rows.join(labels.withColumnRenamed("id", "node"), "node", "left")
-    labelled = labelled.select("key", "node", F.coalesce("component", "node").alias("component"))
+    labelled = labelled.select(*rows.columns, F.coalesce("component", "node").alias("component"))
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     buckets = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size")).filter("size > most.n")
     cells = [F.ceil(n / CELL).cast("long").alias(name) for n, name in ((F.col("size") - F.col("most.n"), "n_x"), (F.col("size"), "n_y"))]
-    return labelled.join(buckets.select("key", F.col("most.component").alias("largest"), *cells), "key")
+    size = [F.col("size").alias("bucket")] if sized else []
+    return labelled.join(buckets.select("key", F.col("most.component").alias("largest"), *cells, *size), "key")
 
 
 def groups_of(rows: DataFrame) -> DataFrame:

@@ -146,3 +146,45 @@ def test_parity_bits_never_claim_too_much():
             odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
             bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
         assert 0 < ngram_join.least_difference(*bits) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_only_rows_that_may_be_first_bring_bits(spark, monkeypatch):
+    """Texts of sizes too far apart share a passage, and so shingles of their prefixes: their rows go before the groups."""
+    parts = [" ".join(f"p{n}x{k}" for k in range(n)) for n in (100, 200)]
+    rows = [(1, parts[0]), (2, parts[1]), (3, " ".join(parts))]
+    seen = []
+    real = ngram_join._cross_pairs
+
+    def watched(groups, summaries):
+        seen.append(groups.count())
+        return real(groups, summaries)
+
+    monkeypatch.setattr(ngram_join, "_cross_pairs", watched)
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == brute(rows)
+    assert seen == [0]
+
+
+@pytest.mark.parametrize("small", [1, 64])
+def test_rows_of_buckets_of_any_size(spark, small, monkeypatch):
+    """In small and large buckets a row stays if it may be the first shared shingle of a similar pair."""
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
+    rows = [(1, a, 100, 95) for a in range(3)] + [(2, 0, 100, 95), (2, 1, 100, 85)] + [(3, 0, 100, 100), (3, 1, 130, 130)]
+    left = spark.createDataFrame(rows, "key long, node long, n int, rest int")
+    labels = spark.createDataFrame([(2, 1)], "id long, component long")
+    open_rows = ngram_join.open_rows(left, labels, sized=True)
+    kept = {(r.key, r.node) for r in ngram_join._may_be_first(open_rows).collect()}
+    assert kept == ({(1, 0), (1, 1), (1, 2)} if small == 64 else {row[:2] for row in rows})
+
+
+def test_folded_bits_never_claim_too_much():
+    import numpy as np
+
+    from patronage.llm.parities import parity_bits
+
+    pool = np.random.default_rng(3).integers(0, 2**63, 1100, dtype=np.uint64)
+    for n in (3, 256, 257, 1000):
+        x, y = pool[:n], pool[n // 10 : n + n // 10]
+        whole, half = ([f(parity_bits(v)) for v in (x, y)] for f in (lambda v: v, ngram_join.folded))
+        assert len(half[0]) == max(len(whole[0]) // 2, (1 << ngram_join.LEAST_CELLS) // 8)
+        assert ngram_join.least_difference(*half) <= ngram_join.least_difference(*whole) <= len(np.setxor1d(x, y))
