@@ -15,7 +15,7 @@ from patronage.operators.metrics import auc, precision_recall
 from patronage.operators.split import SEED, TEST, TRAIN, add_weight, class_ratio, split_data
 from patronage.plans.registry import log_run, register_model
 from patronage.schemas import CUSTOMER_KEY, MODEL_COLUMNS, TARGET
-from patronage.session import checkpoint_training, materialize
+from patronage.session import checkpoint_training, checkpointed, materialize
 from patronage.sources.parquet_tables import read_table
 
 # The hyperparameters the results refer to.
@@ -75,7 +75,8 @@ def fit(
 ) -> PipelineModel:
     checkpoint_training(train_rows.sparkSession)
     rows = fixed_layout(add_weight(train_rows, ratio), n_partitions)
-    return build_model(n_estimators, seed).fit(rows)
+    with checkpointed(rows.select(*MODEL_COLUMNS, TARGET, "weight")) as stored:
+        return build_model(n_estimators, seed).fit(stored)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

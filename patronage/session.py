@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +81,23 @@ def checkpoint_training(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
+@contextmanager
+def checkpointed(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` computed once, in its partitions and their order, without the plan that led to it.
+
+    For rows that iterative training reads in many short jobs: every task of these is sent the
+    lineage of its rows. The files lie in the checkpoint folder of the context, so they survive the
+    loss of executors, and go at the end of the block.
+    """
+    stored = df.checkpoint()
+    path = stored._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    try:
+        yield stored
+    finally:
+        files, make = file_system(df.sparkSession, path)
+        files.delete(make(path), True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/patronage/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -196,6 +197,38 @@ def test_trainings_at_once_get_versions_of_their_own(spark, trained, tmp_path):
     assert registry.load_latest(spark, where)[1] == 5
 
 
+def test_training_reads_rows_that_are_laid_out_once(spark, monkeypatch):
+    """The trees are given stored rows, in the layout that their sampling follows; these go with the training."""
+    df, seen = training_rows(spark, 100), {}
+
+    class Spy:
+        def fit(self, rows):
+            seen["plan"] = rows._jdf.queryExecution().executedPlan().toString()
+            seen["rows"] = rows.rdd.glom().collect()
+            seen["files"] = {Path(f) for f in Path(folder).rglob("rdd-*") if f not in before}
+            return "model"
+
+    training.checkpoint_training(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(Path(folder).rglob("rdd-*"))
+    monkeypatch.setattr(training, "build_model", lambda *_: Spy())
+    assert training.fit(df, 0.7) == "model"
+    assert "Exchange" not in seen["plan"] and "Sort" not in seen["plan"]
+    laid_out = training.fixed_layout(split.add_weight(df, 0.7), training.PARTITIONS)
+    assert seen["rows"] == laid_out.select(*MODEL_COLUMNS, "churn_label", "weight").rdd.glom().collect()
+    assert seen["files"] and not any(f.exists() for f in seen["files"])
+
+
+def test_stored_rows_give_the_trees_of_the_plan(spark):
+    df = training_rows(spark, 300)
+    lazy = training.build_model(4).fit(training.fixed_layout(split.add_weight(df, 0.7), training.PARTITIONS))
+    probabilities = [
+        [r["churn_probability"] for r in training.predict(model, df).orderBy("customer_unique_id").collect()]
+        for model in (lazy, training.fit(df, 0.7, n_estimators=4))
+    ]
+    assert probabilities[0] == pytest.approx(probabilities[1], abs=1e-12)
+
+
 def test_layout_is_a_parameter_of_the_model(spark):
     """Trees depend on the number of partitions asked for, not on the number of rows."""
     df = training_rows(spark, 100)
