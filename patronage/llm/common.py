@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,22 @@ def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return tidied
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = SLICE_BYTES) -> Iterator[None]:
+    """Steps that run in this block get batches of about ``limit`` bytes at most, at least a row each.
+
+    Spark's own bounds are 10,000 rows and 64 MB, which each task holds several times: in the
+    executor's buffers, on the way, and in the Python worker. A lower bound of the caller stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    own = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
+    spark.conf.set(name, str(min(limit, own) if own > 0 else limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

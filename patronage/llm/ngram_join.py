@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from patronage.llm.common import keyed_texts, tidy
+from patronage.llm.common import keyed_texts, small_batches, tidy
 from patronage.llm.components import components
 from patronage.llm.id_filter import id_filter, passing
 from patronage.llm.open_buckets import groups_of, open_rows, sorted_groups, together
@@ -335,7 +335,11 @@ def _sizes_fit(n: str, m: str):
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) for every row."""
-    docs = keyed_texts(df, key, text)
+    with small_batches(df.sparkSession):  # all Python steps run here; what is returned only joins their tables
+        return _near_duplicates(keyed_texts(df, key, text))
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     described = materialize(_described(docs), "described")
     own = described.filter("chunk IS NULL").select("doc_id", "n", "class")
     classes = own.filter("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("rep"))
@@ -395,7 +399,12 @@ def keep_one(df: DataFrame) -> DataFrame:
     document and leave one row, the one whose other columns hash lowest."""
     docs = df.filter("doc_id IS NOT NULL")
     digest = F.xxhash64("doc_id", "text")
-    texts = docs.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    texts = docs.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"), F.count(F.lit(1)).alias("rows"))
+    if not texts.filter("rows > 1").head(1):
+        # Keys name rows, so whole rows are neither numbered nor sorted once more: the pages of these sorts fill executors.
+        found = near_duplicates(docs)
+        chosen = found.filter("doc_id = component_id").select("doc_id")
+        return docs.join(chosen, "doc_id", "left_semi").select(*(f"`{c}`" for c in df.columns)).unionByName(df.filter("doc_id IS NULL"))
     # Keys compress better than hashes and name the row too, as long as no key has several texts.
     several = bool(texts.filter("low <> high").head(1))
     docs = docs.withColumn("__row", digest if several else F.col("doc_id"))

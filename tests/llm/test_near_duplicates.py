@@ -3,9 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from patronage.llm import ngram_join
+from patronage.llm.common import SLICE_BYTES, small_batches
 from patronage.llm.components import components
 
 
@@ -188,3 +191,45 @@ def test_folded_bits_never_claim_too_much():
         whole, half = ([f(parity_bits(v)) for v in (x, y)] for f in (lambda v: v, ngram_join.folded))
         assert len(half[0]) == max(len(whole[0]) // 2, (1 << ngram_join.LEAST_CELLS) // 8)
         assert ngram_join.least_difference(*half) <= ngram_join.least_difference(*whole) <= len(np.setxor1d(x, y))
+
+
+def test_python_steps_get_small_batches(spark, monkeypatch):
+    name, given, inside = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), []
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    real, table = ngram_join._described, spark.range(3000).coalesce(1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+
+    def watched(docs):
+        inside.append(max(r.size for r in table.mapInArrow(size, "size long").collect()))
+        return real(docs)
+
+    monkeypatch.setattr(ngram_join, "_described", watched)
+    rows = copies(seed=8, groups=2)
+    assert {tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+    assert inside[0] < 1.1 * SLICE_BYTES and spark.conf.get(name) == given
+    monkeypatch.setattr(ngram_join, "_described", lambda docs: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert spark.conf.get(name) == given
+    try:  # a lower bound of the caller stays
+        spark.conf.set(name, "1k")
+        with small_batches(spark):
+            assert spark.conf.get(name) == "1024"
+        assert spark.conf.get(name) == "1k"
+    finally:
+        spark.conf.set(name, given)
+
+
+def test_rows_are_numbered_only_if_keys_repeat(spark):
+    rows = copies(seed=9, groups=3)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    once = ngram_join.keep_one(spark.createDataFrame([*rows, (None, "a b")], "doc_id long, text string"))
+    twice = ngram_join.keep_one(spark.createDataFrame([*rows, rows[0], (None, "a b")], "doc_id long, text string"))
+    first = sorted(key for key, _, component in brute(rows) if key == component)
+    for kept in (once, twice):
+        found = [r.doc_id for r in kept.collect()]
+        assert found.count(None) == 1 and sorted(x for x in found if x is not None) == first
+    assert "row_number" in plan(twice) and "row_number" not in plan(once)
